@@ -91,26 +91,42 @@ def row_number(df: DataFrame, order_cols: list[Column], bucket_key: Column,
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
                  group_cols: list[str] | None = None, descending: bool = True,
-                 prefix: str = "cum_", buckets: int | None = None) -> DataFrame:
+                 prefix: str = "cum_", buckets: int | None = None,
+                 totals: bool = False, lower_col: str | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order, per group.
 
     Rows sharing an order value are summed together (range frame), which is the
     curve semantics when the input is pre-aggregated per distinct value.
+    ``totals`` adds ``tot_<c>`` (group totals); ``lower_col`` names a column with
+    the next lower ``order_col`` value in the group (null for the lowest), both
+    taken from the same small per-bucket table.
     """
     g = list(group_cols or [])
+    k = len(value_cols)
     d = with_bucket(df, F.col(order_col), buckets)
-    tot = d.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(value_cols)])
+    tot = d.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(value_cols)],
+                                    F.max(order_col).alias("_mx"))
     bo = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
     w = Window.partitionBy(*g).orderBy(bo) if g else Window.orderBy(bo)
-    offs = tot.select(*g, "_bkt", *[(F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")).alias(f"_o{i}")
-                                    for i in range(len(value_cols))])
+    wall = Window.partitionBy(*g)
+    wasc = Window.partitionBy(*g).orderBy("_bkt") if g else Window.orderBy("_bkt")
+    sel = [*g, "_bkt", *[(F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")).alias(f"_o{i}") for i in range(k)]]
+    if totals:
+        sel += [F.sum(f"_t{i}").over(wall).alias(f"tot_{c}") for i, c in enumerate(value_cols)]
+    if lower_col:
+        sel.append(F.lag("_mx").over(wasc).alias("_pmx"))
+    offs = tot.select(*sel)
     d = _join_offsets(d, offs, g + ["_bkt"])
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    lw = (Window.partitionBy(*g, "_bkt").orderBy(oc)
-          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    base = Window.partitionBy(*g, "_bkt").orderBy(oc)
+    lw = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {f"{prefix}{c}": F.sum(c).over(lw) + F.coalesce(F.col(f"_o{i}"), F.lit(0))
             for i, c in enumerate(value_cols)}
-    return d.withColumns(cols).drop("_bkt", *[f"_o{i}" for i in range(len(value_cols))])
+    if lower_col:
+        nxt = F.lead(order_col).over(base) if descending else F.lag(order_col).over(base)
+        cols[lower_col] = F.coalesce(nxt, F.col("_pmx"))
+    drop = ["_bkt", *[f"_o{i}" for i in range(k)]] + (["_pmx"] if lower_col else [])
+    return d.withColumns(cols).drop(*drop)
 
 
 def _interp(sorted_pairs: list[tuple[float, int]], n: int, probs: list[float]) -> list[float]:
