@@ -8,8 +8,9 @@ task. The operators here give the same exact answers with the work spread out:
 2. rows are tagged with their bucket (``Bucketizer``, JVM-side binary search);
 3. per-(group, bucket) totals – at most groups × buckets rows – give exclusive
    prefix offsets by a window over that small table;
-4. the offsets are joined back (broadcast only under a checked row bound) and a
-   window partitioned by (group, bucket) finishes the running value locally.
+4. the offsets are joined back on (group, bucket) – the same clustering the local
+   window needs, so no extra exchange – and a window partitioned by (group,
+   bucket) finishes the running value locally.
 
 Boundaries only balance the work; results do not depend on them.
 """
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 # Distinct values brought to the driver for an exact quantile before switching to
 # the bucketed selection (a size bound, checked with ``limit``).
 LOCAL_DISTINCT_LIMIT = 200_000
-# Offsets tables at most this large are broadcast; larger ones are shuffle-joined.
-BROADCAST_ROWS = 1_000_000
 MIN_ROWS_PER_BUCKET = 50_000
 
 
@@ -66,9 +65,10 @@ def with_bucket(df: DataFrame, key: Column, buckets: int | None = None, out: str
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    n = offsets.count()
-    side = F.broadcast(offsets) if n <= BROADCAST_ROWS else offsets
-    return df.join(side, keys, "left")
+    """Plain equi-join on (group, bucket): the big side must be clustered by these
+    keys for the local window anyway, so the join adds no exchange; AQE may
+    still broadcast the small offsets side from its runtime size."""
+    return df.join(offsets, keys, "left")
 
 
 def row_number(df: DataFrame, order_cols: list[Column], bucket_key: Column,
