@@ -18,8 +18,15 @@ THR = 200.0
 BLEND_ALPHA = 0.3
 ALPHA_STEPS = 51
 
-SCORED_SQL = TXN_SQL + """,
-scored as (select txn_id, party, isFraud as y, round(amount / 1000.0) as p from txn)"""
+AMOUNT_SCORE_SQL = "round(amount / 1000.0)"
+
+
+def scored_sql(score_expr: str = AMOUNT_SCORE_SQL) -> str:
+    return TXN_SQL + f""",
+scored as (select txn_id, party, isFraud as y, {score_expr} as p from txn)"""
+
+
+SCORED_SQL = scored_sql()
 
 
 def sql_curve(src: str, g: list[str], prefix: str = "") -> str:
@@ -156,11 +163,11 @@ def rank_to_prob(spark, sf):
 _METRIC_COLS = ["n", "auprc", "roc_auc", "threshold", "tn", "fp", "fn", "tp", "precision", "recall", "f1", "leakage"]
 
 
-def _metric_sql(g: list[str]) -> str:
+def _metric_sql(g: list[str], score_expr: str = AMOUNT_SCORE_SQL) -> str:
     gl = "".join(f"{c}, " for c in g)
     on = " and ".join(f"s.{c} = t.{c}" for c in g) or "true"
     gsel = "".join(f"s.{c}, " for c in g)
-    return f"""with {SCORED_SQL}, src as (select {gl}p as score, y from scored), {sql_curve('src', g)},
+    return f"""with {scored_sql(score_expr)}, src as (select {gl}p as score, y from scored), {sql_curve('src', g)},
 m as (select {gl}sum(case when P > 0 then pos * 1.0e0 / P * precision else 0.0 end) as auprc,
              case when max(P) > 0 and max(N) > 0
                   then sum(neg * ((tp - pos) + pos / 2.0e0)) / (max(P) * 1.0e0 * max(N)) end as roc_auc
