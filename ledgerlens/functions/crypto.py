@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac as _hmac
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,7 +85,6 @@ def pair_salt(session_salt: bytes, a: Column, b: Column) -> Column:
 
 def hmac_hex_udf(key: bytes, salt: bytes = b""):
     """Arrow-batched alternative that keeps the key out of the query plan."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def _tok(s: pd.Series) -> pd.Series:
