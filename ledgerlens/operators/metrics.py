@@ -182,8 +182,15 @@ def macro(per_group: DataFrame, cols=("auprc", "roc_auc", "f1", "precision", "re
 
 
 def rank_to_prob(df: DataFrame, score: str, id_col: str, out: str = "prob") -> DataFrame:
-    """``rank / (n - 1 + 1e-9)`` with a 0-based rank by (score, id) (exact, distributed)."""
-    from ledgerlens.operators.ranking import row_number
+    """``rank / (n - 1 + 1e-9)`` with a 0-based rank by (score, id) (exact, distributed).
+
+    Numeric ids use the tie-robust ranking (a score shared by many rows is split
+    over id buckets); other ids fall back to bucketing by score.
+    """
+    from ledgerlens.operators.ranking import row_number, row_number_ties
     n = df.count()
-    r = row_number(df, [F.col(score), F.col(id_col)], F.col(score), out="_rk")
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+        r = row_number_ties(df, score, id_col, out="_rk")
+    else:
+        r = row_number(df, [F.col(score), F.col(id_col)], F.col(score), out="_rk")
     return r.withColumn(out, (F.col("_rk") - 1) / F.lit(n - 1 + 1e-9)).drop("_rk")

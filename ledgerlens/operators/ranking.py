@@ -89,6 +89,26 @@ def row_number(df: DataFrame, order_cols: list[Column], bucket_key: Column,
     return d.withColumn(out, (F.row_number().over(lw) + F.col("_off")).cast("bigint")).drop("_bkt", "_off")
 
 
+def row_number_ties(df: DataFrame, order_col: str, tie_col: str, group_cols: list[str] | None = None,
+                    out: str = "rn", buckets: int | None = None) -> DataFrame:
+    """Exact ``row_number() over (partition by g order by order_col, tie_col)`` that
+    stays balanced when one ``order_col`` value holds a large share of the rows.
+
+    rank = (rows of the group with a lower ``order_col``, from the per-value counts)
+         + (row number inside the value's rows, bucketed by the numeric ``tie_col``).
+    A hot value is thus spread over the tie-column buckets; the per-value offsets
+    are joined on (group, value), where AQE's skew-join handles a hot value.
+    """
+    g = list(group_cols or [])
+    counts = df.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("_n"))
+    before = running_sums(counts, order_col, ["_n"], g, descending=False, prefix="_cum", buckets=buckets)
+    before = before.select(*g, order_col, (F.col("_cum_n") - F.col("_n")).alias("_before"))
+    within = row_number(df, [F.col(tie_col)], F.col(tie_col), group_cols=g + [order_col], out="_w",
+                        buckets=buckets)
+    return (within.join(before, g + [order_col], "inner")
+            .withColumn(out, (F.col("_before") + F.col("_w")).cast("bigint")).drop("_before", "_w"))
+
+
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
                  group_cols: list[str] | None = None, descending: bool = True,
                  prefix: str = "cum_", buckets: int | None = None,

@@ -145,3 +145,17 @@ def test_rank_to_prob(spark):
     got = {r["id"]: r["prob"] for r in M.rank_to_prob(df, "p", "id").collect()}
     d = 3 + 1e-9
     assert got == pytest.approx({1: 0 / d, 0: 1 / d, 2: 2 / d, 3: 3 / d})
+
+
+def test_tie_robust_rank_with_hot_score(spark):
+    """One score holds most rows; ranks still equal a (score, id) row_number."""
+    rows = [(i, 0 if i % 10 else 1, 0.5 if i % 3 else float(i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y int, p double")
+    old = RK.MIN_ROWS_PER_BUCKET
+    RK.MIN_ROWS_PER_BUCKET = 25
+    try:
+        got = {r["id"]: r["rn"] for r in RK.row_number_ties(df, "p", "id", buckets=8).collect()}
+    finally:
+        RK.MIN_ROWS_PER_BUCKET = old
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    assert got == {r[0]: k + 1 for k, r in enumerate(order)}
