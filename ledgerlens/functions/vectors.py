@@ -55,3 +55,12 @@ def vec_add(a: Column | str, b: Column | str) -> Column:
 def blend(p1: Column | str, p2: Column | str, alpha: float) -> Column:
     a = F.lit(float(alpha))
     return a * _c(p1) + (F.lit(1.0) - a) * _c(p2)
+
+
+def distinct_in_order(arr: Column | str) -> Column:
+    """Order-keeping de-duplication of a list (first occurrence wins)."""
+    return F.array_distinct(_c(arr))
+
+
+def sorted_distinct(arr: Column | str) -> Column:
+    return F.array_sort(F.array_distinct(_c(arr)))

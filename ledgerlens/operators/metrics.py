@@ -194,3 +194,22 @@ def rank_to_prob(df: DataFrame, score: str, id_col: str, out: str = "prob") -> D
     else:
         r = row_number(df, [F.col(score), F.col(id_col)], F.col(score), out="_rk")
     return r.withColumn(out, (F.col("_rk") - 1) / F.lit(n - 1 + 1e-9)).drop("_rk")
+
+
+def blend_search(df: DataFrame, y: str, p1: str, p2: str, steps: int = 51, mode: str = "train") -> DataFrame:
+    """Blend weight α on a grid of ``steps`` values in [0, 1] maximising best F1 of
+    ``α·p1 + (1−α)·p2``; the first α with the maximum wins.
+
+    All α run in ONE plan: each row expands to ``steps`` blended scores (a
+    constant factor), pre-aggregated per (α, score) before the curve; no cross
+    join and no per-α job. Returns one row (alpha, best_f1, threshold).
+    """
+    step = 1.0 / (steps - 1)
+    grid = df.select(y, p1, p2, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
+    a = F.col("_i").cast("double") * F.lit(step)
+    bl = grid.select(a.alias("alpha"), F.col(y).alias("_y"),
+                     (a * F.col(p1) + (F.lit(1.0) - a) * F.col(p2)).alias("_s"))
+    best = best_f1_threshold(curve(bl, "_y", "_s", ["alpha"]), ["alpha"], mode)
+    top = best.agg(F.max_by(F.struct("alpha", "best_f1", "threshold"),
+                            F.struct(F.col("best_f1"), -F.col("alpha"))).alias("b"))
+    return top.select("b.*")

@@ -41,6 +41,10 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
         return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                       minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH, maxMemoryInMB=1024,
                                       featureSubsetStrategy="sqrt", seed=seed, **extra)
+    if family == "rf_shallow":  # the blend's forest: 600 trees, depth 8, min leaf 4
+        return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
+                                      minInstancesPerNode=4, maxDepth=8, maxMemoryInMB=1024,
+                                      featureSubsetStrategy="sqrt", seed=seed, **extra)
     if family == "gbt":
         if validation_col:
             extra["validationIndicatorCol"] = validation_col
@@ -158,3 +162,41 @@ def mutual_info_binned(long: DataFrame, bins: int = 10) -> DataFrame:
     j = joint.join(pb, ["pos", "bin"]).join(pl, ["pos", "label"]).join(n, "pos")
     term = (F.col("nbl") / F.col("n")) * F.log((F.col("nbl") * F.col("n")) / (F.col("nb") * F.col("nl")))
     return j.groupBy("pos").agg(F.sum(term).alias("mi"))
+
+
+def wide_to_long(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """(label, pos, x) rows from wide feature columns."""
+    st = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.col(c).cast("double").alias("x"))
+                             for i, c in enumerate(features)]))
+    return df.select(F.col(label).alias("label"), st.alias("_s")).select("label", "_s.pos", "_s.x")
+
+
+def top_features(train: DataFrame, features: Sequence[str], label: str, ratio: float = 0.5,
+                 by: str = "mi", bins: int = 10) -> list[str]:
+    """Top ``max(1, int(d * ratio))`` features by binned MI (or variance), ties by position."""
+    long = wide_to_long(train, features, label)
+    ranked = mutual_info_binned(long, bins).withColumnRenamed("mi", "score") if by == "mi" else \
+        long.groupBy("pos").agg(F.var_pop("x").alias("score"))
+    k = max(1, int(len(features) * ratio))
+    order = [r["pos"] for r in ranked.orderBy(F.col("score").desc(), F.col("pos")).limit(k).collect()]
+    return [features[i] for i in order]
+
+
+def train_blend(train: DataFrame, val: DataFrame, score_on: DataFrame, features: Sequence[str],
+                label: str = "y", seed: int = 42, steps: int = 51, mode: str = "train",
+                gbt_iters: int = 400, rf_trees: int = 600, id_col: str = "txn_id"):
+    """Boosting on all features + shallow forest on the top-half features; α and
+    the threshold come from the grid search on ``val``. Returns (scored, α, thr)."""
+    keep = top_features(train, list(features), label)
+    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
+    gbm = fit(both, features, "gbt", label, seed=seed, n_trees=gbt_iters, validation_col="_val", id_col=id_col)
+    rf = fit(train, keep, "rf_shallow", label, seed=seed, n_trees=rf_trees, id_col=id_col)
+
+    def both_scores(df: DataFrame) -> DataFrame:
+        s = gbm.score(df).withColumnRenamed("p_hat", "p_gbm")
+        return rf.score(s).withColumnRenamed("p_hat", "p_rf")
+
+    best = M.blend_search(both_scores(val), label, "p_gbm", "p_rf", steps, mode).first()
+    a = float(best["alpha"])
+    out = both_scores(score_on).withColumn("p_hat", F.lit(a) * F.col("p_gbm") + F.lit(1.0 - a) * F.col("p_rf"))
+    return out, a, float(best["threshold"])

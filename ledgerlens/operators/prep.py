@@ -70,6 +70,21 @@ def split_types(df: DataFrame, exclude: list[str]) -> tuple[list[str], list[str]
     return num, cat
 
 
+def feature_columns(df: DataFrame, id_col: str, label: str, exclude: tuple = ("split", "party")) -> list[str]:
+    """All columns but id, label and bookkeeping columns, in schema order."""
+    return [c for c in df.columns if c not in (id_col, label, *exclude)]
+
+
+def apply_feature_policy(df: DataFrame, keep: list[str], include: list[str] | None = None,
+                         exclude: list[str] | None = None) -> DataFrame:
+    """Configured include/exclude lists: keep ``keep``, then included (or all)
+    columns minus excluded ones, in schema order."""
+    inc = set(include) if include else None
+    exc = set(exclude or [])
+    cols = [c for c in df.columns if c in keep or ((inc is None or c in inc) and c not in exc)]
+    return df.select(*cols)
+
+
 def bad_numeric_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: total rows and, per column, rows that do not parse as numbers."""
     aggs = [F.count(F.lit(1)).alias("n_rows")]
@@ -197,11 +212,11 @@ def fit_vocab(train: DataFrame, cols: list[str], max_levels: int = 10_000) -> di
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
                                 for c in cols]))
     lv = train.select(pairs.alias("p")).select("p.column", "p.level").filter(F.col("level").isNotNull()).distinct()
-    n = lv.count()
-    if n > max_levels:
-        raise ValueError(f"vocabulary has {n} levels (> {max_levels}); use a hashed or sparse encoding")
+    rows = lv.limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"vocabulary has more than {max_levels} levels; use a hashed or sparse encoding")
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in lv.collect():
+    for r in rows:
         out[r["column"]].append(r["level"])
     return {c: sorted(v) for c, v in out.items()}
 

@@ -20,6 +20,8 @@ from ledgerlens.functions.crypto import pair_salt, utf8
 
 MAX_ROSTER = 2_000
 TWO_64 = 18446744073709551616.0
+# Fixed value: domain-separation prefix of the per-client commitment key.
+COMMIT_PREFIX = "ffd_secureagg_commit|"
 
 
 def roster(df: DataFrame, session: str, client: str) -> DataFrame:
@@ -141,3 +143,19 @@ def apply_masks(updates: DataFrame, masks: DataFrame) -> DataFrame:
 
 def server_sum(masked: DataFrame) -> DataFrame:
     return masked.groupBy("session", "pos").agg(F.sum("masked").alias("total"))
+
+
+def mask_commitments(masks: DataFrame, salt_hex: Column | None = None) -> DataFrame:
+    """Per client: HMAC(sha256(prefix || salt || client), canonical text of the mask).
+
+    The mask vector (bounded by ``dim``) is gathered in position order and
+    rendered as comma-separated ``%.17e`` values (Java formatting); the
+    commitment is over that text rather than a raw float64 buffer.
+    """
+    sh = salt_hex if salt_hex is not None else session_salt_hex(F.col("session"))
+    vec = masks.groupBy("session", "client_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("_v"))
+    text = F.array_join(F.transform("_v", lambda x: F.format_string("%.17e", x["mask"])), ",")
+    key_hex = F.sha2(F.concat(utf8(F.lit(COMMIT_PREFIX)), F.unhex(sh), utf8(F.col("client_id"))), 256)
+    return vec.select("session", "client_id", F.size("_v").alias("dim"),
+                      hmac_hex_colkey(key_hex, utf8(text)).alias("commit"))

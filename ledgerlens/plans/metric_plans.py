@@ -253,11 +253,6 @@ def alpha_search(spark, sf):
     """51-step blend weight search on the calibration window, all α in one plan:
     each row is expanded to 51 blended scores, one curve per α (group key)."""
     v = _blend_inputs(split_txn(spark, sf).filter(F.col("split") == "cal"))
-    grid = v.select("y", "pa", "pb", F.explode(F.sequence(F.lit(0), F.lit(ALPHA_STEPS - 1))).alias("i"))
-    bl = grid.withColumn("alpha", F.col("i").cast("double") * F.lit(0.02)).select(
-        "alpha", "y", (F.col("alpha") * F.col("pa") + (F.lit(1.0) - F.col("alpha")) * F.col("pb")).alias("score"))
-    best = M.best_f1_threshold(M.curve(bl, "y", "score", ["alpha"]), ["alpha"], "train")
-    top = best.agg(F.max_by(F.struct("alpha", "best_f1", "threshold"),
-                            F.struct(F.col("best_f1"), -F.col("alpha"))).alias("b")).select("b.*")
+    top = M.blend_search(v, "y", "pa", "pb", ALPHA_STEPS, mode="train")
     return top.select(rnd("alpha", 6).alias("alpha"), rnd("best_f1", 9).alias("best_f1"),
                       rnd("threshold", 9).alias("threshold"))

@@ -72,6 +72,15 @@ def train_iforest(spark, sf):
     return _train_job(spark, sf, "iforest")
 
 
+@register("train_blend")
+def train_blend(spark, sf):
+    """Two-model blend: α and threshold tuned on the calibration window."""
+    df, feats = feature_frame(spark, sf)
+    tr, cal, te = (df.filter(F.col("split") == s) for s in ("train", "cal", "test"))
+    scored, _, thr = MD.train_blend(tr, cal, te, feats)
+    return MD.predictions(scored, thr)
+
+
 def _fed_job(spark, sf, family, max_trees=None, weighted=True):
     df, feats = feature_frame(spark, sf)
     tr, te = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")

@@ -36,7 +36,7 @@ def scoreboard(spark, sf):
                         F.col("f1").alias("F1"), F.col("threshold").alias("threshold_used"), "leakage")
         write_json(rec, f"{root}/{name}")
     sb = RP.scoreboard(RP.load_metrics(spark, root))
-    return sb.select("family", "party", rnd("auprc", 9).alias("auprc"), rnd("f1", 9).alias("f1"),
+    return sb.select("family", F.col("party").cast("int").alias("party"), rnd("auprc", 9).alias("auprc"), rnd("f1", 9).alias("f1"),
                      rnd("threshold", 9).alias("threshold"))
 
 

@@ -134,3 +134,34 @@ def write_sorted_text(df: DataFrame, col: str, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def party_from_path(path_col: str = "_metadata.file_path") -> "F.Column":
+    """Party tag = the name of the file's parent directory."""
+    return F.element_at(F.split(F.col(path_col), "/"), -2)
+
+
+def write_bundle(df: DataFrame, path: str, params: dict, split_col: str = "split") -> None:
+    """Feature bundle: rows partitioned by split + a JSON document of fitted params."""
+    import json
+    write_splits(df, f"{path}/data", split_col)
+    spark = df.sparkSession
+    spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string") \
+        .coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+
+
+def read_bundle(spark: SparkSession, path: str, split: str, id_col: str, label: str):
+    """(rows of one split, feature columns); the split filter prunes partitions."""
+    import json
+    params = json.loads(spark.read.text(f"{path}/schema").first()[0])
+    df = spark.read.parquet(f"{path}/data").filter(F.col("split") == split).drop("split")
+    feats = [c for c in df.columns if c not in (id_col, label)]
+    return df, feats, params
+
+
+def matrix_bundle(df: DataFrame, features: list[str], id_col: str, label: str) -> DataFrame:
+    """Matrix form: (row, x array<double>, y) with a contiguous row index by id."""
+    from ledgerlens.operators.weights import row_index
+    m = df.select(id_col, F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+                  F.col(label).cast("long").alias("y"))
+    return row_index(m, id_col, out="row").select("row", "x", "y")

@@ -39,3 +39,29 @@ def test_variance_topk_and_mi(spark):
     assert top == [2]  # k = max(1, int(3 * 0.5)) = 1
     mi = {r["pos"]: r["mi"] for r in MD.mutual_info_binned(long, 2).collect()}
     assert mi[0] == pytest.approx(0.0) and mi[2] > mi[0]
+
+
+def test_featurizer_pipeline_roundtrip(spark):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ledgerlens.operators.featurizer import TxnFeaturizer
+    from ledgerlens.session import scratch_path
+    train = spark.createDataFrame([(1, 1.0, "a"), (2, 3.0, "b")], "id long, x double, c string")
+    test = spark.createDataFrame([(3, 2.0, "z")], "id long, x double, c string")
+    pm = Pipeline(stages=[TxnFeaturizer(numericCols=["x"], categoricalCols=["c"], keepCols=["id"])]).fit(train)
+    path = scratch_path(spark, "featurizer")
+    pm.write().overwrite().save(path)
+    row = PipelineModel.load(path).transform(test).first()
+    assert row.asDict() == {"id": 3, "x": 0.0, "c__a": 0, "c__b": 0}
+
+
+def test_mask_commitments(spark):
+    from ledgerlens.operators import secagg as S
+    m = spark.createDataFrame([("s", "a", 1, 0.25), ("s", "a", 0, -1.5), ("s", "b", 0, 2.0)],
+                              "session string, client_id string, pos int, mask double")
+    c = {r["client_id"]: (r["dim"], r["commit"]) for r in S.mask_commitments(m).collect()}
+    import hashlib, hmac
+    salt = bytes.fromhex(hashlib.md5(b"s").hexdigest())
+    key = hashlib.sha256(S.COMMIT_PREFIX.encode() + salt + b"a").digest()
+    text = ",".join(format(v, ".17e") for v in [-1.5, 0.25])  # dyadic: same text in Java and Python
+    assert c["a"] == (2, hmac.new(key, text.encode(), hashlib.sha256).hexdigest())
