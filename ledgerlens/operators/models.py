@@ -34,9 +34,9 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
           n_trees: int = 400, validation_col: str | None = None):
     extra = {"weightCol": weight} if weight else {}
     if family == "lr":
-        # liblinear-style L2 with C = 1 ⇔ regParam = 1/n on the mean loss
+        # liblinear-style L2 with C = 1 ⇔ regParam = 1/n on the mean loss; liblinear's tol 1e-4
         return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_rows, 1),
-                                  elasticNetParam=0.0, standardization=False, maxIter=100, **extra)
+                                  elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4, **extra)
     if family == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                       minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH, maxMemoryInMB=1024,

@@ -36,6 +36,9 @@ def feature_frame(spark, sf):
 
 def _train_job(spark, sf, family, n_trees=400):
     df, feats = feature_frame(spark, sf)
+    # reused by every eager step (weights, fit, threshold); executor loss only
+    # means recomputation from lineage. Released before the lazy result returns.
+    df = df.cache()
     tr = df.filter(F.col("split") == "train")
     weight = None
     if family in ("lr", "rf", "gbt"):
@@ -49,6 +52,7 @@ def _train_job(spark, sf, family, n_trees=400):
         model = MD.fit(tr, feats, family, weight=weight, n_trees=n_trees)
     val_scored, test_scored = model.score(cal), model.score(te)
     thr = MD.tuned_threshold(val_scored, "y", "p_hat", mode="train")
+    df.unpersist()
     return MD.predictions(test_scored, thr)
 
 
@@ -76,15 +80,19 @@ def train_iforest(spark, sf):
 def train_blend(spark, sf):
     """Two-model blend: α and threshold tuned on the calibration window."""
     df, feats = feature_frame(spark, sf)
+    df = df.cache()
     tr, cal, te = (df.filter(F.col("split") == s) for s in ("train", "cal", "test"))
     scored, _, thr = MD.train_blend(tr, cal, te, feats)
+    df.unpersist()
     return MD.predictions(scored, thr)
 
 
 def _fed_job(spark, sf, family, max_trees=None, weighted=True):
     df, feats = feature_frame(spark, sf)
+    df = df.cache()
     tr, te = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
     p = MD.party_ensemble(tr, te, feats, family, max_trees=max_trees, weighted=weighted)
+    df.unpersist()
     return MD.predictions(p, 0.5)
 
 
