@@ -24,6 +24,7 @@ FAMILIES = ("lr", "rf", "gbt", "iforest")
 # Spark trees need a depth cap (the reference grows unlimited trees); 10 keeps
 # the per-level node statistics bounded at large row counts.
 RF_MAX_DEPTH = 10
+MAX_PARTIES = 1_000
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -107,8 +108,10 @@ def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str
     A forest union with the same trees per party has the mean probability of the
     party forests; ``max_trees`` caps the union by splitting it evenly.
     """
-    sizes = {r[party]: r["n"] for r in train.groupBy(party).agg(F.count(F.lit(1)).alias("n")).collect()
-             if r["n"] > 0}
+    rows = train.groupBy(party).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTIES + 1).collect()
+    if len(rows) > MAX_PARTIES:
+        raise ValueError(f"more than {MAX_PARTIES} parties: one model per party is not meant for this")
+    sizes = {r[party]: r["n"] for r in rows if r["n"] > 0}
     per = n_trees if not max_trees else max(1, min(n_trees, max_trees // max(1, len(sizes))))
     total = float(sum(sizes.values()))
     acc = None
@@ -151,7 +154,9 @@ def mutual_info_binned(long: DataFrame, bins: int = 10) -> DataFrame:
     three aggregations keyed by (feature, bin, label) – map-side combined.
     """
     rng = long.groupBy("pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    b = (long.join(rng, "pos")
+    # rng has one row per feature: a proven bound, so it is broadcast rather than
+    # shuffling the long table on only d keys
+    b = (long.join(F.broadcast(rng), "pos")
          .withColumn("bin", F.when(F.col("hi") > F.col("lo"),
                                    F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                                            F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")))

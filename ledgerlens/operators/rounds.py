@@ -59,8 +59,19 @@ def valid_updates(updates: DataFrame, registry: DataFrame, server_model: str,
     return out
 
 
-def summary(updates: DataFrame) -> DataFrame:
-    """Per round: sorted distinct client list (bounded by the roster), received, sum."""
+MAX_ROUND_CLIENTS = 10_000  # the client list of a round is one value; checked first
+
+
+def summary(updates: DataFrame, max_clients: int = MAX_ROUND_CLIENTS) -> DataFrame:
+    """Per round: sorted distinct client list, received, distinct clients, value sum.
+
+    The list is gathered per round, so the number of distinct clients per round
+    is checked against ``max_clients`` before it is built.
+    """
+    big = (updates.groupBy("round").agg(F.count_distinct("client_id").alias("k"))
+           .filter(F.col("k") > max_clients).limit(1).collect())
+    if big:
+        raise ValueError(f"round {big[0]['round']} has more than {max_clients} clients")
     return updates.groupBy("round").agg(
         F.array_join(F.array_sort(F.collect_set("client_id")), ",").alias("clients"),
         F.count(F.lit(1)).alias("received"),
