@@ -85,3 +85,42 @@ def stream_windows(spark, sf):
                   [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")], "1 day", watermark="1 hour")
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", rnd("value_sum").alias("value_sum"))
+
+
+SESSION_GAP_MIN = 30
+
+
+@register("stream_sessions", sql=f"""
+with e as (select user_id, ts,
+                  case when lag(ts) over (partition by user_id order by ts) is null
+                            or ts - lag(ts) over (partition by user_id order by ts)
+                               >= interval {SESSION_GAP_MIN} minute then 1 else 0 end as new_s
+           from events),
+s as (select *, sum(new_s) over (partition by user_id order by ts rows unbounded preceding) as sid from e)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start,
+       strftime(max(ts) + interval {SESSION_GAP_MIN} minute, '%Y-%m-%d %H:%M:%S') as session_end,
+       count(*) as n
+from s group by user_id, sid""")
+def stream_sessions(spark, sf):
+    """Per-user activity sessions (30-minute gap) from the event stream."""
+    w = S.windows(_events_stream(spark, sf), "ts", ["user_id"], [F.count(F.lit(1)).alias("n")], "1 day",
+                  session_gap=f"{SESSION_GAP_MIN} minutes", name="sessions")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return w.select("user_id", F.date_format("window_start", fmt).alias("session_start"),
+                    F.date_format("window_end", fmt).alias("session_end"), "n")
+
+
+@register("stream_sliding", sql="""
+with b as (select event_type, value, time_bucket(interval 12 hour, ts) as s0 from events),
+w as (select event_type, value, s0 as ws from b
+      union all select event_type, value, s0 - interval 12 hour from b)
+select strftime(ws, '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n,
+       round(sum(value), 6) as value_sum
+from w group by all""")
+def stream_sliding(spark, sf):
+    """1-day windows sliding every 12 hours per type, watermark 1 hour (update mode)."""
+    w = S.windows(_events_stream(spark, sf), "ts", ["event_type"],
+                  [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")], "1 day",
+                  slide="12 hours", watermark="1 hour", name="sliding")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+                    "n", rnd("value_sum").alias("value_sum"))
