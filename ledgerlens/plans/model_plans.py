@@ -45,6 +45,11 @@ def _train_job(spark, sf, family, n_trees=400):
         tr = W.sample_weights(tr, "y", W.weight_map(W.balanced_weights(tr, "y")))
         weight = "weight"
     cal, te = df.filter(F.col("split") == "cal"), df.filter(F.col("split") == "test")
+    if not cal.take(1):
+        # no calibration window: a stratified 20% of TRAIN validates instead
+        parts = W.stratified_split(tr, "txn_id", "y", frac=0.2, seed=42)
+        tr, cal = (parts.filter(F.col("part") == "fit").drop("part"),
+                   parts.filter(F.col("part") == "val").drop("part", "weight"))
     if family == "gbt":
         both = tr.unionByName(W.sample_weights(cal, "y", None)).withColumn("is_val", F.col("split") == "cal")
         model = MD.fit(both, feats, family, weight=weight, n_trees=n_trees, validation_col="is_val")
