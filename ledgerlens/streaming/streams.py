@@ -87,11 +87,18 @@ def windows(stream: DataFrame, ts: str, keys: list[str], aggs: list, duration: s
     spark = stream.sparkSession
     w = (F.session_window(ts, session_gap) if session_gap
          else F.window(ts, duration, slide) if slide else F.window(ts, duration))
-    if stream.schema[ts].dataType.typeName() == "timestamp_ntz":
-        # watermarks need TIMESTAMP; under a UTC session the wall-clock values are unchanged
-        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    ntz = stream.schema[ts].dataType.typeName() == "timestamp_ntz"
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    if ntz:
+        # watermarks need TIMESTAMP: read the wall clock as a UTC instant, whatever
+        # the session zone, so windows align to wall-clock days
+        stream = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
     s = stream.withWatermark(ts, watermark).groupBy(w.alias("w"), *keys).agg(*aggs)
-    s = s.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
+
+    def bound(c):
+        return F.to_utc_timestamp(F.col(c), tz).cast("timestamp_ntz") if ntz else F.col(c)
+
+    s = s.select(bound("w.start").alias("window_start"), bound("w.end").alias("window_end"), *keys,
                  *[c for c in s.columns if c not in ("w", *keys)])
     if session_gap:
         # Spark has no update mode for session windows: complete output, rewritten

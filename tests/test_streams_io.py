@@ -63,3 +63,15 @@ def test_sanitize_nested(spark):
     df = spark.createDataFrame([({"key": "s", "ok": 1}, "x")], "cfg struct<key:string, ok:int>, secret string")
     out = RP.sanitize(df, ["cfg.key", "secret"])
     assert out.columns == ["cfg"] and out.schema["cfg"].dataType.fieldNames() == ["ok"]
+
+
+def test_stream_windows_independent_of_session_zone(spark):
+    from ledgerlens.plans import QUERIES
+    utc = sorted(QUERIES["stream_windows"](spark, SF_SMALL).collect())
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ny = sorted(QUERIES["stream_windows"](spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert ny == utc
