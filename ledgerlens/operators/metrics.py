@@ -188,11 +188,11 @@ def rank_to_prob(df: DataFrame, score: str, id_col: str, out: str = "prob") -> D
     over id buckets); other ids fall back to bucketing by score.
     """
     from ledgerlens.operators.ranking import row_number, row_number_ties
-    n = df.count()
     if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
-        r = row_number_ties(df, score, id_col, out="_rk")
-    else:
-        r = row_number(df, [F.col(score), F.col(id_col)], F.col(score), out="_rk")
+        r = row_number_ties(df, score, id_col, out="_rk", total="_n")
+        return r.withColumn(out, (F.col("_rk") - 1) / (F.col("_n") - 1 + 1e-9)).drop("_rk", "_n")
+    n = df.count()
+    r = row_number(df, [F.col(score), F.col(id_col)], F.col(score), out="_rk")
     return r.withColumn(out, (F.col("_rk") - 1) / F.lit(n - 1 + 1e-9)).drop("_rk")
 
 
