@@ -75,3 +75,27 @@ def test_stream_windows_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert ny == utc
+
+
+def test_bundle_roundtrip_and_matrix(spark):
+    df = spark.createDataFrame([(i, float(i), float(-i), i % 2, "train" if i < 6 else "test") for i in range(8)],
+                               "txn_id long, a double, b double, y int, split string")
+    path = scratch_path(spark, "bundle")
+    io.write_bundle(df, path, {"target": "y", "id_column": "txn_id", "numeric": ["a", "b"]})
+    tr, feats, params = io.read_bundle(spark, path, "train", "txn_id", "y")
+    assert tr.count() == 6 and sorted(feats) == ["a", "b"] and params["target"] == "y"
+    m = io.matrix_bundle(tr, ["a", "b"], "txn_id", "y").orderBy("row").collect()
+    assert [r["row"] for r in m] == list(range(6)) and m[2]["x"] == [2.0, -2.0]
+
+
+def test_party_from_path_and_policy(spark):
+    from ledgerlens.operators import prep
+    base = scratch_path(spark, "parties")
+    for p in ("bank_a", "bank_b"):
+        spark.createDataFrame([(p,)], "v string").write.parquet(f"{base}/{p}")
+    got = spark.read.parquet(f"{base}/bank_a", f"{base}/bank_b").select("v", io.party_from_path().alias("party"))
+    assert sorted(tuple(r) for r in got.collect()) == [("bank_a", "bank_a"), ("bank_b", "bank_b")]
+    df = spark.createDataFrame([(1, 2.0, 3.0, "x", 0)], "id int, a double, b double, c string, y int")
+    out = prep.apply_feature_policy(df, keep=["id", "y"], exclude=["b"])
+    assert out.columns == ["id", "a", "c", "y"]
+    assert prep.feature_columns(df, "id", "y") == ["a", "b", "c"]
