@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import rounds as R, secagg as S
-from ledgerlens.plans.registry import register, rnd
+from ledgerlens.plans.registry import TXN_SQL, register, rnd
 from ledgerlens.sources import tables as T
 
 MASK_DIM = 8
@@ -126,3 +126,23 @@ def fixed_point(spark, sf):
     e = T.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
     return e.select("vec_id", F.col("pos").cast("int").alias("pos"),
                     F.bround(F.col("v").cast("double") * F.lit(FIXED_SCALE), 0).alias("fx"))
+
+
+# Fixed test key material for the encrypted-sum query (two 128-bit primes; test
+# literals only, never production keys).
+TEST_P = 170141183460469231731687303715884118099
+TEST_Q = 170141183460469231731687303715884205727
+
+
+@register("encrypted_sum", sql=f"""
+with {TXN_SQL}
+select party, cast(sum(cast(round(amount * 100) as bigint)) as bigint) as total, count(*) as n
+from txn group by party""")
+def encrypted_sum(spark, sf):
+    """Per-party totals of amounts in cents, summed under Paillier encryption on the
+    executors; only the (one row per party) totals are decrypted by the key holder."""
+    from ledgerlens.operators import paillier as PL
+    sk = PL.PrivateKey.from_primes(TEST_P, TEST_Q)
+    t = T.party_txn(spark, sf).select("party", F.round(F.col("amount") * 100).cast("bigint").alias("cents"))
+    rows = PL.decrypt_frame(PL.encrypted_sums(t, "cents", sk.public, ["party"]), sk)
+    return spark.createDataFrame([(int(p), int(s), int(n)) for p, s, n in rows], "party int, total bigint, n bigint")

@@ -75,3 +75,44 @@ def test_roster_guard(spark):
     r = spark.createDataFrame([("s", str(i)) for i in range(5)], "session string, client_id string")
     with pytest.raises(ValueError):
         S.check_roster(r, limit=3)
+
+
+def _prime(start: int) -> int:
+    """Deterministic Miller-Rabin search (test keys only)."""
+    def is_prime(n):
+        if n < 2:
+            return False
+        for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):
+            if n % p == 0:
+                return n == p
+        d, s = n - 1, 0
+        while d % 2 == 0:
+            d, s = d // 2, s + 1
+        for a in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37):
+            x = pow(a, d, n)
+            if x in (1, n - 1):
+                continue
+            for _ in range(s - 1):
+                x = x * x % n
+                if x == n - 1:
+                    break
+            else:
+                return False
+        return True
+    n = start | 1
+    while not is_prime(n):
+        n += 2
+    return n
+
+
+def test_paillier_encrypted_sum(spark):
+    from ledgerlens.operators import paillier as PL
+    sk = PL.PrivateKey.from_primes(_prime(2 ** 127 + 12345), _prime(2 ** 127 + 99991))
+    assert sk.decrypt(PL.encrypt(sk.public, 1) * PL.encrypt(sk.public, 2) * PL.encrypt(sk.public, 3)
+                      % sk.public.n2) == 6
+    df = spark.createDataFrame([(i % 3, i) for i in range(100)], "g int, v long").repartition(4)
+    got = {r[0]: (r[1], r[2]) for r in PL.decrypt_frame(PL.encrypted_sums(df, "v", sk.public, ["g"]), sk)}
+    assert got == {g: (sum(i for i in range(100) if i % 3 == g), len([i for i in range(100) if i % 3 == g]))
+                   for g in range(3)}
+    total = PL.decrypt_frame(PL.encrypted_sums(df, "v", sk.public), sk)
+    assert total == [(4950, 100)]
