@@ -215,8 +215,7 @@ def micro_metrics(spark, sf):
 select round(avg(auprc), 9) as auprc, round(avg(roc_auc), 9) as roc_auc, round(avg(f1), 9) as f1,
        round(avg(precision), 9) as precision, round(avg(recall), 9) as recall from pc""")
 def macro_metrics(spark, sf):
-    ev = M.evaluate(scored(spark, sf), "y", "p", ["party"], tune_on_test=True, mode="eval")
-    mac = M.macro(ev)
+    mac = M.macro(_metric_frame(spark, sf, ["party"]))  # mean of the reported per-party rows
     return mac.select(*[rnd(c, 9).alias(c) for c in mac.columns])
 
 
