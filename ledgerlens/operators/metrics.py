@@ -176,9 +176,17 @@ def evaluate(df: DataFrame, y: str, p: str, group_cols: list[str] | None = None,
     return out.withColumn("leakage", F.lit(bool(tune_on_test)))
 
 
-def macro(per_group: DataFrame, cols=("auprc", "roc_auc", "f1", "precision", "recall")) -> DataFrame:
-    """Mean over groups, skipping nulls (nan-skipping mean)."""
-    return per_group.agg(*[F.avg(c).alias(c) for c in cols])
+def macro(per_group: DataFrame, cols=("auprc", "roc_auc", "f1", "precision", "recall"),
+          first_rule_order: str | None = None) -> DataFrame:
+    """Mean over groups, skipping nulls (nan-skipping mean).
+
+    ``first_rule_order`` reproduces the reference's rule instead: a metric is null
+    when the first group (by that column) has a null value for it.
+    """
+    if not first_rule_order:
+        return per_group.agg(*[F.avg(c).alias(c) for c in cols])
+    first = {c: F.min_by(F.col(c).isNull(), F.col(first_rule_order)) for c in cols}
+    return per_group.agg(*[F.when(~first[c], F.avg(c)).alias(c) for c in cols])
 
 
 def rank_to_prob(df: DataFrame, score: str, id_col: str, out: str = "prob") -> DataFrame:

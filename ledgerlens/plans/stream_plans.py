@@ -124,3 +124,26 @@ def stream_sliding(spark, sf):
                   slide="12 hours", watermark="1 hour", name="sliding")
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", rnd("value_sum").alias("value_sum"))
+
+
+def _updates_stream(spark, sf):
+    e = _events_stream(spark, sf)
+    return e.select("event_id", "ts", F.concat(F.lit("c"), (F.col("user_id") % T.N_CLIENTS).cast("string"))
+                    .alias("client_id"), T.round_col(F.col("ts")).alias("round"), "value")
+
+
+@register("stream_dedup_keys", sql=f"""
+select distinct concat('c', cast(user_id % 4 as varchar)) as client_id, {ROUND_SQL} as round from events""")
+def stream_dedup_keys(spark, sf):
+    """Duplicate (client, round) updates rejected on the stream; the surviving keys."""
+    d = S.dedup_within_watermark(_updates_stream(spark, sf), ["client_id", "round"], "ts", "1 day")
+    return S.run_append(d.select("client_id", "round"), "dedup")
+
+
+@register("stream_barrier", sql=f"""
+select {ROUND_SQL} as round from events
+group by all having count(distinct concat('c', cast(user_id % 4 as varchar))) >= {T.N_CLIENTS}""")
+def stream_barrier(spark, sf):
+    """Rounds released by the streaming barrier (per-round client sets in state)."""
+    b = S.round_barrier(_updates_stream(spark, sf), "round", "client_id", T.N_CLIENTS)
+    return b.select("round")

@@ -110,3 +110,40 @@ def windows(stream: DataFrame, ts: str, keys: list[str], aggs: list, duration: s
     vals = [c for c in allv.columns if c not in (*k, "_batch")]
     latest = allv.groupBy(*k).agg(F.max_by(F.struct(*vals), F.col("_batch")).alias("_v"))
     return latest.select(*k, "_v.*")
+
+
+def dedup_within_watermark(stream: DataFrame, keys: list[str], ts: str, watermark: str = "1 day") -> DataFrame:
+    """Streaming duplicate rejection: the first arrival per key is kept; state for a
+    key is dropped once the watermark passes its event time."""
+    spark = stream.sparkSession
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    if stream.schema[ts].dataType.typeName() == "timestamp_ntz":
+        stream = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
+    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def round_barrier(stream: DataFrame, round_col: str, client_col: str, expected: int,
+                  name: str = "barrier") -> DataFrame:
+    """Emit each round once, when its distinct clients reach ``expected``.
+
+    Per-round state is the set of clients seen so far (bounded by the roster);
+    ``applyInPandasWithState`` keeps it across micro-batches and checkpoints it.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, pdfs, state):
+        seen, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
+        for pdf in pdfs:
+            seen.update(pdf[client_col].astype(str).tolist())
+        if not done and len(seen) >= expected:
+            done = True
+            state.update((sorted(seen), done))
+            yield pd.DataFrame({round_col: [key[0]], "n_clients": [len(seen)]})
+        else:
+            state.update((sorted(seen), done))
+
+    out = stream.select(round_col, client_col).groupBy(round_col).applyInPandasWithState(
+        step, f"{round_col} int, n_clients long", "clients array<string>, done boolean", "append",
+        GroupStateTimeout.NoTimeout)
+    return run_append(out, name)

@@ -159,3 +159,11 @@ def test_tie_robust_rank_with_hot_score(spark):
         RK.MIN_ROWS_PER_BUCKET = old
     order = sorted(rows, key=lambda r: (r[2], r[0]))
     assert got == {r[0]: k + 1 for k, r in enumerate(order)}
+
+
+def test_macro_rules(spark):
+    pg = spark.createDataFrame([(0, None, 0.5), (1, 0.8, 0.7), (2, 0.6, None)], "party int, roc_auc double, f1 double")
+    a = M.macro(pg, ("roc_auc", "f1")).first()
+    assert a["roc_auc"] == pytest.approx(0.7) and a["f1"] == pytest.approx(0.6)
+    b = M.macro(pg, ("roc_auc", "f1"), first_rule_order="party").first()
+    assert b["roc_auc"] is None and b["f1"] == pytest.approx(0.6)
