@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import metrics as M
-from ledgerlens.sources.io import discover, read_json_records
+from ledgerlens.sources.io import discover
 
 # Glob patterns of secret-bearing artefacts, relative to a run root
 # (listed here, never wiped).

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import prep
-from ledgerlens.plans.registry import CALIB, EMBARGO, SPLIT_SQL, TEST, TXN_SQL, register, rnd
+from ledgerlens.plans.registry import CALIB, EMBARGO, SPLIT_SQL, TEST, TXN_SQL, register
 from ledgerlens.sources import tables as T
 
 TXN_COLS = ["txn_id", "step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig",
@@ -64,8 +64,7 @@ from txn""")
 def bad_step_count(spark, sf):
     t = T.txn(spark, sf).select(F.col("step").cast("string").alias("step"), "type",
                                 F.substring("nameOrig", 2, 1 << 30).alias("orig_digits"))
-    return prep.bad_numeric_counts(t, ["step", "type", "orig_digits"]).withColumnRenamed(
-        "bad_orig_digits", "bad_orig_digits")
+    return prep.bad_numeric_counts(t, ["step", "type", "orig_digits"])
 
 
 @register("step_cutoffs", sql=f"""
