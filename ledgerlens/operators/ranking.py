@@ -178,13 +178,57 @@ def _interp(sorted_pairs: list[tuple[float, int]], n: int, probs: list[float]) -
     return res
 
 
+def _values_at_ranks(d: DataFrame, ranks: list[int], fanout: int = 1_000) -> dict[int, float]:
+    """Value at each 0-based rank of the multiset described by ``d(v, c)``.
+
+    Narrowing search: while the candidate value range holds more than
+    ``LOCAL_DISTINCT_LIMIT`` distinct values, split it into ~``fanout``
+    equi-depth buckets (one sketch pass), total the rows per bucket (at most
+    ``fanout`` rows come back) and keep only the bucket containing the rank.
+    Each level shrinks the range ~``fanout``-fold; only a range below the checked
+    limit is ever brought to the driver.
+    """
+    out: dict[int, float] = {}
+    for k in sorted(set(ranks)):
+        lo, hi, base = None, None, 0  # range (lo, hi]; base = rows with v <= lo
+        while True:
+            sub = d
+            if lo is not None:
+                sub = sub.filter(F.col("v") > F.lit(lo))
+            if hi is not None:
+                sub = sub.filter(F.col("v") <= F.lit(hi))
+            small = sub.limit(LOCAL_DISTINCT_LIMIT + 1).collect()
+            if len(small) <= LOCAL_DISTINCT_LIMIT:
+                cum = base
+                for v, c in sorted((r["v"], r["c"]) for r in small):
+                    if k < cum + c:
+                        out[k] = v
+                        break
+                    cum += c
+                break
+            probs = [i / fanout for i in range(1, fanout)]
+            bnd = sub.agg(F.percentile_approx("v", probs, 10 * fanout)).first()[0] or []
+            splits = [-math.inf] + sorted({float(x) for x in bnd}) + [math.inf]
+            tagged = Bucketizer(splits=splits, inputCol="v", outputCol="_b").transform(sub)
+            tot = sorted((r["_b"], r["n"], r["mx"]) for r in
+                         tagged.groupBy("_b").agg(F.sum("c").alias("n"), F.max("v").alias("mx")).collect())
+            cum, prev_mx = base, lo
+            for _, n, mx in tot:
+                if k < cum + n:
+                    lo, hi, base = prev_mx, mx, cum
+                    break
+                cum += n
+                prev_mx = mx
+    return out
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int | None = None) -> list[float]:
-    """Exact linear-interpolated quantiles of a numeric column; nulls ignored.
+    """Exact linear-interpolated quantiles (numpy 'linear') of a numeric column; nulls ignored.
 
     Values are first collapsed to (value, count) with a partial aggregation, so a
     hot value costs one row. If few distinct values remain (checked with a limit)
-    they come to the driver; otherwise only the one or two buckets that contain
-    the needed ranks are fetched.
+    they come to the driver; otherwise the needed ranks are found by a
+    distributed narrowing search (:func:`_values_at_ranks`).
     """
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     d = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
@@ -195,54 +239,11 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int |
         if n == 0:
             raise ValueError(f"no numeric values in {col!r}")
         return _interp(pairs, n, probs)
-    # bucketed selection
-    nd = len(small)
-    b = buckets or max(2, min(100_000, math.ceil(nd * 10 / LOCAL_DISTINCT_LIMIT)))
-    db = with_bucket(d, F.col("v"), b)
-    tot = sorted((r["_bkt"], r["n"]) for r in db.groupBy("_bkt").agg(F.sum("c").alias("n")).collect())
-    n = sum(t for _, t in tot)
-    ranks = []
+    n = d.agg(F.sum("c")).first()[0]
+    want = []
     for q in probs:
         pos = q * (n - 1)
         lo = math.floor(pos)
-        ranks += [lo, min(lo + 1, n - 1)]
-    starts, cum = {}, 0
-    for bk, t in tot:
-        starts[bk] = (cum, t)
-        cum += t
-    need_b = sorted({bk for r in ranks for bk, (s, t) in starts.items() if s <= r < s + t})
-    pairs: list[tuple[float, int]] = []
-    first_start = min(starts[bk][0] for bk in need_b)
-    for r in db.filter(F.col("_bkt").isin(need_b)).select("v", "c").collect():
-        pairs.append((r["v"], r["c"]))
-    pairs.sort()
-    # shift ranks into the fetched window: prepend a virtual block of skipped rows
-    pre = [(-math.inf, first_start)] if first_start else []
-    # gaps between non-adjacent fetched buckets are never addressed by a needed rank
-    return _interp(pre + _fill_gaps(pairs, need_b, starts), n, probs)
-
-
-def _fill_gaps(pairs, need_b, starts):
-    # fetched buckets may be non-adjacent; insert the skipped counts as filler so
-    # that cumulative positions stay aligned with global ranks.
-    out, bk_sorted = [], sorted(need_b)
-    if len(bk_sorted) <= 1:
-        return pairs
-    # split pairs by bucket start using value order: buckets are value ranges
-    by_bucket: dict[float, list] = {bk: [] for bk in bk_sorted}
-    totals = {bk: starts[bk][1] for bk in bk_sorted}
-    idx = 0
-    for bk in bk_sorted:
-        acc = 0
-        while idx < len(pairs) and acc < totals[bk]:
-            by_bucket[bk].append(pairs[idx])
-            acc += pairs[idx][1]
-            idx += 1
-    prev_end = None
-    for bk in bk_sorted:
-        s, t = starts[bk]
-        if prev_end is not None and s > prev_end:
-            out.append((by_bucket[bk][0][0] if by_bucket[bk] else math.inf, s - prev_end))
-        out += by_bucket[bk]
-        prev_end = s + t
-    return out
+        want.append((lo, min(lo + 1, n - 1), pos - lo))
+    vals = _values_at_ranks(d, [r for lo, hi, _ in want for r in (lo, hi)], fanout=buckets or 1_000)
+    return [vals[lo] + (vals[hi] - vals[lo]) * frac for lo, hi, frac in want]
