@@ -54,20 +54,35 @@ def fedavg_step(updates: DataFrame, dim: int, theta: Sequence[float], lr: float
 
 def fedavg_rounds(df: DataFrame, features: Sequence[str], label: str, rounds: int, lr: float = 0.1,
                   theta0: Sequence[float] | None = None, group_cols: Sequence[str] = ("party",),
-                  weight: str | None = None, reset_each_round: bool = False) -> list[list[float]]:
+                  weight: str | None = None, reset_each_round: bool = False,
+                  state_path: str | None = None) -> list[list[float]]:
     """Driver loop: per round one distributed aggregate, θ back as a short list.
 
     θ carries over between rounds; ``reset_each_round`` restarts each round from
     zeros (the reference server's behaviour when its aggregator is rebuilt).
+    With ``state_path`` (a shared folder) each finished round's θ is written
+    there, and a restarted job resumes after the last finished round.
     """
     d = len(features)
     theta = list(theta0) if theta0 is not None else [0.0] * d
-    out = []
-    for _ in range(rounds):
+    out: list[list[float]] = []
+    spark = df.sparkSession
+    if state_path:
+        try:
+            done = spark.read.parquet(state_path).orderBy("round").collect()
+        except Exception:  # noqa: BLE001 — nothing written yet
+            done = []
+        out = [list(r["theta"]) for r in done][:rounds]
+        if out:
+            theta = out[-1]
+    for r in range(len(out), rounds):
         start = [0.0] * d if reset_each_round else theta
         g = grad_sums(df, features, label, start, group_cols, weight)
         theta = fedavg_step(g, d, start, lr)
         out.append(theta)
+        if state_path:
+            spark.createDataFrame([(r + 1, [float(t) for t in theta])], "round int, theta array<double>") \
+                .write.mode("append").parquet(state_path)
     return out
 
 

@@ -87,3 +87,14 @@ def test_bias_column_added_when_theta_longer(spark):
     df = spark.createDataFrame([(2.0,)], "x double")
     p = L.score(df, ["x"], [0.5, -1.0]).first()["p"]
     assert p == pytest.approx(1 / (1 + np.exp(-(0.5 * 2.0 - 1.0))))
+
+
+def test_fedavg_rounds_resume(spark):
+    from ledgerlens.session import scratch_path
+    df, _ = lr_data(spark)
+    path = scratch_path(spark, "fedavg-state")
+    full = L.fedavg_rounds(df, ["x1", "x2", "x0"], "y", rounds=3, lr=1.0)
+    part = L.fedavg_rounds(df, ["x1", "x2", "x0"], "y", rounds=2, lr=1.0, state_path=path)
+    resumed = L.fedavg_rounds(df, ["x1", "x2", "x0"], "y", rounds=3, lr=1.0, state_path=path)
+    assert part == full[:2]
+    assert all(a == pytest.approx(b) for a, b in zip(resumed, full)) and len(resumed) == 3
