@@ -39,8 +39,10 @@ class TxnFeaturizer(Estimator, _FeaturizerParams, DefaultParamsReadable, Default
 
     def _fit(self, df: DataFrame) -> "TxnFeaturizerModel":
         zf = self.getOrDefault(self.zeroFill)
-        p = prep.fit_scale(df, self.getOrDefault(self.numericCols), zero_fill=zf, std_floor=1e-12 if zf else None)
-        vocab = prep.fit_vocab(df, self.getOrDefault(self.categoricalCols), self.getOrDefault(self.maxLevels))
+        p, vocab = prep.fit_scale_and_vocab(df, self.getOrDefault(self.numericCols),
+                                            self.getOrDefault(self.categoricalCols), zero_fill=zf,
+                                            std_floor=1e-12 if zf else None,
+                                            max_levels=self.getOrDefault(self.maxLevels))
         m = TxnFeaturizerModel(keepCols=self.getOrDefault(self.keepCols), zeroFill=zf,
                                scaleJson=json.dumps({"mean": p.mean, "std": p.std}),
                                vocabJson=json.dumps(vocab))

@@ -9,6 +9,7 @@ stays inside whole-stage codegen with no join and no extra shuffle.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -238,3 +239,13 @@ def onehot_exprs(vocab: dict[str, list[str]]) -> list[Column]:
 
 def apply_onehot(df: DataFrame, vocab: dict[str, list[str]], keep: list[str]) -> DataFrame:
     return df.select(*[F.col(k) for k in keep], *onehot_exprs(vocab))
+
+
+def fit_scale_and_vocab(train: DataFrame, numeric: list[str], categorical: list[str], *,
+                        zero_fill: bool = False, std_floor: float | None = None,
+                        max_levels: int = 10_000) -> tuple[ScaleParams, dict[str, list[str]]]:
+    """Both fits at once: two independent Spark jobs submitted concurrently."""
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fs = pool.submit(fit_scale, train, numeric, zero_fill=zero_fill, std_floor=std_floor)
+        fv = pool.submit(fit_vocab, train, categorical, max_levels)
+        return fs.result(), fv.result()

@@ -190,8 +190,7 @@ def prepared_features(spark, sf):
     """Flagship slice: split → fit scaling + vocabulary on train → one projection."""
     s = split_txn(spark, sf)
     tr = s.filter(F.col("split") == "train")
-    p = prep.fit_scale(tr, NUMERIC)
-    vocab = prep.fit_vocab(tr, ["type"])
+    p, vocab = prep.fit_scale_and_vocab(tr, NUMERIC, ["type"])
     return s.select("txn_id", "split", "isFraud",
                     *[rnd(e).alias(c) for e, c in zip(prep.scale_exprs(p), NUMERIC)],
                     *prep.onehot_exprs(vocab))

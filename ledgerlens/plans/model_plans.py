@@ -25,8 +25,7 @@ def feature_frame(spark, sf):
     """Scaled numerics + one-hot type, fitted on the training window; ML-safe names."""
     s = split_txn(spark, sf)
     tr = s.filter(F.col("split") == "train")
-    p = prep.fit_scale(tr, NUMERIC)
-    vocab = prep.fit_vocab(tr, ["type"])
+    p, vocab = prep.fit_scale_and_vocab(tr, NUMERIC, ["type"])
     oh = prep.onehot_exprs(vocab)
     names = [f"type_{i}" for i in range(len(oh))]
     df = s.select("txn_id", "party", "split", F.col("isFraud").alias("y"), *prep.scale_exprs(p),
