@@ -18,6 +18,7 @@ Boundaries only balance the work; results do not depend on them.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -101,12 +102,13 @@ def row_number_ties(df: DataFrame, order_col: str, tie_col: str, group_cols: lis
     """
     g = list(group_cols or [])
     counts = df.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("_n"))
-    before = running_sums(counts, order_col, ["_n"], g, descending=False, prefix="_cum", buckets=buckets,
-                          totals=total is not None)
+    with ThreadPoolExecutor(max_workers=1) as pool:  # the two boundary passes run concurrently
+        fut = pool.submit(row_number, df, [F.col(tie_col)], F.col(tie_col), g + [order_col], "_w", buckets)
+        before = running_sums(counts, order_col, ["_n"], g, descending=False, prefix="_cum", buckets=buckets,
+                              totals=total is not None)
+        within = fut.result()
     extra = [F.col("tot__n").alias(total)] if total else []
     before = before.select(*g, order_col, (F.col("_cum_n") - F.col("_n")).alias("_before"), *extra)
-    within = row_number(df, [F.col(tie_col)], F.col(tie_col), group_cols=g + [order_col], out="_w",
-                        buckets=buckets)
     return (within.join(before, g + [order_col], "inner")
             .withColumn(out, (F.col("_before") + F.col("_w")).cast("bigint")).drop("_before", "_w"))
 

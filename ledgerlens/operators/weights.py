@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,12 +80,14 @@ def stratified_split(df: DataFrame, id_col: str, label: str, frac: float = 0.2,
     Rows are ranked per class in a seeded hash order with the distributed
     row number (no whole class in one task).
     """
-    counts = {r["label"]: r["n"] for r in class_counts(df, label).limit(MAX_CLASSES + 1).collect()}
-    if len(counts) > MAX_CLASSES:
-        raise ValueError("too many classes for a stratified split")
     h, hk = hash_order_key(id_col, seed)
     d = df.withColumn("_h", h)
-    ranked = row_number(d, [F.col("_h"), F.col(id_col)], hk, group_cols=[label], out="_rn")
+    with ThreadPoolExecutor(max_workers=1) as pool:  # class counts and bucket bounds: concurrent jobs
+        fut = pool.submit(lambda: class_counts(df, label).limit(MAX_CLASSES + 1).collect())
+        ranked = row_number(d, [F.col("_h"), F.col(id_col)], hk, group_cols=[label], out="_rn")
+        counts = {r["label"]: r["n"] for r in fut.result()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError("too many classes for a stratified split")
     quota = None
     for lab, n in counts.items():
         if lab is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import linear as L, metrics as M, report as RP
@@ -29,12 +31,17 @@ def scoreboard(spark, sf):
     artefacts, discovered recursively, normalised and ranked."""
     root = scratch_path(spark, "runs")
     base = T.party_txn(spark, sf)
-    for name, (expr, _) in FAMILIES.items():
+
+    def run(name, expr):
         s = base.select("party", F.col("isFraud").alias("y"), expr().alias("p"))
         ev = M.evaluate(s, "y", "p", ["party"], tune_on_test=True, mode="eval")
         rec = ev.select(F.lit(name).alias("family"), "party", F.col("auprc").alias("AUPRC"),
                         F.col("f1").alias("F1"), F.col("threshold").alias("threshold_used"), "leakage")
         write_json(rec, f"{root}/{name}")
+
+    with ThreadPoolExecutor(max_workers=len(FAMILIES)) as pool:  # independent runs, concurrent jobs
+        for f in [pool.submit(run, name, expr) for name, (expr, _) in FAMILIES.items()]:
+            f.result()
     sb = RP.scoreboard(RP.load_metrics(spark, root))
     return sb.select("family", F.col("party").cast("int").alias("party"), rnd("auprc", 9).alias("auprc"), rnd("f1", 9).alias("f1"),
                      rnd("threshold", 9).alias("threshold"))
