@@ -1,12 +1,14 @@
 """Query catalogue: importing this package registers every named query."""
 
-from ledgerlens.plans import prep_plans  # noqa: F401
+from ledgerlens.plans import (  # noqa: F401
+    features_plans,
+    fed_plans,
+    metric_plans,
+    model_plans,
+    prep_plans,
+    psi_plans,
+    report_plans,
+    secagg_plans,
+    stream_plans,
+)
 from ledgerlens.plans.registry import ORACLE, QUERIES  # noqa: F401
-
-for _mod in ("features_plans", "psi_plans", "metric_plans", "fed_plans", "secagg_plans",
-             "model_plans", "stream_plans", "report_plans"):
-    try:
-        __import__(f"ledgerlens.plans.{_mod}")
-    except ModuleNotFoundError as e:  # modules land one by one while the catalogue grows
-        if e.name != f"ledgerlens.plans.{_mod}":
-            raise
