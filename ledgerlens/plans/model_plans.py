@@ -112,6 +112,12 @@ def fed_ensemble(spark, sf):
     return _fed_job(spark, sf, "gbt", weighted=True)
 
 
+@register("fed_iforest")
+def fed_iforest(spark, sf):
+    """Per-party isolation forests; rank probabilities averaged with weights n_party / n."""
+    return _fed_job(spark, sf, "iforest", weighted=True)
+
+
 @register("topk_features", sql=f"""
 with {EMB_LONG_SQL}
 select pos, round(var_pop(x), 9) as variance from l group by pos
