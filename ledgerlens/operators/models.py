@@ -72,12 +72,12 @@ class Fitted:
 
 def fit(train: DataFrame, features: Sequence[str], family: str, label: str = "y", weight: str | None = None,
         seed: int = 42, n_trees: int = 400, validation_col: str | None = None,
-        id_col: str = "txn_id") -> Fitted:
+        id_col: str = "txn_id", n_rows: int | None = None) -> Fitted:
     if family == "iforest":
         return Fitted(family, features, IF.fit(train, list(features), n_trees=n_trees, seed=seed, key=id_col),
                       id_col)
     tr = assemble(train, features)
-    n = train.count() if family == "lr" else 1
+    n = (n_rows if n_rows is not None else train.count()) if family == "lr" else 1
     return Fitted(family, features, build(family, label, weight, n, seed, n_trees, validation_col).fit(tr), id_col)
 
 

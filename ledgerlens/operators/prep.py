@@ -249,3 +249,49 @@ def fit_scale_and_vocab(train: DataFrame, numeric: list[str], categorical: list[
         fs = pool.submit(fit_scale, train, numeric, zero_fill=zero_fill, std_floor=std_floor)
         fv = pool.submit(fit_vocab, train, categorical, max_levels)
         return fs.result(), fv.result()
+
+
+def preprocess(df: DataFrame, *, id_col: str, label: str, step_col: str | None = None,
+               calib_frac: float = 0.0, test_frac: float = 0.0, embargo: float = 0.0,
+               external_test: DataFrame | None = None, required: list[str] | None = None,
+               drop: list[str] | None = None, id_columns: list[str] | None = None,
+               numeric: list[str] | None = None, categorical: list[str] | None = None,
+               zero_fill: bool = False, max_levels: int = 10_000) -> tuple[DataFrame, dict]:
+    """The preprocessing job in one call: validate → coerce → split → fit on train →
+    one projection over every split. Returns (frame with ``split``, schema document).
+
+    * no ``step_col``: every input row is ``train``;
+    * ``external_test``: transformed with the training fit and labelled ``test``;
+      in-file rows that the step split would call ``test`` are then excluded;
+    * id columns are never features; numeric/categorical default to schema types.
+    """
+    df = trim_headers(df)
+    df = require_columns(df, (required or []) + [id_col], label)
+    df = coerce_label(drop_optional(df, drop or []), label)
+    ids = set([id_col] + list(id_columns or []))
+    if step_col:
+        assert_numeric(df, step_col)
+        cuts = step_cutoffs(df, step_col, calib_frac, test_frac)
+        df = assign_split(df, step_col, cuts, embargo)
+        split_meta = {"cutoffs": {"train_end": cuts.train_end, "cal_end": cuts.cal_end},
+                      "fractions": {"train": 1.0 - calib_frac - test_frac, "calib": calib_frac, "test": test_frac},
+                      "embargo_steps": embargo}
+    else:
+        df = df.withColumn("split", F.lit("train"))
+        split_meta = {}
+    if external_test is not None:
+        ext = coerce_label(drop_optional(trim_headers(external_test), drop or []), label)
+        df = df.filter(F.col("split") != "test").unionByName(ext.withColumn("split", F.lit("test")),
+                                                             allowMissingColumns=True)
+    num, cat = split_types(df, exclude=[label, "split", *ids])
+    num = numeric if numeric is not None else num
+    cat = categorical if categorical is not None else cat
+    train = df.filter(F.col("split") == "train")
+    params, vocab = fit_scale_and_vocab(train, num, cat, zero_fill=zero_fill,
+                                        std_floor=1e-12 if zero_fill else None, max_levels=max_levels)
+    out = df.select(F.col(id_col).cast("string").alias(id_col), *scale_exprs(params, zero_fill=zero_fill),
+                    *onehot_exprs(vocab), F.col(label), F.col("split"))
+    schema = {"target": label, "id_column": id_col, "numeric": num, "categorical": cat,
+              "ohe_categories": vocab, "scaler": {"mean": params.mean, "std": params.std},
+              "time_splits": split_meta}
+    return out, schema

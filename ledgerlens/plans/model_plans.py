@@ -39,9 +39,12 @@ def _train_job(spark, sf, family, n_trees=400):
     # means recomputation from lineage. Released before the lazy result returns.
     df = df.cache()
     tr = df.filter(F.col("split") == "train")
-    weight = None
+    weight, n_rows = None, None
     if family in ("lr", "rf", "gbt"):
-        tr = W.sample_weights(tr, "y", W.weight_map(W.balanced_weights(tr, "y")))
+        counts = {r["label"]: r["n"] for r in W.class_counts(tr, "y").collect()}  # one row per class
+        n_rows = sum(counts.values())
+        k = sum(1 for c in counts if c is not None)
+        tr = W.sample_weights(tr, "y", {int(c): n_rows / (k * n) for c, n in counts.items() if c is not None})
         weight = "weight"
     cal, te = df.filter(F.col("split") == "cal"), df.filter(F.col("split") == "test")
     if not cal.take(1):
@@ -53,7 +56,7 @@ def _train_job(spark, sf, family, n_trees=400):
         both = tr.unionByName(W.sample_weights(cal, "y", None)).withColumn("is_val", F.col("split") == "cal")
         model = MD.fit(both, feats, family, weight=weight, n_trees=n_trees, validation_col="is_val")
     else:
-        model = MD.fit(tr, feats, family, weight=weight, n_trees=n_trees)
+        model = MD.fit(tr, feats, family, weight=weight, n_trees=n_trees, n_rows=n_rows)
     val_scored, test_scored = model.score(cal), model.score(te)
     thr = MD.tuned_threshold(val_scored, "y", "p_hat", mode="train")
     df.unpersist()

@@ -98,3 +98,19 @@ def test_required_columns_and_label_case(spark):
     assert "isFraud" in out.columns
     with pytest.raises(ValueError):
         prep.require_columns(df, ["step", "amount"], "isFraud")
+
+
+def test_preprocess_job(spark):
+    from conftest import SF_SMALL
+    from ledgerlens.sources import tables as T
+    t = T.txn(spark, SF_SMALL)
+    out, schema = prep.preprocess(t, id_col="txn_id", label="isFraud", step_col="step", calib_frac=0.15,
+                                  test_frac=0.2, embargo=5, id_columns=["nameOrig", "nameDest"])
+    assert schema["categorical"] == ["type"] and "nameOrig" not in schema["numeric"]
+    assert set(r[0] for r in out.select("split").distinct().collect()) == {"train", "cal", "test"}
+    tr = out.filter("split = 'train'")
+    assert abs(tr.agg(F.avg("amount")).first()[0]) < 1e-9  # scaled on train
+    ext = t.limit(7)
+    out2, _ = prep.preprocess(t, id_col="txn_id", label="isFraud", step_col="step", calib_frac=0.15,
+                              test_frac=0.2, embargo=5, id_columns=["nameOrig", "nameDest"], external_test=ext)
+    assert out2.filter("split = 'test'").count() == 7
