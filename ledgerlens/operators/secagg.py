@@ -20,8 +20,8 @@ from ledgerlens.functions.crypto import pair_salt, utf8
 
 MAX_ROSTER = 2_000
 TWO_64 = 18446744073709551616.0
-# Fixed value: domain-separation prefix of the per-client commitment key.
-COMMIT_PREFIX = "ffd_secureagg_commit|"
+# Domain-separation prefix of the per-client commitment key (ours).
+COMMIT_PREFIX = "ledgerlens-mask-commit|"
 
 
 def roster(df: DataFrame, session: str, client: str) -> DataFrame:
