@@ -16,11 +16,22 @@ from ledgerlens.operators.ranking import row_number
 
 
 def tokenize(df: DataFrame, id_col: str, key: bytes, salt: bytes = b"", canon: str = "none",
-             keep: list[str] | None = None) -> DataFrame:
-    """One token per input row (duplicates kept), next to the ``keep`` columns."""
+             keep: list[str] | None = None, drop_null: bool = True) -> DataFrame:
+    """One token per input row (duplicates kept), next to the ``keep`` columns.
+
+    Null ids are dropped by default (they would all hash to the token of ''),
+    see :func:`null_id_counts` for how many.
+    """
+    if drop_null:
+        df = df.filter(F.col(id_col).isNotNull())
     return df.select(*(keep or []), hmac_token(id_col, key, salt, canon).alias("token"))
 
 
+def null_id_counts(df: DataFrame, id_col: str, party: str = "party") -> DataFrame:
+    """Per party: rows whose id is null (excluded from the intersection)."""
+    return df.groupBy(party).agg(F.count_if(F.col(id_col).isNull()).alias("null_ids"))
+
+
 def id_token_map(df: DataFrame, id_col: str, key: bytes, salt: bytes = b"", canon: str = "none") -> DataFrame:
     """Distinct (id, token) pairs (one global map rather than one per chunk)."""
     return df.select(F.col(id_col).alias("id"), hmac_token(id_col, key, salt, canon).alias("token")).distinct()

@@ -46,3 +46,10 @@ def test_id_hash_map_distinct(spark):
     df = spark.createDataFrame([("a", "m"), ("a", "n")], "nameOrig string, nameDest string")
     m = psi.id_hash_map(df, ["nameOrig", "nameDest"], KEY).collect()
     assert sorted((r["id"], r["column"]) for r in m) == [("a", "nameOrig"), ("m", "nameDest"), ("n", "nameDest")]
+
+
+def test_null_ids_dropped_and_counted(spark):
+    df = spark.createDataFrame([("A", "x"), ("A", None), ("B", "x"), ("B", None)], "party string, id string")
+    tok = psi.tokenize(df, "id", KEY, b"s", "lower", keep=["party"])
+    assert tok.count() == 2 and psi.intersect(tok).count() == 1
+    assert {r["party"]: r["null_ids"] for r in psi.null_id_counts(df, "id").collect()} == {"A": 1, "B": 1}
