@@ -33,8 +33,9 @@ def null_id_counts(df: DataFrame, id_col: str, party: str = "party") -> DataFram
 
 
 def id_token_map(df: DataFrame, id_col: str, key: bytes, salt: bytes = b"", canon: str = "none") -> DataFrame:
-    """Distinct (id, token) pairs (one global map rather than one per chunk)."""
-    return df.select(F.col(id_col).alias("id"), hmac_token(id_col, key, salt, canon).alias("token")).distinct()
+    """Distinct (id, token) pairs (one global map rather than one per chunk); null ids skipped."""
+    return (df.filter(F.col(id_col).isNotNull())
+            .select(F.col(id_col).alias("id"), hmac_token(id_col, key, salt, canon).alias("token")).distinct())
 
 
 def id_hash_map(df: DataFrame, id_cols: list[str], key: bytes) -> DataFrame:
@@ -72,8 +73,9 @@ def party_counts(tokens: DataFrame, inter: DataFrame, party: str = "party") -> D
 
 def semi_filter(df: DataFrame, id_col: str, inter: DataFrame, key: bytes, salt: bytes = b"",
                 canon: str = "none") -> DataFrame:
-    """Rows whose token is in the intersection (left semi join; AQE picks the method)."""
-    t = df.withColumn("_tok", hmac_token(id_col, key, salt, canon))
+    """Rows whose token is in the intersection (left semi join; AQE picks the method).
+    Rows with a null id never match."""
+    t = df.filter(F.col(id_col).isNotNull()).withColumn("_tok", hmac_token(id_col, key, salt, canon))
     return t.join(inter.withColumnRenamed("token", "_tok"), "_tok", "left_semi").drop("_tok")
 
 

@@ -35,6 +35,23 @@ def balanced_weights(df: DataFrame, label: str, *, fixed_k: int | None = None,
     return cc.filter(F.col("label").isNotNull()).select("label", (F.col("_n") / (k * cnt)).alias("weight"))
 
 
+def label01_counts(df: DataFrame, label: str) -> DataFrame:
+    """Chunked form: only labels 0 and 1 are counted (one row: n0, n1)."""
+    y = F.col(label)
+    return df.agg(F.count_if(y == 0).alias("n0"), F.count_if(y == 1).alias("n1"))
+
+
+def balanced_weights_01(df: DataFrame, label: str) -> DataFrame:
+    """Chunked form of balanced weights: k fixed at 2, counts floored at 1,
+    n = n0 + n1 (other labels ignored). One aggregation, two output rows."""
+    c = label01_counts(df, label)
+    n = F.col("n0") + F.col("n1")
+    return c.select(F.explode(F.array(
+        F.struct(F.lit(0).alias("label"), (n / (2.0 * F.greatest(F.col("n0"), F.lit(1)))).alias("weight")),
+        F.struct(F.lit(1).alias("label"), (n / (2.0 * F.greatest(F.col("n1"), F.lit(1)))).alias("weight")),
+    )).alias("w")).select("w.*")
+
+
 def inverse_weights(counts: DataFrame) -> DataFrame:
     """``total / count`` per class (0 for a zero count); total over all classes."""
     tot = F.sum("n").over(Window.partitionBy())  # one row per class (tiny)

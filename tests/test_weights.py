@@ -56,3 +56,11 @@ def test_row_index_contiguous_many_buckets(spark):
     finally:
         RK.MIN_ROWS_PER_BUCKET = old
     assert sorted((r["k"], r["row_idx"]) for r in out) == [(3 * i, i) for i in range(1000)]
+
+
+def test_chunked_balanced_weights(spark):
+    df = labels(spark, [0] * 8 + [1] * 2 + [5] * 3)
+    w = {r["label"]: r["weight"] for r in W.balanced_weights_01(df, "y").collect()}
+    assert w == pytest.approx({0: 10 / 16, 1: 10 / 4})
+    only0 = {r["label"]: r["weight"] for r in W.balanced_weights_01(labels(spark, [0] * 4), "y").collect()}
+    assert only0 == pytest.approx({0: 0.5, 1: 2.0})  # count floored at 1
