@@ -194,3 +194,18 @@ def prepared_features(spark, sf):
     return s.select("txn_id", "split", "isFraud",
                     *[rnd(e).alias(c) for e, c in zip(prep.scale_exprs(p), NUMERIC)],
                     *prep.onehot_exprs(vocab))
+
+
+@register("preprocess_txn", sql=f"""
+with {SCALE_PARAMS_SQL}
+select cast(txn_id as varchar) as txn_id, split, isFraud, {_scaled_select_sql()}, {_onehot_sql('type', TYPE_LEVELS)}
+from split_txn""")
+def preprocess_txn(spark, sf):
+    """The one-call preprocessing job on the transaction view (types discovered
+    from the schema, id columns excluded, label coerced)."""
+    from ledgerlens.plans.registry import CALIB, EMBARGO, TEST
+    out, schema = prep.preprocess(T.txn(spark, sf), id_col="txn_id", label="isFraud", step_col="step",
+                                  calib_frac=CALIB, test_frac=TEST, embargo=EMBARGO,
+                                  id_columns=["nameOrig", "nameDest"])
+    return out.select("txn_id", "split", "isFraud", *[rnd(c).alias(c) for c in schema["numeric"]],
+                      *[c for c in out.columns if "__" in c])
