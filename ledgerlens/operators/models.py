@@ -10,6 +10,7 @@ ensembles train one model per party and average their probabilities.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -114,8 +115,8 @@ def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str
     sizes = {r[party]: r["n"] for r in rows if r["n"] > 0}
     per = n_trees if not max_trees else max(1, min(n_trees, max_trees // max(1, len(sizes))))
     total = float(sum(sizes.values()))
-    acc = None
-    for i, (pt, n) in enumerate(sorted(sizes.items())):
+
+    def one(i: int, pt, n: int) -> DataFrame:
         part = train.filter(F.col(party) == pt)
         val = None
         if family == "gbt":
@@ -125,8 +126,14 @@ def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str
         s = fit_predict(part, score_on.select(id_col, label, *features), features,
                         family, label, n_trees=per, seed=seed + i, validation_col=val, id_col=id_col)
         w = (n / total) if weighted else 1.0 / len(sizes)
-        term = s.select(id_col, label, (F.col("p_hat") * F.lit(w)).alias("_p"))
-        acc = term if acc is None else acc.unionByName(term)
+        return s.select(id_col, label, (F.col("p_hat") * F.lit(w)).alias("_p"))
+
+    # the party models are independent: their fits run as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=max(1, min(4, len(sizes)))) as pool:
+        terms = [f.result() for f in [pool.submit(one, i, pt, n) for i, (pt, n) in enumerate(sorted(sizes.items()))]]
+    acc = terms[0]
+    for t in terms[1:]:
+        acc = acc.unionByName(t)
     return acc.groupBy(id_col, label).agg(F.sum("_p").alias("p_hat"))
 
 
@@ -194,8 +201,10 @@ def train_blend(train: DataFrame, val: DataFrame, score_on: DataFrame, features:
     the threshold come from the grid search on ``val``. Returns (scored, α, thr)."""
     keep = top_features(train, list(features), label)
     both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
-    gbm = fit(both, features, "gbt", label, seed=seed, n_trees=gbt_iters, validation_col="_val", id_col=id_col)
-    rf = fit(train, keep, "rf_shallow", label, seed=seed, n_trees=rf_trees, id_col=id_col)
+    with ThreadPoolExecutor(max_workers=2) as pool:  # independent fits, concurrent jobs
+        fg = pool.submit(fit, both, features, "gbt", label, None, seed, gbt_iters, "_val", id_col)
+        fr = pool.submit(fit, train, keep, "rf_shallow", label, None, seed, rf_trees, None, id_col)
+        gbm, rf = fg.result(), fr.result()
 
     def both_scores(df: DataFrame) -> DataFrame:
         s = gbm.score(df).withColumnRenamed("p_hat", "p_gbm")
