@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerlens.operators import linear as L, rounds as R
 
