@@ -64,3 +64,21 @@ def test_chunked_balanced_weights(spark):
     assert w == pytest.approx({0: 10 / 16, 1: 10 / 4})
     only0 = {r["label"]: r["weight"] for r in W.balanced_weights_01(labels(spark, [0] * 4), "y").collect()}
     assert only0 == pytest.approx({0: 0.5, 1: 2.0})  # count floored at 1
+
+
+def test_grouped_row_number_with_hot_group(spark):
+    """One group holds a third of the rows; per-group ranks still match a brute force."""
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 7}", (i * 7919) % 1000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, k long")
+    old = RK.MIN_ROWS_PER_BUCKET
+    RK.MIN_ROWS_PER_BUCKET = 30
+    try:
+        got = {r["id"]: r["rn"] for r in RK.row_number(df, [F.col("k"), F.col("id")], F.col("k"),
+                                                         group_cols=["g"], buckets=16).collect()}
+    finally:
+        RK.MIN_ROWS_PER_BUCKET = old
+    exp = {}
+    for g in {r[1] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))):
+            exp[r[0]] = n + 1
+    assert got == exp
