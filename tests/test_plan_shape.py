@@ -59,3 +59,22 @@ def test_flagship_prunes_columns_and_inlines_parameters(spark):
     base = plan(T.txn(spark, SF_SMALL))
     # fitted params are literals: the prepared frame adds no exchange to the base view
     assert p.count("Exchange") == base.count("Exchange")
+
+
+def test_partition_count_independence(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append(sorted(tuple(r) for r in QUERIES["per_client_metrics"](spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1]
+
+
+def test_onehot_row_sum_law(spark):
+    oh = QUERIES["onehot"](spark, SF_SMALL)
+    levels = [c for c in oh.columns if "__" in c]
+    s = sum((F.col(f"`{c}`").cast("int") for c in levels), F.lit(0))
+    assert {r[0] for r in oh.select(s.alias("s")).distinct().collect()} <= {0, 1}
