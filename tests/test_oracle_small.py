@@ -37,3 +37,11 @@ def test_matches_duckdb(spark, con, name):
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, res.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_every_sql_twin_runs(con, name):
+    res = con.execute(ORACLE[name])
+    cols = [d[0] for d in res.description]
+    assert len(cols) == len(set(cols))  # names are unique, so column-name matching is well defined
+    res.fetchall()
