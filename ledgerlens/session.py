@@ -45,7 +45,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and job outputs.
 
     Reads ``spark.checkpoint.dir`` from the session (or the context's checkpoint
-    dir). Sets a private one only when neither is set (local mode / tests).
+    dir). Makes a private one only in local mode (tests); on a cluster an unset
+    folder is an error, as a machine-local one would not be shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -56,6 +57,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is not None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
