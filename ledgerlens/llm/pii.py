@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,8 +149,6 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs``) and ``clean``, its text with personal data replaced."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else redact(t, base_spans(t) + [s[:3] for s in more_spans(t)]))

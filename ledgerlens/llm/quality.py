@@ -148,13 +148,14 @@ def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text") -> Dat
     for rule in ordered:
         df = rule.features(df, F.col("kept"))
         df = df.withColumn("kept", F.col("kept") & ~F.coalesce(rule.rejects(), F.lit(False)))
-    return df
+    # a filter on ``kept`` must not move below the features: there it would repeat each of them for every use
+    return df.select("row", "t", "kept", F.spark_partition_id().alias("part"))
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``."""
     ordered = [r for r, _, _ in plan_rules(docs, rules, text_col, sample_rows)]
-    return cascade(docs, ordered, text_col).filter("kept").select("row.*")
+    return cascade(docs, ordered, text_col).filter("kept and part >= 0").select("row.*")
 
 
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
