@@ -108,7 +108,7 @@ class Rule:
 
 
 def default_rules(min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct: int = 10, word_length: tuple[int, int] = (2, 13),
-                  max_dup_line_pct: int = 30, max_capital_pct: int = 50) -> list[Rule]:
+                  max_dup_line_pct: int = 50, max_capital_pct: int = 50) -> list[Rule]:
     c = F.col
     return [
         Rule("few_words", _add_words, lambda: c("n_words") < min_words),

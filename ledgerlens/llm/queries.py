@@ -106,7 +106,7 @@ m as (
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not (base_failed or 100 * n_symbols > 10 * n_words or word_chars < 2 * n_words or word_chars > 13 * n_words
-            or 100 * n_dup_lines > 30 * n_lines or 100 * n_capitals > 50 * word_chars) as kept
+            or 100 * n_dup_lines > 50 * n_lines or 100 * n_capitals > 50 * word_chars) as kept
 from b"""
 
 
