@@ -40,31 +40,37 @@ def _with(df: DataFrame, name: str, value: Column, when: Column | None) -> DataF
     return df.withColumn(name, value if when is None else F.when(when, value))
 
 
+def _feature(df: DataFrame, name: str, value: Column, when: Column | None) -> DataFrame:
+    """A feature that filters can't pass: moved below it, they would repeat its whole computation for every use of it."""
+    here = F.spark_partition_id() >= 0  # always true, and Spark moves no filter across it
+    return _with(df, name, F.when(here if when is None else here & when, value.cast("long")), None)
+
+
 def _add_words(df: DataFrame, when: Column | None) -> DataFrame:
     df = _with(df, "w", words(F.col("t")), when)
-    return _with(df, "n_words", F.size("w").cast("long"), when)
+    return _feature(df, "n_words", F.size("w"), when)
 
 
 def _add_word_chars(df: DataFrame, when: Column | None) -> DataFrame:
     df = _add_words(df, when)
-    return _with(df, "word_chars", F.length(F.translate(F.col("t"), WHITE, "")).cast("long"), when)
+    return _feature(df, "word_chars", F.length(F.translate(F.col("t"), WHITE, "")), when)
 
 
 def _add_symbols(df: DataFrame, when: Column | None) -> DataFrame:
     df = _add_words(df, when)
-    return _with(df, "n_symbols", _count_of(F.col("t"), SYMBOLS), when)
+    return _feature(df, "n_symbols", _count_of(F.col("t"), SYMBOLS), when)
 
 
 def _add_capitals(df: DataFrame, when: Column | None) -> DataFrame:
     df = _add_word_chars(df, when)
-    return _with(df, "n_capitals", _count_of(F.col("t"), CAPITALS), when)
+    return _feature(df, "n_capitals", _count_of(F.col("t"), CAPITALS), when)
 
 
 def _add_lines(df: DataFrame, when: Column | None) -> DataFrame:
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, WHITE, "") != "")
     df = _with(df, "lines", lines, when)
-    df = _with(df, "n_lines", F.size("lines").cast("long"), when)
-    return _with(df, "n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), when)
+    df = _feature(df, "n_lines", F.size("lines"), when)
+    return _feature(df, "n_dup_lines", F.size("lines") - F.size(F.array_distinct("lines")), when)
 
 
 def _add_repeats(df: DataFrame, when: Column | None) -> DataFrame:
@@ -95,7 +101,7 @@ def _add_repeats(df: DataFrame, when: Column | None) -> DataFrame:
     df = _with(df, "at", marked, when)
     at = F.col("at")
     covered = F.size(F.array_distinct(F.concat(at, F.transform(at, lambda p: p + 1), F.transform(at, lambda p: p + 2))))
-    return _with(df, "n_repeat_words", covered.cast("long"), when)
+    return _feature(df, "n_repeat_words", covered, when)
 
 
 @dataclass(frozen=True)
@@ -148,14 +154,13 @@ def cascade(docs: DataFrame, ordered: list[Rule], text_col: str = "text") -> Dat
     for rule in ordered:
         df = rule.features(df, F.col("kept"))
         df = df.withColumn("kept", F.col("kept") & ~F.coalesce(rule.rejects(), F.lit(False)))
-    # a filter on ``kept`` must not move below the features: there it would repeat each of them for every use
-    return df.select("row", "t", "kept", F.spark_partition_id().alias("part"))
+    return df.select("row", "t", "kept")
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``."""
     ordered = [r for r, _, _ in plan_rules(docs, rules, text_col, sample_rows)]
-    return cascade(docs, ordered, text_col).filter("kept and part >= 0").select("row.*")
+    return cascade(docs, ordered, text_col).filter("kept").select("row.*")
 
 
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
