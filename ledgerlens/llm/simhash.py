@@ -131,6 +131,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lows = linked.groupBy("root").agg(F.min("low").alias("best"))
     best = linked.join(lows, "root").select("fp", "best")
     named = distinct.join(best, "fp", "left").select("fp", F.least("low", "best").alias("component"))
+    named = stored(named, "named")  # both sides of the join are then plain exchanges, of which Spark splits those that copies make large
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
