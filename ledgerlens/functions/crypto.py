@@ -88,6 +88,6 @@ def hmac_hex_udf(key: bytes, salt: bytes = b""):
 
     @F.pandas_udf("string")
     def _tok(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _hmac.new(key, salt + str(v).encode("utf-8", "ignore"),
+        return s.map(lambda v: None if v is None else _hmac.new(key, salt + str(v).encode("utf-8", "ignore"),
                                          hashlib.sha256).hexdigest())
     return _tok

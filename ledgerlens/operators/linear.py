@@ -68,10 +68,9 @@ def fedavg_rounds(df: DataFrame, features: Sequence[str], label: str, rounds: in
     out: list[list[float]] = []
     spark = df.sparkSession
     if state_path:
-        try:
-            done = spark.read.parquet(state_path).orderBy("round").collect()
-        except Exception:  # noqa: BLE001 — nothing written yet
-            done = []
+        at = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+        written = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        done = spark.read.parquet(state_path).orderBy("round").collect() if written else []
         out = [list(r["theta"]) for r in done][:rounds]
         if out:
             theta = out[-1]

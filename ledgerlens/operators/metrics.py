@@ -27,11 +27,16 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def checked_score(score: Column | str) -> Column:
+    """The score as a double; a null or NaN score stops the job, as no metric can place it."""
+    x = _c(score).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.raise_error(F.lit("a row has a null or NaN score"))).otherwise(x)
+
+
 def score_counts(df: DataFrame, y: Column | str, p: Column | str, group_cols: list[str] | None = None) -> DataFrame:
     g = list(group_cols or [])
     yy = _c(y).cast("int")
-    return (df.select(*g, _c(p).cast("double").alias("score"), yy.alias("_y"))
-            .filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    return (df.select(*g, checked_score(p).alias("score"), yy.alias("_y"))
             .groupBy(*g, "score")
             .agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg")))
 
@@ -196,6 +201,7 @@ def rank_to_prob(df: DataFrame, score: str, id_col: str, out: str = "prob") -> D
     over id buckets); other ids fall back to bucketing by score.
     """
     from ledgerlens.operators.ranking import row_number, row_number_ties
+    df = df.withColumn(score, checked_score(score))
     if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
         r = row_number_ties(df, score, id_col, out="_rk", total="_n")
         return r.withColumn(out, (F.col("_rk") - 1) / (F.col("_n") - 1 + 1e-9)).drop("_rk", "_n")

@@ -134,7 +134,8 @@ def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str
     acc = terms[0]
     for t in terms[1:]:
         acc = acc.unionByName(t)
-    return acc.groupBy(id_col, label).agg(F.sum("_p").alias("p_hat"))
+    # every party scores the same rows, so an id that occurs twice has twice the terms of each party
+    return acc.groupBy(id_col, label).agg((F.avg("_p") * F.lit(len(terms))).alias("p_hat"))
 
 
 # ---------------------------------------------------------------- feature ranking

@@ -21,9 +21,10 @@ from ledgerlens.operators.ranking import exact_quantiles
 
 
 def try_double(c: Column | str) -> Column:
-    """Lenient numeric coercion: anything unparsable becomes null (ANSI-safe)."""
+    """Lenient numeric coercion: anything unparsable, and NaN, becomes null (ANSI-safe)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast("double")
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -160,7 +161,7 @@ def fit_scale(train: DataFrame, cols: list[str], *, zero_fill: bool = False,
         return ScaleParams()
     aggs = []
     for i, c in enumerate(cols):
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if zero_fill else F.col(c).cast("double")
+        x = F.coalesce(try_double(c), F.lit(0.0)) if zero_fill else try_double(c)
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     aggs.append(F.count(F.lit(1)).alias("n"))
     row = train.agg(*aggs).first()

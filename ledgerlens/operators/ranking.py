@@ -56,13 +56,19 @@ def _boundaries(df: DataFrame, key: Column, buckets: int) -> tuple[list[float],
 def with_bucket(df: DataFrame, key: Column, buckets: int | None = None, out: str = "_bkt") -> DataFrame:
     buckets = default_buckets(df) if buckets is None else buckets
     tmp = "_bkey"
-    d = df.withColumn(tmp, key.cast("double"))
+    d = df.withColumn(tmp, key)
+    if d.schema[tmp].dataType.typeName() == "string":  # the first six bytes as a number keep the order of strings
+        head = F.rpad(F.hex(F.substring(F.encode(tmp, "UTF-8"), 1, 6)), 12, "0")
+        d = d.withColumn(tmp, F.conv(head, 16, 10).cast("double"))
+    else:
+        d = d.withColumn(tmp, F.col(tmp).cast("double"))
     bounds, _ = _boundaries(d, F.col(tmp), buckets)
     if not bounds:
         return d.withColumn(out, F.lit(0.0)).drop(tmp)
     splits = [-math.inf] + bounds + [math.inf]
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(d).drop(tmp)
+    # null keys sort first and share the first bucket, as they do when there is only one
+    return b.transform(d).withColumn(out, F.coalesce(F.col(out), F.lit(-1.0))).drop(tmp)
 
 
 def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,10 +54,13 @@ def _field(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*cols) if cols else F.lit(None)
 
 
-def load_metrics(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
-    """All metric records under ``root`` (recursive), with their source path."""
+def load_metrics(spark: SparkSession, root: str, glob: str = "*.json", lines: bool = False) -> DataFrame:
+    """All metric records under ``root`` (recursive), with their source path.
+
+    A file holds one document, indented or not, or with ``lines`` a record a line, as Spark writes them.
+    """
     r = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-         .option("multiLine", False).json(root))
+         .option("multiLine", not lines).json(root))
     return r.withColumn("source_path", F.col("_metadata.file_path"))
 
 

@@ -42,7 +42,7 @@ def scoreboard(spark, sf):
     with ThreadPoolExecutor(max_workers=len(FAMILIES)) as pool:  # independent runs, concurrent jobs
         for f in [pool.submit(run, name, expr) for name, (expr, _) in FAMILIES.items()]:
             f.result()
-    sb = RP.scoreboard(RP.load_metrics(spark, root))
+    sb = RP.scoreboard(RP.load_metrics(spark, root, lines=True))
     return sb.select("family", F.col("party").cast("int").alias("party"), rnd("auprc", 9).alias("auprc"), rnd("f1", 9).alias("f1"),
                      rnd("threshold", 9).alias("threshold"))
 

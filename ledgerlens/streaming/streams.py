@@ -24,7 +24,11 @@ from ledgerlens.session import scratch_path
 
 
 def source(spark: SparkSession, directory: str, file_glob: str, schema=None, max_files: int | None = None) -> DataFrame:
-    """Streaming file source over ``directory`` restricted to ``file_glob``."""
+    """Streaming file source over the file or files ``file_glob`` in ``directory``, or over a table folder of that name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{file_glob}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    if found is not None and len(found) == 1 and found[0].isDirectory():
+        directory, file_glob = f"{directory.rstrip('/')}/{file_glob}", "*.parquet"
     if schema is None:
         schema = spark.read.option("pathGlobFilter", file_glob).parquet(directory).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)

@@ -167,3 +167,20 @@ def test_macro_rules(spark):
     assert a["roc_auc"] == pytest.approx(0.7) and a["f1"] == pytest.approx(0.6)
     b = M.macro(pg, ("roc_auc", "f1"), first_rule_order="party").first()
     assert b["roc_auc"] is None and b["f1"] == pytest.approx(0.6)
+
+
+def test_null_scores_stop_the_job_and_null_keys_keep_their_place(spark, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import metrics as M
+    from ledgerlens.operators import ranking as R
+    df = spark.createDataFrame([(1, 1, 0.5), (2, 0, None), (3, 0, float("nan"))], "id long, y int, p double")
+    with pytest.raises(Exception, match="null or NaN score"):
+        M.score_counts(df, "y", "p").collect()
+    monkeypatch.setattr(R, "MIN_ROWS_PER_BUCKET", 2)
+    rows = [(None if k % 10 == 0 else f"C{k * 7 % 50}",) for k in range(50)]
+    ids = spark.createDataFrame(rows, "k string")
+    got = R.row_number(ids, [F.col("k")], F.col("k"), out="n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 51))
+    assert [r["k"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or ""))

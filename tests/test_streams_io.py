@@ -99,3 +99,18 @@ def test_party_from_path_and_policy(spark):
     out = prep.apply_feature_policy(df, keep=["id", "y"], exclude=["b"])
     assert out.columns == ["id", "a", "c", "y"]
     assert prep.feature_columns(df, "id", "y") == ["a", "b", "c"]
+
+
+def test_stream_over_a_table_folder(spark, tmp_path):
+    from ledgerlens.streaming import streams
+    spark.range(100).repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    src = streams.source(spark, str(tmp_path), "events.parquet", max_files=1)
+    assert streams.run_append(src, "folder").count() == 100
+
+
+def test_indented_metrics_document(spark, tmp_path):
+    import json
+
+    from ledgerlens.operators import report
+    (tmp_path / "metrics.json").write_text(json.dumps({"family": "lr", "AUPRC": 0.5}, indent=2))
+    assert [r["family"] for r in report.load_metrics(spark, str(tmp_path)).collect()] == ["lr"]
