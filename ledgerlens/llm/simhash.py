@@ -120,8 +120,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component) for every row: component is the smallest id that links reach, its own included."""
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The stored (id, fp) of every row, and the stored (fp, root, component) of every distinct fingerprint.
+
+    ``root`` names a component by its smallest fingerprint, ``component`` by its smallest id (null if it has none).
+    """
     if radius < 0 or radius > 15:
         raise ValueError("radius must be from 0 to 15")
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -129,25 +132,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = stored(components(links(distinct, radius)), "roots")
     linked = distinct.join(root, distinct["fp"] == root["node"]).select("fp", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("best"))
-    best = linked.join(lows, "root").select("fp", "best")
-    named = distinct.join(best, "fp", "left").select("fp", F.least("low", "best").alias("component"))
-    named = stored(named, "named")  # both sides of the join are then plain exchanges, of which Spark splits those that copies make large
+    best = linked.join(lows, "root").select("fp", "root", "best")
+    named = distinct.join(best, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.least("low", "best").alias("component"))
+    return rows, stored(named, "named")  # both sides of a join by fp are then plain exchanges, of which Spark splits those that copies make large
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id, fp, component) for every row: component is the smallest id that links reach, its own included."""
+    rows, named = _named(docs, id_col, text_col, shingle, radius)
     return rows.join(named, "fp", "left").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component stays: that with the smallest id (one of its rows, if it is repeated).
+    """One row of each component stays: that with the smallest id.
 
-    Only ids travel for the decision; texts move only if the ids to drop are too many to broadcast.
+    A component without ids keeps one of its rows, and where the smallest id stands on several rows of a component one of
+    those stays, so rows that share an id (or have none) but not the text are judged each by its own text. Only ids travel
+    for the decision; texts move only if the ids to drop are too many to broadcast, or for rows that share an id.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, shingle, radius), "near-duplicates")
-    ids = found.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
-    ids = ids.withColumn("first", F.col("component").isNull() | F.col("component").eqNullSafe(F.col("id")))
-    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    drop = stored(ids.filter(~F.col("first") | (F.col("n") > 1)), "to-drop")
-    once = row.join(drop, row["id"].eqNullSafe(drop["id"]), "left_anti")
-    again = drop.filter("first")  # repeated rows of an id that stays
-    if again.isEmpty():
+    rows, named = _named(docs, id_col, text_col, shingle, radius)
+    found = stored(rows.join(named, "fp").select("id", "fp", "root", "component"), "near-duplicates")
+    per_id = found.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("component"))
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    drop = stored(per_id.filter("n > 1 or component <> id").select("id", "n"), "to-drop")
+    once = row.filter("id is not null").join(drop, "id", "left_anti").select("row")
+    shared = stored(drop.filter("n > 1").select("id"), "shared-ids")
+    if shared.isEmpty() and found.filter("id is null").isEmpty():
         return once.select("row.*")
-    rest = row.join(again, row["id"].eqNullSafe(again["id"]), "left_semi").groupBy("id").agg(F.first("row").alias("row"))
-    return once.select("row").union(rest.select("row")).select("row.*")
+    print_of = F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(t, shingle)), "bigint")
+    odd = row.filter("id is null").union(row.join(shared, "id", "left_semi").select("row", "id", "t"))
+    odd = odd.select("row", "id", print_of("t").alias("fp")).join(named, "fp").filter(F.col("id").eqNullSafe(F.col("component")))
+    rest = odd.groupBy("root").agg(F.first("row").alias("row"))
+    return once.union(rest.select("row")).select("row.*")

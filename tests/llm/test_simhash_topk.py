@@ -97,6 +97,11 @@ def test_near_duplicates_and_keep_one(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(low.values()) - {None})
+    # rows without an id, or with an id of another text, are judged by their own texts
+    more = df.union(spark.createDataFrame([(i, t, "a", "b", 1) for i, t in [(None, "no id here at all"), (None, "no id here at all"), (None, "nor is there one here"), (12, "the same id and other words"), (1, "the same id and other words")]], df.schema))
+    own = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(more).collect())
+    added = [("None", "no id here at all"), ("None", "nor is there one here"), ("1", "the same id and other words")]
+    assert own == sorted([(str(r["doc_id"]), r["text"]) for r in kept.collect()] + added)
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
