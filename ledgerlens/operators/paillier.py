@@ -1,10 +1,10 @@
 """Additively homomorphic (Paillier) encrypted sums over a DataFrame.
 
 Enc(m) = g^m · r^n mod n²; the product of ciphertexts decrypts to the sum of the
-plaintexts. Each partition encrypts its rows and multiplies the ciphertexts
-(``mapInPandas``), emitting one partial product per (partition, group); the
-partials – at most partitions × groups rows – are multiplied per group in a
-second pass. Only the key holder can decrypt the per-group totals.
+plaintexts. A group is a party: it sums its own rows with an ordinary aggregation and
+encrypts that one number, so there is one encryption per party however many rows there
+are. The product of the parties' ciphertexts is the encrypted total. Only the key
+holder can decrypt.
 
 Values are non-negative integers (scale floats to fixed point first). Key
 generation and management are outside this library: keys are inputs.
@@ -13,11 +13,9 @@ generation and management are outside this library: keys are inputs.
 from __future__ import annotations
 
 import secrets
-from collections.abc import Iterator
 from dataclasses import dataclass
 from math import gcd
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,41 +66,21 @@ def encrypt(pk: PublicKey, m: int) -> int:
 
 
 def encrypted_sums(df: DataFrame, value: str, pk: PublicKey, group_cols: list[str] | None = None) -> DataFrame:
-    """Per group: the ciphertext of Σ value (decimal string) and the row count."""
+    """Per group: the ciphertext of Σ value (decimal string) and the row count. Nulls add nothing but count as rows."""
     g = list(group_cols or [])
-    n2 = pk.n2
-
-    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple, list[int]] = {}
-        for pdf in it:
-            keys = pdf[g].itertuples(index=False, name=None) if g else [()] * len(pdf)
-            for k, v in zip(keys, pdf[value].tolist()):
-                m = int(v)
-                if m < 0:
-                    raise ValueError("Paillier sums take non-negative integers (use fixed point)")
-                c = encrypt(pk, m)
-                slot = acc.setdefault(k, [1, 0])
-                slot[0] = slot[0] * c % n2
-                slot[1] += 1
-        rows = [(*k, str(c), cnt) for k, (c, cnt) in acc.items()]
-        yield pd.DataFrame(rows, columns=[*g, "cipher", "n"])
-
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in g] + ["cipher string", "n long"])
-    parts = df.select(*g, value).mapInPandas(partial, schema)
-
-    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = 1
-        for x in pdf["cipher"].tolist():
-            c = c * int(x) % n2
-        out = pdf.iloc[:1][g].copy() if g else pd.DataFrame(index=[0])
-        out["cipher"] = str(c)
-        out["n"] = int(pdf["n"].sum())
-        return out.reset_index(drop=True)
-
-    if g:
-        return parts.groupBy(*g).applyInPandas(combine, schema)
-    return parts.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(
-        lambda pdf: combine(pdf.drop(columns=["_k"])), schema)
+    v = F.col(value).cast("decimal(20,0)")
+    checked = F.when(v < 0, F.raise_error(F.lit("Paillier sums take non-negative integers (use fixed point)"))).otherwise(v)
+    sums = df.groupBy(*g).agg(F.coalesce(F.sum(checked), F.lit(0)).cast("string").alias("_sum"), F.count(F.lit(1)).alias("n"))
+    cipher = F.pandas_udf(lambda totals: totals.map(lambda t: str(encrypt(pk, int(t)))), "string")
+    return sums.select(*g, cipher("_sum").alias("cipher"), "n")
+
+
+def total_cipher(sums: DataFrame, pk: PublicKey) -> int:
+    """The ciphertext of the sum over all parties: the product of their ciphertexts (one row per party)."""
+    c = 1
+    for r in sums.select("cipher").toLocalIterator():
+        c = c * int(r["cipher"]) % pk.n2
+    return c
 
 
 def decrypt_frame(sums: DataFrame, sk: PrivateKey) -> list[tuple]:

@@ -7,8 +7,11 @@ its 32 bytes are read as four little-endian uint64 ``u`` and mapped to
 ``u / 2^64 − 0.5``. Everything is native expressions: hex XOR for the padded
 column keys, ``sha2`` for the hash, ``conv`` → ``decimal(20,0)`` for uint64.
 
-Pairs are all pairs of a session roster, so their number is quadratic in the
-roster size; rosters are checked against ``MAX_ROSTER`` before pairs are built.
+A session's clients are the parties of a round. Every pair of them shares a key by
+the protocol, so a session has as many pairs as its parties have; the number of
+sessions grows with the data, the number of parties in one doesn't. Each client
+meets the session's sorted client list (one row per session), and only the ids
+after its own become pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.crypto import pair_salt, utf8
 
-MAX_ROSTER = 2_000
 TWO_64 = 18446744073709551616.0
 # Domain-separation prefix of the per-client commitment key (ours).
 COMMIT_PREFIX = "ledgerlens-mask-commit|"
@@ -35,19 +37,13 @@ def roster_summary(r: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_clients")).withColumn("ok", F.col("n_clients") >= 2)
 
 
-def check_roster(r: DataFrame, limit: int = MAX_ROSTER) -> None:
-    big = r.groupBy("session").count().filter(F.col("count") > limit).limit(1).collect()
-    if big:
-        raise ValueError(f"session {big[0]['session']!r} has more than {limit} clients")
-
-
 def pairs(r: DataFrame) -> DataFrame:
-    """All unordered pairs (a < b) within each session: equi-join on session + a < b."""
-    check_roster(r)
-    a, b = r.alias("a"), r.alias("b")
-    return (a.join(b, (F.col("a.session") == F.col("b.session")) & (F.col("a.client_id") < F.col("b.client_id")))
-            .select(F.col("a.session").alias("session"), F.col("a.client_id").alias("a"),
-                    F.col("b.client_id").alias("b")))
+    """All unordered pairs (a < b) of a session's clients; null sessions and clients have none."""
+    r = r.filter(F.col("session").isNotNull() & F.col("client_id").isNotNull())
+    listed = r.groupBy("session").agg(F.array_sort(F.collect_set("client_id")).alias("_all"))
+    each = listed.select("session", F.posexplode("_all").alias("_i", "a"), "_all")
+    later = F.slice("_all", F.col("_i") + 2, F.size("_all"))
+    return each.select("session", "a", F.explode(later).alias("b"))
 
 
 def directed(p: DataFrame) -> DataFrame:

@@ -71,10 +71,11 @@ def test_pairs_and_missing_peers(spark):
     assert sorted((m["client_id"], m["peer"]) for m in miss) == [("a", "c"), ("b", "c"), ("c", "a"), ("c", "b")]
 
 
-def test_roster_guard(spark):
-    r = spark.createDataFrame([("s", str(i)) for i in range(5)], "session string, client_id string")
-    with pytest.raises(ValueError):
-        S.check_roster(r, limit=3)
+def test_pairs_of_many_sessions_and_null_clients(spark):
+    rows = [(i, f"p{k}") for i in range(40) for k in range(i % 5)] + [(1, None), (None, "p1"), (3, "p0")]
+    got = S.pairs(spark.createDataFrame(rows, "session int, client_id string"))
+    want = [(i, f"p{a}", f"p{b}") for i in range(40) for a in range(i % 5) for b in range(a + 1, i % 5)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 def _prime(start: int) -> int:
@@ -116,3 +117,6 @@ def test_paillier_encrypted_sum(spark):
                    for g in range(3)}
     total = PL.decrypt_frame(PL.encrypted_sums(df, "v", sk.public), sk)
     assert total == [(4950, 100)]
+    assert sk.decrypt(PL.total_cipher(PL.encrypted_sums(df, "v", sk.public, ["g"]), sk.public)) == 4950
+    with pytest.raises(Exception):
+        PL.encrypted_sums(df.select((-F.col("v")).alias("v")), "v", sk.public).collect()
