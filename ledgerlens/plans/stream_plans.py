@@ -28,6 +28,10 @@ def _events_stream(spark, sf):
     return S.source(spark, sf, "events.parquet")
 
 
+def _delay(spark, sf):
+    return S.span(spark, sf, "events.parquet", "ts")
+
+
 def _fit_static(spark, sf):
     e = T.table(spark, sf, "events")
     tr = e.filter(T.round_col(F.col("ts")) <= TRAIN_LAST_ROUND)
@@ -80,9 +84,9 @@ select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, eve
        count(*) as n, round(sum(value), 6) as value_sum
 from events group by all""")
 def stream_windows(spark, sf):
-    """1-day tumbling windows per type with a 1-hour watermark (update mode)."""
+    """1-day tumbling windows per type with a watermark as long as the data reaches (update mode)."""
     w = S.windows(_events_stream(spark, sf), "ts", ["event_type"],
-                  [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")], "1 day", watermark="1 hour")
+                  [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")], "1 day", watermark=_delay(spark, sf))
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", rnd("value_sum").alias("value_sum"))
 
@@ -103,11 +107,10 @@ select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start,
 from s group by user_id, sid""")
 def stream_sessions(spark, sf):
     """Per-user activity sessions (30-minute gap) from the event stream."""
-    w = S.windows(_events_stream(spark, sf), "ts", ["user_id"], [F.count(F.lit(1)).alias("n")], "1 day",
-                  session_gap=f"{SESSION_GAP_MIN} minutes", name="sessions")
+    w = S.sessions(_events_stream(spark, sf), "ts", ["user_id"], {"n": F.lit(1)}, f"{SESSION_GAP_MIN} minutes")
     fmt = "yyyy-MM-dd HH:mm:ss"
-    return w.select("user_id", F.date_format("window_start", fmt).alias("session_start"),
-                    F.date_format("window_end", fmt).alias("session_end"), "n")
+    return w.select("user_id", F.date_format("session_start", fmt).alias("session_start"),
+                    F.date_format("session_end", fmt).alias("session_end"), "n")
 
 
 @register("stream_sliding", sql="""
@@ -118,10 +121,10 @@ select strftime(ws, '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) a
        round(sum(value), 6) as value_sum
 from w group by all""")
 def stream_sliding(spark, sf):
-    """1-day windows sliding every 12 hours per type, watermark 1 hour (update mode)."""
+    """1-day windows sliding every 12 hours per type (update mode)."""
     w = S.windows(_events_stream(spark, sf), "ts", ["event_type"],
                   [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum")], "1 day",
-                  slide="12 hours", watermark="1 hour", name="sliding")
+                  slide="12 hours", watermark=_delay(spark, sf), name="sliding")
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
                     "n", rnd("value_sum").alias("value_sum"))
 
@@ -136,14 +139,15 @@ def _updates_stream(spark, sf):
 select distinct concat('c', cast(user_id % 4 as varchar)) as client_id, {ROUND_SQL} as round from events""")
 def stream_dedup_keys(spark, sf):
     """Duplicate (client, round) updates rejected on the stream; the surviving keys."""
-    d = S.dedup_within_watermark(_updates_stream(spark, sf), ["client_id", "round"], "ts", "1 day")
-    return S.run_append(d.select("client_id", "round"), "dedup")
+    delay = _delay(spark, sf)
+    d = S.dedup_within_watermark(_updates_stream(spark, sf), ["client_id", "round"], "ts", delay)
+    return S.run_append(d.select("client_id", "round"), "dedup", watermark=delay)
 
 
 @register("stream_barrier", sql=f"""
 select {ROUND_SQL} as round from events
 group by all having count(distinct concat('c', cast(user_id % 4 as varchar))) >= {T.N_CLIENTS}""")
 def stream_barrier(spark, sf):
-    """Rounds released by the streaming barrier (per-round client sets in state)."""
-    b = S.round_barrier(_updates_stream(spark, sf), "round", "client_id", T.N_CLIENTS)
+    """Rounds released by the streaming barrier (first update of each round and client, then a count)."""
+    b = S.round_barrier(_updates_stream(spark, sf), "round", "client_id", T.N_CLIENTS, "ts", _delay(spark, sf))
     return b.select("round")

@@ -19,11 +19,51 @@ def test_stream_stats_equal_batch(spark):
     assert sorted(st.collect()) == sorted(batch.collect())
 
 
-def test_stream_session_windows(spark):
-    w = S.windows(S.source(spark, SF_SMALL, "events.parquet"), "ts", ["user_id"],
-                  [F.count(F.lit(1)).alias("n")], "1 day", session_gap="2 hours", name="sess")
-    total = w.agg(F.sum("n")).first()[0]
-    assert total == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+def _shuffled_events(spark, path, files=5):
+    """The events in several files, each with rows of all days."""
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(files, F.xxhash64("event_id"))
+    e.write.parquet(f"{path}/events.parquet")
+    return e
+
+
+def test_stream_sessions_whatever_the_order(spark, tmp_path):
+    _shuffled_events(spark, tmp_path)
+    gap = {"n": F.lit(1), "total": F.col("value")}
+    got = S.sessions(S.source(spark, str(tmp_path), "events.parquet", max_files=1), "ts", ["user_id"], gap, "2 hours")
+    want = spark.read.parquet(f"{SF_SMALL}/events.parquet").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "2 hours").alias("w")).agg(
+        F.count(F.lit(1)).alias("n"))
+    want = sorted((r["user_id"], r["s"], r["e"], r["n"]) for r in want.select("user_id", F.col("w.start").cast("string").alias("s"), F.col("w.end").cast("string").alias("e"), "n").collect())
+    assert sorted((r["user_id"], r["s"], r["e"], r["n"]) for r in got.select(
+        "user_id", F.col("session_start").cast("string").alias("s"), F.col("session_end").cast("string").alias("e"), "n").collect()) == want
+
+
+def test_late_rows_raise_and_a_long_watermark_loses_none(spark, tmp_path):
+    e = _shuffled_events(spark, tmp_path)
+    n = [F.count(F.lit(1)).alias("n")]
+    src = lambda: S.source(spark, str(tmp_path), "events.parquet", max_files=1)
+    with pytest.raises(S.LateRows):
+        S.windows(src(), "ts", ["event_type"], n, "1 day", watermark="1 hour")
+    delay = S.span(spark, str(tmp_path), "events.parquet", "ts")
+    got = S.windows(src(), "ts", ["event_type"], n, "1 day", watermark=delay)
+    want = e.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").count()
+    assert sorted((str(r["window_start"]), r["event_type"], r["n"]) for r in got.collect()) == sorted((str(r[0]), r[1], r[2]) for r in want.collect())
+    rounds = src().withColumn("round", F.to_date("ts").cast("string")).withColumn("client", F.col("user_id") % 2)
+    done = S.round_barrier(rounds, "round", "client", 2, "ts", delay)
+    full = e.groupBy(F.to_date("ts").cast("string").alias("round")).agg(F.count_distinct(F.col("user_id") % 2).alias("n_clients"))
+    assert sorted(done.collect()) == sorted(full.filter("n_clients >= 2").collect())
+
+
+def test_a_stable_base_resumes(spark, tmp_path):
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    first, base = f"{tmp_path}/in/events.parquet", f"{tmp_path}/base"
+    src = lambda: S.source(spark, f"{tmp_path}/in", "events.parquet", schema=e.schema)
+    e.filter("event_id % 2 = 0").write.parquet(first)
+    args = ("ts", ["event_type"], [F.count(F.lit(1)).alias("n")], "1 day")
+    assert S.windows(src(), *args, watermark="9999 hours", base=base).agg(F.sum("n")).first()[0] == e.filter("event_id % 2 = 0").count()
+    e.filter("event_id % 2 = 1").write.mode("append").parquet(first)
+    assert S.windows(src(), *args, watermark="9999 hours", base=base).agg(F.sum("n")).first()[0] == e.count()
+    rows = S.run_append(src().select("event_id"), "rows", base=f"{base}-rows")
+    assert rows.count() == e.count() == S.run_append(src().select("event_id"), "rows", base=f"{base}-rows").count()
 
 
 def test_detect_format():
