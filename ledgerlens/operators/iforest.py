@@ -107,20 +107,31 @@ def fit(df: DataFrame, features: list[str], n_trees: int = 400, max_samples: int
         return out
 
     nodes = pool.groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA).toPandas()
-    T = n_trees
-    M = int(nodes["node"].max()) + 1 if len(nodes) else 1
-    arr = {k: np.full((T, M), -1 if k != "threshold" else 0.0,
+    return forest_of(nodes, n_trees, psi, limit)
+
+
+def forest_of(nodes: pd.DataFrame, n_trees: int, psi: int, max_depth: int) -> Forest:
+    """A forest from its node rows (at most trees × (2ψ − 1) of them)."""
+    width = int(nodes["node"].max()) + 1 if len(nodes) else 1
+    arr = {k: np.full((n_trees, width), -1 if k != "threshold" else 0.0,
                       dtype=np.float64 if k == "threshold" else np.int64)
            for k in ("feature", "threshold", "left", "right", "size", "depth")}
     ti, ni = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
     for k in arr:
         arr[k][ti, ni] = nodes[k].to_numpy()
     # trees that received no rows: a single empty leaf
-    empty = ~np.isin(np.arange(T), np.unique(ti))
+    empty = ~np.isin(np.arange(n_trees), np.unique(ti))
     arr["size"][empty, 0] = 0
     arr["depth"][empty, 0] = 0
     return Forest(arr["feature"], arr["threshold"], arr["left"], arr["right"], arr["size"], arr["depth"],
-                  psi, limit)
+                  psi, max_depth)
+
+
+def nodes_frame(spark, forest: Forest) -> DataFrame:
+    """The node rows of a forest, as ``forest_of`` takes them."""
+    t, n = np.nonzero(forest.depth >= 0)
+    return spark.createDataFrame(pd.DataFrame({"tree": t, "node": n} | {
+        k: getattr(forest, k)[t, n] for k in ("feature", "threshold", "left", "right", "size", "depth")}), NODE_SCHEMA)
 
 
 def path_lengths(forest: Forest, x: np.ndarray) -> np.ndarray:

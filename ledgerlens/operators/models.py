@@ -12,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import iforest as IF
+from ledgerlens.operators import linear as L
 from ledgerlens.operators import metrics as M
+from ledgerlens.operators import weights as W
+from ledgerlens.session import scratch_path
 
 FAMILIES = ("lr", "rf", "gbt", "iforest")
 # Spark trees need a depth cap (the reference grows unlimited trees); 10 keeps
@@ -56,7 +60,11 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
 
 
 class Fitted:
-    """A fitted model of any family; ``score`` adds ``p_hat`` to a frame."""
+    """A fitted model of any family; ``score`` adds ``p_hat`` to a frame.
+
+    ``model`` is a ``pyspark.ml`` model, a forest of isolation trees, a list of
+    coefficients (``theta``), or (boosting, forest, α) of a blend.
+    """
 
     def __init__(self, family: str, features: Sequence[str], model, id_col: str):
         self.family, self.features, self.model, self.id_col = family, list(features), model, id_col
@@ -64,12 +72,64 @@ class Fitted:
     def score(self, df: DataFrame) -> DataFrame:
         if self.family == "iforest":
             s = IF.score(df, self.model, self.features, out="_anom")
+            # written once: ranking reads it several times and the trees are not to be walked again
+            path = scratch_path(df.sparkSession, "anomaly")
+            s.write.parquet(path)
+            s = df.sparkSession.read.schema(s.schema).parquet(path)
             # rank form inside the scored set (batch semantics of the reference)
             return M.rank_to_prob(s, "_anom", self.id_col, out="p_hat").drop("_anom")
+        if self.family == "theta":
+            return L.score(df, self.features, self.model, out="p_hat")
+        if self.family == "blend":
+            gbm, rf, a = self.model
+            s = rf.score(gbm.score(df).withColumnRenamed("p_hat", "_p_gbm")).withColumnRenamed("p_hat", "_p_rf")
+            return s.withColumn("p_hat", F.lit(a) * F.col("_p_gbm") + F.lit(1.0 - a) * F.col("_p_rf")).drop("_p_gbm", "_p_rf")
         sc = self.model.transform(assemble(df, self.features))
         return sc.withColumn("p_hat", vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction")
 
+    def save(self, spark: SparkSession, path: str, threshold: float | None = None) -> None:
+        """Writes the model and its tuned threshold under ``path`` (a shared folder): small parquet files and Spark's own model format."""
+        extra: list[float] = []
+        if self.family == "theta":
+            extra = [float(t) for t in self.model]
+        elif self.family == "blend":
+            extra = [float(self.model[2])]
+            self.model[0].save(spark, f"{path}/gbm")
+            self.model[1].save(spark, f"{path}/rf")
+        elif self.family == "iforest":
+            extra = [float(self.model.psi), float(self.model.max_depth), float(self.model.feature.shape[0])]
+            IF.nodes_frame(spark, self.model).write.mode("overwrite").parquet(f"{path}/trees")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(self.family, self.features, self.id_col, threshold, extra)], META_SCHEMA).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/meta")
+
+
+META_SCHEMA = "family string, features array<string>, id_col string, threshold double, extra array<double>"
+
+
+def load(spark: SparkSession, path: str) -> tuple[Fitted, float | None]:
+    """A stored model and its threshold."""
+    m = spark.read.schema(META_SCHEMA).parquet(f"{path}/meta").first()
+    if m["family"] == "theta":
+        model = list(m["extra"])
+    elif m["family"] == "blend":
+        model = (load(spark, f"{path}/gbm")[0], load(spark, f"{path}/rf")[0], m["extra"][0])
+    elif m["family"] == "iforest":
+        psi, depth, trees = (int(x) for x in m["extra"])
+        model = IF.forest_of(spark.read.parquet(f"{path}/trees").toPandas(), trees, psi, depth)
+    else:
+        kind = {"lr": LogisticRegressionModel, "gbt": GBTClassificationModel}.get(m["family"], RandomForestClassificationModel)
+        model = kind.load(f"{path}/model")
+    return Fitted(m["family"], m["features"], model, m["id_col"]), m["threshold"]
+
+
+def evaluate_stored(spark: SparkSession, path: str, df: DataFrame, label: str = "y", tune: bool = False) -> DataFrame:
+    """One metrics row of a stored model on ``df``: at its stored threshold (0.5 without one), or tuned on ``df`` itself."""
+    model, thr = load(spark, path)
+    return M.evaluate(model.score(df), label, "p_hat", tune_on_test=tune, default_threshold=0.5 if thr is None else thr)
+
 
 def fit(train: DataFrame, features: Sequence[str], family: str, label: str = "y", weight: str | None = None,
         seed: int = 42, n_trees: int = 400, validation_col: str | None = None,
@@ -82,6 +142,49 @@ def fit(train: DataFrame, features: Sequence[str], family: str, label: str = "y"
     return Fitted(family, features, build(family, label, weight, n, seed, n_trees, validation_col).fit(tr), id_col)
 
 
+def balanced(df: DataFrame, label: str = "y") -> DataFrame:
+    """Adds column ``weight``: rows / (classes × rows of the class), from the rows of ``df``."""
+    counts = {int(r["label"]): r["n"] for r in W.class_counts(df, label).collect() if r["label"] is not None}  # one row per class
+    total = sum(counts.values())
+    return W.sample_weights(df, label, {c: total / (len(counts) * n) for c, n in counts.items()})
+
+
+def train_job(df: DataFrame, features: Sequence[str], family: str, label: str = "y", split: str = "split", n_trees: int = 400,
+              seed: int = 42, id_col: str = "txn_id", val_frac: float = 0.2, rf_trees: int = 600) -> tuple[Fitted, float]:
+    """A model of the training window and its best-F1 threshold on rows it was not fitted on.
+
+    Those rows are the calibration window; boosting then runs all its iterations. Without
+    one, a stratified ``val_frac`` of TRAIN is held out, and boosting may stop early on it
+    (in a blend it never does).
+    An isolation forest needs no labels and takes all of TRAIN either way.
+    """
+    full = df.filter(F.col(split) == "train")
+    val = df.filter(F.col(split) == "cal")
+    fitted_on, early = full, val.isEmpty()
+    if early:
+        parts = W.stratified_split(full, id_col, label, frac=val_frac, seed=seed, out="_part")
+        fitted_on, val = (parts.filter(F.col("_part") == p).drop("_part") for p in ("fit", "val"))
+    if family == "blend":
+        model = train_blend(fitted_on, val, features, label, seed, gbt_iters=n_trees, rf_trees=rf_trees, id_col=id_col)
+    elif family == "iforest":
+        model = fit(full, features, family, label, seed=seed, n_trees=n_trees, id_col=id_col)
+    else:
+        rows, stop = balanced(fitted_on, label), None
+        if family == "gbt" and early:
+            stop = "_val"
+            rows = rows.withColumn(stop, F.lit(False)).unionByName(val.withColumn("weight", F.lit(1.0)).withColumn(stop, F.lit(True)))
+        model = fit(rows, features, family, label, "weight", seed, n_trees, stop, id_col)
+    return model, tuned_threshold(model.score(val), label)
+
+
+def train_metrics(model: Fitted, threshold: float, test: DataFrame, label: str = "y") -> DataFrame:
+    """The metrics row of a training job: model, scores, confusion counts at the tuned threshold, and a blend's α and features."""
+    m = M.evaluate(model.score(test), label, "p_hat", tune_on_test=False, default_threshold=threshold)
+    blend = model.family == "blend"
+    return m.withColumns({"model": F.lit(model.family), "alpha": F.lit(model.model[2] if blend else None).cast("double"),
+                          "topk_features": F.lit(len(model.model[1].features) if blend else None).cast("int")})
+
+
 def fit_predict(train: DataFrame, score_on: DataFrame, features: Sequence[str], family: str,
                 label: str = "y", weight: str | None = None, seed: int = 42, n_trees: int = 400,
                 validation_col: str | None = None, id_col: str = "txn_id") -> DataFrame:
@@ -103,39 +206,46 @@ def predictions(scored: DataFrame, thr: float, id_col: str = "txn_id", label: st
 
 def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str], family: str,
                    party: str = "party", label: str = "y", n_trees: int = 400, max_trees: int | None = None,
-                   weighted: bool = True, seed: int = 42, id_col: str = "txn_id") -> DataFrame:
-    """One model per party, probabilities averaged (n-weighted, or by tree count).
-
-    A forest union with the same trees per party has the mean probability of the
-    party forests; ``max_trees`` caps the union by splitting it evenly.
+                   weighted: bool = True, seed: int = 42, id_col: str = "txn_id", round_no: int = 0,
+                   diversify: bool = False, rf_trees: int = 600) -> DataFrame:
+    """One model per party, probabilities averaged (n-weighted, or by tree count): (id, label, p_hat), a row per scored row.
+
+    Each party weights its classes by its own counts. ``diversify`` adds the round to the
+    seed of every party. A forest union with the same trees per party has the mean
+    probability of the party forests; ``max_trees`` caps the union by splitting it evenly.
+    All models score in one projection; only isolation forests, whose probability is a
+    rank within the scored rows, need a pass each.
     """
     rows = train.groupBy(party).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTIES + 1).collect()
     if len(rows) > MAX_PARTIES:
         raise ValueError(f"more than {MAX_PARTIES} parties: one model per party is not meant for this")
-    sizes = {r[party]: r["n"] for r in rows if r["n"] > 0}
+    sizes = sorted((r[party], r["n"]) for r in rows if r[party] is not None)
     per = n_trees if not max_trees else max(1, min(n_trees, max_trees // max(1, len(sizes))))
-    total = float(sum(sizes.values()))
-
-    def one(i: int, pt, n: int) -> DataFrame:
-        part = train.filter(F.col(party) == pt)
-        val = None
-        if family == "gbt":
-            # early stopping on a seeded 10% hold-out, as sklearn's early_stopping=True
-            part = part.withColumn("_val", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + i)), F.lit(10)) == 0)
-            val = "_val"
-        s = fit_predict(part, score_on.select(id_col, label, *features), features,
-                        family, label, n_trees=per, seed=seed + i, validation_col=val, id_col=id_col)
-        w = (n / total) if weighted else 1.0 / len(sizes)
-        return s.select(id_col, label, (F.col("p_hat") * F.lit(w)).alias("_p"))
+    total = float(sum(n for _, n in sizes))
+    seed = seed + (round_no if diversify else 0)
+
+    def one(pt) -> Fitted:
+        part, stop = train.filter(F.col(party) == pt), None
+        if family == "iforest":
+            return fit(part, features, family, label, None, seed, per, None, id_col)
+        if family == "blend":
+            parts = W.stratified_split(part, id_col, label, frac=0.2, seed=seed, out="_part")
+            mine, val = (parts.filter(F.col("_part") == p).drop("_part") for p in ("fit", "val"))
+            return train_blend(mine, val, features, label, seed, gbt_iters=per, rf_trees=rf_trees, id_col=id_col, early_stop=True)
+        part = balanced(part, label)
+        if family == "gbt":  # early stopping on a seeded 10% hold-out
+            stop = "_val"
+            part = part.withColumn(stop, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10)) == 0)
+        return fit(part, features, family, label, "weight", seed, per, stop, id_col)
 
     # the party models are independent: their fits run as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=max(1, min(4, len(sizes)))) as pool:
-        terms = [f.result() for f in [pool.submit(one, i, pt, n) for i, (pt, n) in enumerate(sorted(sizes.items()))]]
-    acc = terms[0]
-    for t in terms[1:]:
-        acc = acc.unionByName(t)
-    # every party scores the same rows, so an id that occurs twice has twice the terms of each party
-    return acc.groupBy(id_col, label).agg((F.avg("_p") * F.lit(len(terms))).alias("p_hat"))
+        models = list(pool.map(one, [pt for pt, _ in sizes]))
+    shares = [(n / total) if weighted else 1.0 / len(sizes) for _, n in sizes]
+    acc = score_on.select(id_col, label, *features).withColumn("p_hat_all", F.lit(0.0))
+    for m, share in zip(models, shares, strict=True):
+        acc = m.score(acc).withColumn("p_hat_all", F.col("p_hat_all") + F.lit(share) * F.col("p_hat")).drop("p_hat")
+    return acc.select(id_col, label, F.col("p_hat_all").alias("p_hat"))
 
 
 # ---------------------------------------------------------------- feature ranking
@@ -195,23 +305,19 @@ def top_features(train: DataFrame, features: Sequence[str], label: str, ratio: f
     return [features[i] for i in order]
 
 
-def train_blend(train: DataFrame, val: DataFrame, score_on: DataFrame, features: Sequence[str],
-                label: str = "y", seed: int = 42, steps: int = 51, mode: str = "train",
-                gbt_iters: int = 400, rf_trees: int = 600, id_col: str = "txn_id"):
-    """Boosting on all features + shallow forest on the top-half features; α and
-    the threshold come from the grid search on ``val``. Returns (scored, α, thr)."""
+def train_blend(train: DataFrame, val: DataFrame, features: Sequence[str], label: str = "y", seed: int = 42,
+                steps: int = 51, mode: str = "train", gbt_iters: int = 400, rf_trees: int = 600,
+                id_col: str = "txn_id", early_stop: bool = False) -> Fitted:
+    """Boosting on all features + shallow forest on the top-half features; α comes
+    from the grid search on ``val``. ``early_stop`` lets boosting stop on a seeded
+    tenth of ``train``, never on ``val``, which tunes α."""
     keep = top_features(train, list(features), label)
-    both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
+    stop = "_val" if early_stop else None
+    rows = train.withColumn("_val", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10)) == 0) if early_stop else train
     with ThreadPoolExecutor(max_workers=2) as pool:  # independent fits, concurrent jobs
-        fg = pool.submit(fit, both, features, "gbt", label, None, seed, gbt_iters, "_val", id_col)
+        fg = pool.submit(fit, rows, features, "gbt", label, None, seed, gbt_iters, stop, id_col)
         fr = pool.submit(fit, train, keep, "rf_shallow", label, None, seed, rf_trees, None, id_col)
         gbm, rf = fg.result(), fr.result()
-
-    def both_scores(df: DataFrame) -> DataFrame:
-        s = gbm.score(df).withColumnRenamed("p_hat", "p_gbm")
-        return rf.score(s).withColumnRenamed("p_hat", "p_rf")
-
-    best = M.blend_search(both_scores(val), label, "p_gbm", "p_rf", steps, mode).first()
-    a = float(best["alpha"])
-    out = both_scores(score_on).withColumn("p_hat", F.lit(a) * F.col("p_gbm") + F.lit(1.0 - a) * F.col("p_rf"))
-    return out, a, float(best["threshold"])
+    both = rf.score(gbm.score(val).withColumnRenamed("p_hat", "p_gbm")).withColumnRenamed("p_hat", "p_rf")
+    best = M.blend_search(both, label, "p_gbm", "p_rf", steps, mode).first()
+    return Fitted("blend", features, (gbm, rf, float(best["alpha"])), id_col)

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import models as MD, prep, weights as W
+from ledgerlens.operators import models as MD, prep
 from ledgerlens.plans.prep_plans import NUMERIC, split_txn
-from ledgerlens.plans.registry import register, rnd
+from ledgerlens.plans.registry import TXN_SQL, register, rnd
+from ledgerlens.session import scratch_path
 from ledgerlens.sources import tables as T
 
 EMB_LONG_SQL = """
@@ -33,34 +34,18 @@ def feature_frame(spark, sf):
     return df, NUMERIC + names
 
 
-def _train_job(spark, sf, family, n_trees=400):
+def _fitted(spark, sf, family, n_trees=400):
+    """(model, threshold, feature frame); the frame is written once, as every eager step reads it."""
     df, feats = feature_frame(spark, sf)
-    # reused by every eager step (weights, fit, threshold); executor loss only
-    # means recomputation from lineage. Released before the lazy result returns.
-    df = df.cache()
-    tr = df.filter(F.col("split") == "train")
-    weight, n_rows = None, None
-    if family in ("lr", "rf", "gbt"):
-        counts = {r["label"]: r["n"] for r in W.class_counts(tr, "y").collect()}  # one row per class
-        n_rows = sum(counts.values())
-        k = sum(1 for c in counts if c is not None)
-        tr = W.sample_weights(tr, "y", {int(c): n_rows / (k * n) for c, n in counts.items() if c is not None})
-        weight = "weight"
-    cal, te = df.filter(F.col("split") == "cal"), df.filter(F.col("split") == "test")
-    if not cal.take(1):
-        # no calibration window: a stratified 20% of TRAIN validates instead
-        parts = W.stratified_split(tr, "txn_id", "y", frac=0.2, seed=42)
-        tr, cal = (parts.filter(F.col("part") == "fit").drop("part"),
-                   parts.filter(F.col("part") == "val").drop("part", "weight"))
-    if family == "gbt":
-        both = tr.unionByName(W.sample_weights(cal, "y", None)).withColumn("is_val", F.col("split") == "cal")
-        model = MD.fit(both, feats, family, weight=weight, n_trees=n_trees, validation_col="is_val")
-    else:
-        model = MD.fit(tr, feats, family, weight=weight, n_trees=n_trees, n_rows=n_rows)
-    val_scored, test_scored = model.score(cal), model.score(te)
-    thr = MD.tuned_threshold(val_scored, "y", "p_hat", mode="train")
-    df.unpersist()
-    return MD.predictions(test_scored, thr)
+    path = scratch_path(spark, "features")
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    return *MD.train_job(df, feats, family, n_trees=n_trees), df
+
+
+def _train_job(spark, sf, family):
+    model, thr, df = _fitted(spark, sf, family)
+    return MD.predictions(model.score(df.filter(F.col("split") == "test")), thr)
 
 
 @register("train_lr")
@@ -86,20 +71,46 @@ def train_iforest(spark, sf):
 @register("train_blend")
 def train_blend(spark, sf):
     """Two-model blend: α and threshold tuned on the calibration window."""
-    df, feats = feature_frame(spark, sf)
-    df = df.cache()
-    tr, cal, te = (df.filter(F.col("split") == s) for s in ("train", "cal", "test"))
-    scored, _, thr = MD.train_blend(tr, cal, te, feats)
-    df.unpersist()
-    return MD.predictions(scored, thr)
+    return _train_job(spark, sf, "blend")
+
+
+@register("train_metrics")
+def train_metrics(spark, sf):
+    """Metrics rows of the logistic and the boosted training job on the test window."""
+    rows = None
+    for family in ("lr", "gbt"):
+        model, thr, df = _fitted(spark, sf, family)
+        one = MD.train_metrics(model, thr, df.filter(F.col("split") == "test"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+STORED_THETA = (0.9, -0.4, 0.2, -0.1)  # coefficients of the stored model that is evaluated
+STORED_COLS = ("amount", "oldbalanceOrg", "newbalanceOrig", "newbalanceDest")
+
+
+@register("eval_stored_lr", sql=f"""
+with {TXN_SQL},
+s as (select isFraud as y, {" + ".join(f"({t!r}e0 * {c} / 100000.0e0)" for t, c in zip(STORED_THETA, STORED_COLS))} as z from txn),
+p as (select y, case when 1.0e0 / (1.0e0 + exp(-greatest(-35.0e0, least(35.0e0, z)))) >= 0.6 then 1 else 0 end as h from s)
+select count(*) as n, count(*) filter (y = 0 and h = 0) as tn, count(*) filter (y = 0 and h = 1) as fp,
+       count(*) filter (y = 1 and h = 0) as fn, count(*) filter (y = 1 and h = 1) as tp from p""")
+def eval_stored_lr(spark, sf):
+    """A stored coefficient vector is loaded and evaluated on all transactions at its stored threshold."""
+    path = scratch_path(spark, "stored-model")
+    feats = [f"s_{c}" for c in STORED_COLS]
+    MD.Fitted("theta", feats, list(STORED_THETA), "txn_id").save(spark, path, 0.6)
+    t = T.txn(spark, sf).select("txn_id", F.col("isFraud").alias("y"), *[(F.col(c) / 100000.0).alias(f"s_{c}") for c in STORED_COLS])
+    return MD.evaluate_stored(spark, path, t).select("n", "tn", "fp", "fn", "tp")
 
 
 def _fed_job(spark, sf, family, max_trees=None, weighted=True):
     df, feats = feature_frame(spark, sf)
-    df = df.cache()
+    path = scratch_path(spark, "features")
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
     tr, te = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
     p = MD.party_ensemble(tr, te, feats, family, max_trees=max_trees, weighted=weighted)
-    df.unpersist()
     return MD.predictions(p, 0.5)
 
 

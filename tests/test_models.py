@@ -31,6 +31,61 @@ def test_lr_learns_planted_signal(spark):
     assert auc > 0.9
 
 
+def _planted(spark, cal):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 2))
+    rows = [(i, int(a + 0.3 * rng.normal() > 0.4), float(a), float(b), f"p{i % 2}", "test" if i % 4 == 0 else "cal" if cal and i % 4 == 1 else "train")
+            for i, (a, b) in enumerate(x)]
+    return spark.createDataFrame(rows, "txn_id long, y int, a double, b double, party string, split string")
+
+
+@pytest.mark.parametrize("family", ["lr", "rf", "gbt", "blend"])
+def test_training_jobs_with_and_without_a_calibration_window(spark, family):
+    from ledgerlens.session import scratch_path
+    for cal in (True, False):
+        df = _planted(spark, cal)
+        model, thr = MD.train_job(df, ["a", "b"], family, n_trees=5, rf_trees=5)
+        test = df.filter("split = 'test'")
+        row = MD.train_metrics(model, thr, test).first()
+        assert row["n"] == 150 and row["roc_auc"] > 0.85 and row["threshold"] == thr
+        assert family == "blend" or row["f1"] > 0.6  # the shifted threshold rule costs a blend of few distinct scores more
+        assert row["model"] == family and (row["alpha"] is None) == (family != "blend")
+    path = scratch_path(spark, "model")
+    model.save(spark, path, thr)
+    stored, kept = MD.load(spark, path)
+    assert kept == thr and stored.features == ["a", "b"]
+    both = [{r["txn_id"]: r["p_hat"] for r in m.score(test).collect()} for m in (model, stored)]
+    assert both[0] == both[1]
+    again = MD.evaluate_stored(spark, path, test).first()
+    assert (again["tp"], again["fp"]) == (row["tp"], row["fp"])
+
+
+def test_boosting_runs_all_iterations_with_a_calibration_window(spark):
+    model, _ = MD.train_job(_planted(spark, True), ["a", "b"], "gbt", n_trees=12)
+    assert model.model.getNumTrees == 12
+
+
+def test_stored_isolation_forest_and_theta(spark):
+    from ledgerlens.session import scratch_path
+    df = _planted(spark, True)
+    forest = MD.fit(df, ["a", "b"], "iforest", n_trees=8)
+    for m in (forest, MD.Fitted("theta", ["a", "b"], [1.5, -0.5], "txn_id")):
+        path = scratch_path(spark, "model")
+        m.save(spark, path)
+        got, thr = MD.load(spark, path)
+        assert thr is None
+        assert sorted(m.score(df).select("txn_id", "p_hat").collect()) == sorted(got.score(df).select("txn_id", "p_hat").collect())
+
+
+@pytest.mark.parametrize("family", ["rf", "gbt", "blend", "iforest"])
+def test_party_ensembles_keep_every_row(spark, family):
+    df = _planted(spark, False)
+    test = df.filter("split = 'test'")
+    twice = test.union(test.filter("txn_id < 40"))
+    got = MD.party_ensemble(df.filter("split = 'train'"), twice, ["a", "b"], family, n_trees=4, rf_trees=4, round_no=2, diversify=True).collect()
+    assert len(got) == twice.count() and all(0 <= r["p_hat"] <= 1 + 1e-9 for r in got)
+
+
 def test_variance_topk_and_mi(spark):
     df = spark.createDataFrame([([0.0, 1.0, 5.0], 0), ([0.0, 3.0, -5.0], 1), ([0.0, 2.0, 5.0], 0)],
                                "v array<double>, label int")
