@@ -76,9 +76,9 @@ def train_blend(spark, sf):
 
 @register("train_metrics")
 def train_metrics(spark, sf):
-    """Metrics rows of the logistic and the boosted training job on the test window."""
+    """Metrics rows of the logistic and the isolation-forest training job on the test window."""
     rows = None
-    for family in ("lr", "gbt"):
+    for family in ("lr", "iforest"):
         model, thr, df = _fitted(spark, sf, family)
         one = MD.train_metrics(model, thr, df.filter(F.col("split") == "test"))
         rows = one if rows is None else rows.unionByName(one)
