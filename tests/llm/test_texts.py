@@ -159,3 +159,20 @@ def test_chains_against_all_chains():
         chain = passages.chains(m, 8)[0]
         score = 8.0 + sum(8 - passages.GAP * (c - a + d - b) for (a, b), (c, d) in zip(chain, chain[1:]))
         assert all(a < c and b < d for (a, b), (c, d) in zip(chain, chain[1:])) and abs(score - max(best.values())) < 1e-9
+
+
+def test_passages_of_common_lines(spark):
+    rng = random.Random(5)
+    lines = [words(rng, 18, f"l{k}x") for k in range(30)]
+    docs = {i: [w for k in rng.sample(range(30), 3) for w in lines[k] + words(rng, 5)] for i in range(150)}
+    for p in range(10):  # two documents in the middle of the ids share four lines in a row
+        both = [w for k in rng.sample(range(30), 4) for w in lines[k]]
+        docs |= {60.2 + p: words(rng, 9) + both + words(rng, 9), 70.4 + p: words(rng, 5) + both + words(rng, 7)}
+    near = words(rng, 46, "n")  # the first and last holders of most of a passage that don't hold it whole
+    docs |= {-1.0: near + words(rng, 30), 80.1: words(rng, 8) + near + ["n1", "n2", "n3", "n4"], 80.9: words(rng, 8) + near + ["n1", "n2", "n3", "n4"], 999.0: near + words(rng, 30)}
+    df = spark.createDataFrame([(float(i), " ".join(w)) for i, w in docs.items()], "doc_id double, text string")
+    got = passages.shared_passages(df).collect()
+    linked = {(r["id"], r["other"]) for r in got if r["end"] - r["start"] >= 50}
+    for p in range(10):
+        assert (60.2 + p, 70.4 + p) in linked or (70.4 + p, 60.2 + p) in linked, p
+    assert {80.1, 80.9} <= {r["id"] for r in got}
