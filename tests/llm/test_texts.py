@@ -176,3 +176,13 @@ def test_passages_of_common_lines(spark):
     for p in range(10):
         assert (60.2 + p, 70.4 + p) in linked or (70.4 + p, 60.2 + p) in linked, p
     assert {80.1, 80.9} <= {r["id"] for r in got}
+
+
+@pytest.mark.parametrize("size,gap", [(60, 40), (60, 60), (80, 60), (150, 80), (400, 300)])
+def test_two_passages_in_one_chain(size, gap):
+    rng = random.Random(size + gap)
+    head, tail = words(rng, size, "h"), words(rng, size, "t")
+    a, b = (words(rng, 5) + head + words(rng, gap) + tail + words(rng, 5) for _ in range(2))
+    seeds = [(x, x) for x in (*range(8, size - 8, 9), *range(size + gap + 8, 2 * size + gap - 8, 9))]
+    found = sorted(passages.passages_of(a, b, seeds, 50, 0.8))
+    assert [x[:2] for x in found] == [x[2:4] for x in found] == [(5, 5 + size), (5 + size + gap, 5 + 2 * size + gap)] and [x[4] for x in found] == [size] * 2
