@@ -186,3 +186,20 @@ def test_two_passages_in_one_chain(size, gap):
     seeds = [(x, x) for x in (*range(8, size - 8, 9), *range(size + gap + 8, 2 * size + gap - 8, 9))]
     found = sorted(passages.passages_of(a, b, seeds, 50, 0.8))
     assert [x[:2] for x in found] == [x[2:4] for x in found] == [(5, 5 + size), (5 + size + gap, 5 + 2 * size + gap)] and [x[4] for x in found] == [size] * 2
+
+
+def seeds_of_pair(a, b):
+    (ha, pa), (hb, pb) = passages.minimizers(a), passages.minimizers(b)
+    return [(int(x), int(y)) for h, x in zip(ha, pa) for y in pb[hb == h]]
+
+
+@pytest.mark.parametrize("size,every,least", [(60, 14, 0.99), (60, 10, 0.99), (60, 8, 0.95), (60, 7, 0.85), (120, 10, 0.99)])
+def test_passages_with_edits(size, every, least):
+    rng, found = random.Random(size * every), 0
+    for _ in range(100):
+        text = [w.encode() for w in words(rng, size)]
+        other = [b"changed%d" % k if k % every == every // 2 else w for k, w in enumerate(text)]
+        a, b = ([w.encode() for w in words(rng, 90)] + x + [w.encode() for w in words(rng, 90)] for x in (text, other))
+        lists = [passages.passages_of(a, b, c, 50, 0.8) for c in passages.chains(seeds_of_pair(a, b))]
+        found += any(x[0] < 90 + size and x[1] > 90 for got in lists for x in got)
+    assert found >= least * 100
