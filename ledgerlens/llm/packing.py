@@ -32,9 +32,9 @@ CAPACITY, END_ID = 2048, 0
 
 
 class Encoder:
-    """Ids of a byte-level vocabulary file of the tokenizers library; special strings in a text are ordinary text.
+    """Ids of a byte-level vocabulary file of the tokenizers library, with the file's own treatment of its added tokens.
 
-    Texts of Latin-1 characters go through the same vocabulary as ranks (``ranks_path``), which gives the
+    Texts of Latin-1 characters without an added token's string go through the same vocabulary as ranks (``ranks_path``), which gives the
     same ids at less cost; all others, whose character classes may differ between the libraries, through the file itself.
     """
 
@@ -42,7 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.quick = None
         if ranks_path and pattern:
             import base64
@@ -54,7 +54,7 @@ class Encoder:
             self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.quick is not None:
+        if self.quick is not None and not any(t in text for t in self.added):
             try:
                 text.encode("latin-1")
                 return self.quick.encode_ordinary(text)

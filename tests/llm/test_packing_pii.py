@@ -69,6 +69,16 @@ def test_encoder_gives_the_files_ids():
         assert e(t) == e.full.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_files_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    e, plain = packing.public_encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("<|endoftext|>", "one<|endoftext|>two", "日本 <|endoftext|>", "<|endoftext", "a <|endoftext|> <|endoftext|>\n"):
+        assert e(t) == plain.encode(t, add_special_tokens=False).ids, t
+    assert len(e("<|endoftext|>")) == 1
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "é", "x1"], k=rng.choice([3, 30, 300, 3000])))) for i in range(60)]
