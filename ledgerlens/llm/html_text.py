@@ -1,12 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Elements that never hold article text (scripts, menus, forms,
-elements whose class, id or role names a menu, advert, notice, comment list ...) are
-left out. Every remaining node gets its link-adjusted characters per tag, every node
-the sum of its children's densities. The node with the largest sum is the main
-content; the smallest density on its path to the body is the threshold. Further
-subtrees that reach it, and whose own sum is a good part of the main one, join the
-content. All blocks of the content are returned in page order.
+A page becomes a tree. Elements that never hold article text (scripts, menus, forms)
+are left out, and elements whose class, id or role names a menu, advert, notice, comment
+list ... if they are short or hold less than half of the page's text or mostly links, no <h1>
+and not the node with the largest density sum. Every remaining node gets its link-adjusted
+characters per tag, every node the sum of its children's densities. The node with the
+largest sum is the main content; the smallest density on its path to the body is the
+threshold. Further subtrees that reach it join the content. All blocks of the content
+are returned in page order.
 
 Text: character references decoded, white space inside a block as one space, trimmed,
 blocks joined by two line feeds. A null or empty page, or one without text, gives "".
@@ -46,8 +47,9 @@ sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widge
 KEEPS = frozenset(["html", "body", "main"])
 #: Of these words only some tell that an article element isn't the page's article.
 ARTICLE_HINTS = frozenset("ad advert advertisement comment promo promoted reply sponsored teaser".split())
-#: A further subtree joins if its density sum is at least this part of the largest.
-SHARE = 0.2
+
+#: So many characters are short for an element with such a word, as is less than half of the page's text.
+SHORT = 300
 
 _TAG = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>\x00]*)|[!?/])")
 _ATTRS = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
@@ -58,24 +60,26 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "items", "out", "hinted", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, out: bool):
-        self.name, self.parent, self.items, self.out = name, parent, [], out
+    def __init__(self, name: str, parent: Node | None, out: bool, hinted: bool = False):
+        self.name, self.parent, self.items, self.out, self.hinted = name, parent, [], out, hinted
 
 
-def _left_out(name: str, attrs: str) -> bool:
+def _left_out(name: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether a word names something else than the article."""
     if name in DROPPED:
-        return True
+        return True, False
     if name in KEEPS or not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return False, False
+    hinted = False
     for m in _NAMED.finditer(attrs):
         key, value = m[0][:6].lower(), m[1] or m[2] or m[3] or ""
         if key.startswith("hidden") and value.lower() != "false" or key.startswith("style") and _HIDDEN.search(value):
-            return True
+            return True, False
         if not key.startswith("style") and not (ARTICLE_HINTS if name == "article" else HINTS).isdisjoint(x.lower() for x in _SPLIT.split(value)):
-            return True
-    return False
+            hinted = True
+    return False, hinted
 
 
 def parse(page: str) -> Node:
@@ -131,7 +135,8 @@ def parse(page: str) -> Node:
             close({"p"}, {"td", "th", "table", "button", "div", "li", "section", "article", "blockquote"})
         if name in ENDS:
             close(*ENDS[name])
-        node = Node(name, here, here.out or _left_out(name, attrs))
+        out, hinted = _left_out(name, attrs)
+        node = Node(name, here, here.out or out, hinted)
         here.items.append(node)
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
@@ -175,9 +180,8 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def content(root: Node) -> list[Node]:
-    """The subtrees of the main content, in page order."""
-    order = measure(root)
+def _densest(order: list[Node], root: Node) -> tuple[Node, Node]:
+    """The body and its node with the largest density sum."""
     inner = {id(n) for n in order}
     body = next((n for n in reversed(order) if n.name == "body"), root)
     under, todo = [], [body]
@@ -186,7 +190,25 @@ def content(root: Node) -> list[Node]:
         if node.name not in INLINE:
             under.append(node)
         todo += [x for x in reversed(node.items) if isinstance(x, Node) and id(x) in inner]
-    best = max(under, key=lambda n: n.total, default=body)
+    return body, max(under, key=lambda n: n.total, default=body)
+
+
+def content(root: Node) -> list[Node]:
+    """The subtrees of the main content, in page order."""
+    order = measure(root)
+    body, best = _densest(order, root)
+    if any(n.hinted for n in order):
+        holds = set()
+        for node in (best, *(n for n in order if n.name == "h1")):
+            while node is not None and id(node) not in holds:
+                holds.add(id(node))
+                node = node.parent
+        for n in order:
+            if n.hinted and id(n) not in holds and (n.chars < max(SHORT, body.chars / 2) or n.link_chars * 2 >= n.chars):
+                n.out = True
+        order = measure(root)
+        body, best = _densest(order, root)
+    inner = {id(n) for n in order}
     article = best
     while article is not body and article.name not in ("article", "main"):
         article = article.parent
@@ -204,8 +226,7 @@ def content(root: Node) -> list[Node]:
     found, todo = [], [body]
     while todo:
         node = todo.pop()
-        if id(node) in chosen or (id(node) not in above and node.density >= threshold and node.total >= SHARE * best.total
-                                  and node.link_chars * 2 < node.chars):
+        if id(node) in chosen or (id(node) not in above and node.density >= threshold):
             found.append(node)
         elif id(node) in above or node.density >= threshold:
             todo += [x for x in reversed(node.items) if isinstance(x, Node) and id(x) in inner]

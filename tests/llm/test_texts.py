@@ -26,6 +26,20 @@ def test_article_and_nothing_else(around):
     assert html_text.main_text(page(around.format(ARTICLE))) == TEXT
 
 
+LONG = "".join(f"<p>Paragraph {k} of a long story, with rather many words that go on for a while and say a little more.</p>" for k in range(10))
+
+
+LEAD = "The lead of the story says at some length what it is about, " * 6
+
+
+@pytest.mark.parametrize("around", [f"<p class=lead>{LEAD}</p><div class=entry>{{}}</div>", f"<div class='layout has-sidebar'><h1>T</h1><p>{LEAD}</p>{{}}</div>",
+                                    f"<div id=search-page><div><p>{LEAD}</p>{{}}</div></div>", f"<div class=header><h1>{LEAD}</h1></div><div>{{}}</div>",
+                                    f"<section>{LEAD}</section><section>{{}}</section>"])
+def test_leads_and_titles_stay(around):
+    text = html_text.main_text(page(around.format(LONG)))
+    assert "The lead of the story" in text and "Paragraph 0" in text and "Paragraph 9" in text
+
+
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("  ", ""), ("plain", "plain"), ("<", "<"), ("<!--", ""), ("<script>x", ""), ("<p>a<p>b", "a\n\nb"),
                                        ("<p>a &am", "a &am"), ("<p>&#233;&nbsp;&eacute;", "é é"), ("</p></div>x", "x"), ("<p a='>'>q</p>", "q")])
 def test_odd_pages(html, text):
