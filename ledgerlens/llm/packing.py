@@ -129,9 +129,11 @@ def reduce_instance(counts: Counter, capacity: int) -> tuple[list[tuple[tuple[in
             if partners is None:
                 break
             chosen = Counter((size, *partners))
-            # the same set stays proven while each of its sizes lasts, if its partners fill the room or nothing else fits
+            # the same set stays proven while each of its sizes lasts, if its partners fill the room or nothing else fits;
+            # else while enough of each are left, since the proof tells no more than three items of a size (and this one) apart
             exact = sum(partners) == capacity - size or not partners
-            times = min(left[s] // n for s, n in chosen.items()) if exact else 1
+            lasts = min(left[s] // n for s, n in chosen.items())
+            times = lasts if exact else max(1, lasts - 3)
             for s, n in chosen.items():
                 left[s] -= n * times
             fixed.append(((size, *partners), times))

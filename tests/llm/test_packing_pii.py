@@ -41,6 +41,22 @@ def test_reduction_loses_nothing(seed):
     assert sum(n for _, n in fixed) + fewest(left.elements(), capacity) == fewest(sizes, capacity)
 
 
+def test_sets_are_fixed_in_bulk():
+    fixed, left = packing.reduce_instance(Counter({2000: 200_000, 30: 200_000}), 2048)
+    assert len(fixed) <= 8 and not left and sum(n for _, n in fixed) == 200_000
+    assert len(packing.plan({2000: 200_000, 30: 200_000})) <= 16
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bulk_reduction_loses_nothing(seed):
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([12, 20, 30])
+    sizes = [s for s in rng.sample(range(capacity // 6, capacity), 3) for _ in range(rng.randrange(4, 9))]
+    fixed, left = packing.reduce_instance(Counter(sizes), capacity)
+    assert sum((Counter(p) for p, n in fixed for _ in range(n)), left) == Counter(sizes)
+    assert sum(n for _, n in fixed) + fewest(left.elements(), capacity) == fewest(sizes, capacity)
+
+
 def test_plan_covers_every_rank_once():
     rng = random.Random(1)
     counts = Counter(min(64, int(rng.expovariate(0.06)) + 1) for _ in range(5000))
