@@ -123,6 +123,18 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text,name", [
+    ("Licensed under the MIT License.", "mit-licensed"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0-short"), ("Licensed under CC0 1.0 Universal.", "cc0-1.0-notice"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+     "You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0-header"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense-notice"),
+    ("is licensed under the GNU Lesser General Public License, version 3", "lgpl-notice"), ("is licensed under the GNU Affero General Public License v3", "agpl-notice"),
+    ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+     "without specific prior written permission.", "bsd-clause-3")])
+def test_more_licenses(text, name):
+    assert name in {m[0] for m in licenses.Scanner().scan([f"Some words that come before it. {text} And some words that come after it."])[0]}
+
+
 def test_license_bands_are_sure():
     for f in licenses.Scanner().families:
         for s in f.sets:
