@@ -26,9 +26,9 @@ from ledgerlens.operators import weights as W
 from ledgerlens.session import scratch_path
 
 FAMILIES = ("lr", "rf", "gbt", "iforest")
-# Spark trees need a depth cap (the reference grows unlimited trees); 10 keeps
-# the per-level node statistics bounded at large row counts.
-RF_MAX_DEPTH = 10
+# The reference grows unlimited trees; 30 is the most that Spark allows. Nodes grow in
+# groups of at most maxMemoryInMB of statistics, so these stay bounded.
+RF_MAX_DEPTH = 30
 MAX_PARTIES = 1_000
 
 
@@ -42,7 +42,7 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
     if family == "lr":
         # liblinear-style L2 with C = 1 ⇔ regParam = 1/n on the mean loss; liblinear's tol 1e-4
         return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_rows, 1),
-                                  elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4, **extra)
+                                  elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4, **extra)
     if family == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                       minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH, maxMemoryInMB=1024,

@@ -120,3 +120,9 @@ def test_mask_commitments(spark):
     key = hashlib.sha256(S.COMMIT_PREFIX.encode() + salt + b"a").digest()
     text = ",".join(format(v, ".17e") for v in [-1.5, 0.25])  # dyadic: same text in Java and Python
     assert c["a"] == (2, hmac.new(key, text.encode(), hashlib.sha256).hexdigest())
+
+
+def test_forests_and_regression_go_as_far_as_the_reference(spark):
+    from ledgerlens.operators import models
+
+    assert models.build("rf").getMaxDepth() == 30 and models.build("lr").getMaxIter() == 1000
