@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import html_text, licenses, line_spread, packing, passages, pii, quality, sentencepieces, simhash, topk
+from ledgerlens.llm import conversations, html_text, licenses, line_spread, packing, passages, pii, quality, sentencepieces, simhash, topk
 from ledgerlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("scores")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(read(spark, sf_dir, "conversations"))
