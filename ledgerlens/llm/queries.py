@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import conversations, html_text, licenses, line_spread, packing, passages, pii, quality, sentencepieces, simhash, topk
+from ledgerlens.llm import conversations, html_text, licenses, line_spread, packing, passages, pii, quality, sentencepieces, simhash, topk, variants
 from ledgerlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(read(spark, sf_dir, "conversations"))
+
+
+#: crc32 by its table, one byte after the other; near words share a word with one letter hidden, or are one with a letter left out.
+OP12_SQL = """
+with recursive t as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+runs as (
+  select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run
+  from documents),
+per as (select d, run, count(*) as k, hex(encode(d || ':' || run)) as x from runs group by d, run),
+hashed as (
+  select run, k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+                     lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1]))) as h
+  from per, t),
+w as (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, k from hashed),
+v as (select word, sum(k)::bigint as n from w where length(word) >= 6 group by word having sum(k) >= 5),
+place as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+hidden as (select word, n, i, left(word, i - 1) || ' ' || substr(word, i + 1) as h, left(word, i - 1) || substr(word, i + 1) as s from place),
+near as (
+  select a.word, b.word as near, b.n as near_n from hidden a join hidden b on a.h = b.h and a.word <> b.word
+  union select a.word, b.word, b.n from hidden a join v b on a.s = b.word
+  union select b.word, a.word, a.n from hidden a join v b on a.s = b.word),
+best as (select word, count(*)::bigint as n_near, max(near_n) as top from near group by word),
+form as (
+  select v.word, v.n, coalesce(b.n_near, 0) as n_near, b.top as form_n,
+         (select min(x.near) from near x where x.word = v.word and x.near_n = b.top) as form
+  from v left join best b on v.word = b.word),
+f as (select word, n, n_near, case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n from form),
+chain as (
+  select word, word as root, 0 as k from f
+  union all select c.word, f.form, c.k + 1 from chain c join f on f.word = c.root where f.form is not null)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n
+from f join (select word, arg_max(root, k) as root from chain group by word) c on c.word = f.word"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(variants.tokens(read(spark, sf_dir, "documents"), misspelt=variants.MISSPELT)))
