@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import conversations, html_text, licenses, line_spread, packing, passages, pii, quality, sentencepieces, simhash, topk, variants
+from ledgerlens.llm import conversations, html_text, jaccard, licenses, line_spread, packing, passages, pii, quality, sentencepieces, simhash, topk, variants
 from ledgerlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,29 @@ from f join (select word, arg_max(root, k) as root from chain group by word) c o
 @query("op12_spelling_variants", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.vocabulary(variants.tokens(read(spark, sf_dir, "documents"), misspelt=variants.MISSPELT)))
+
+
+#: Words are split by the rule's own characters; sets of at most one n-gram in common are never paired.
+OP13_SQL = r"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+g as (
+  select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(w[i:i + 3], ' ') end as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*)::bigint as n, md5(string_agg(g, chr(10) order by g)) as s from g group by doc_id),
+rep as (select s, min(doc_id) as r, min(n) as n from n group by s),
+rg as (select r, g from g join rep on g.doc_id = rep.r),
+shared as (select a.r as u, b.r as v, count(*) as k from rg a join rg b on a.g = b.g and a.r < b.r group by 1, 2),
+link as (select u, v from shared join rep x on x.r = u join rep y on y.r = v where 100 * k >= 85 * (x.n + y.n - k)),
+edge as (select u, v from link union select v, u from link),
+reach as (select r as node, r as root from rep union select e.u, t.root from edge e join reach t on e.v = t.node),
+root as (select node, min(root) as root from reach group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(root.root, d.doc_id) as component_id
+from d left join n using (doc_id) left join rep on rep.s = n.s left join root on root.node = rep.r"""
+
+
+@query("op13_jaccard_join", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "component": "component_id"})
