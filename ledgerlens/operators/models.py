@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import iforest as IF
 from ledgerlens.operators import linear as L
 from ledgerlens.operators import metrics as M
+from ledgerlens.operators import trees as TR
 from ledgerlens.operators import weights as W
 from ledgerlens.session import scratch_path
 
 FAMILIES = ("lr", "rf", "gbt", "iforest")
-# The reference grows unlimited trees; 30 is the most that Spark allows. Nodes grow in
-# groups of at most maxMemoryInMB of statistics, so these stay bounded.
+# The reference grows unlimited trees; 30 is the most that Spark allows.
 RF_MAX_DEPTH = 30
 MAX_PARTIES = 1_000
 
@@ -44,9 +44,9 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
         return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_rows, 1),
                                   elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4, **extra)
     if family == "rf":
-        return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
-                                      minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH, maxMemoryInMB=1024,
-                                      featureSubsetStrategy="sqrt", seed=seed, **extra)
+        # cached node ids: no job ships the trees grown so far to its tasks
+        return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH,
+                                      maxMemoryInMB=1024, cacheNodeIds=True, featureSubsetStrategy="sqrt", seed=seed, **extra)
     if family == "rf_shallow":  # the blend's forest: 600 trees, depth 8, min leaf 4
         return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                       minInstancesPerNode=4, maxDepth=8, maxMemoryInMB=1024,
@@ -62,8 +62,8 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
 class Fitted:
     """A fitted model of any family; ``score`` adds ``p_hat`` to a frame.
 
-    ``model`` is a ``pyspark.ml`` model, a forest of isolation trees, a list of
-    coefficients (``theta``), or (boosting, forest, α) of a blend.
+    ``model`` is a ``pyspark.ml`` model, the node table of a forest (``rf``), a forest of
+    isolation trees, a list of coefficients (``theta``), or (boosting, forest, α) of a blend.
     """
 
     def __init__(self, family: str, features: Sequence[str], model, id_col: str):
@@ -84,6 +84,8 @@ class Fitted:
             gbm, rf, a = self.model
             s = rf.score(gbm.score(df).withColumnRenamed("p_hat", "_p_gbm")).withColumnRenamed("p_hat", "_p_rf")
             return s.withColumn("p_hat", F.lit(a) * F.col("_p_gbm") + F.lit(1.0 - a) * F.col("_p_rf")).drop("_p_gbm", "_p_rf")
+        if self.family == "rf":
+            return df.withColumn("p_hat", TR.probability(self.model, self.features))
         sc = self.model.transform(assemble(df, self.features))
         return sc.withColumn("p_hat", vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction")
@@ -100,6 +102,8 @@ class Fitted:
         elif self.family == "iforest":
             extra = [float(self.model.psi), float(self.model.max_depth), float(self.model.feature.shape[0])]
             IF.nodes_frame(spark, self.model).write.mode("overwrite").parquet(f"{path}/trees")
+        elif self.family == "rf":
+            self.model.write.mode("overwrite").parquet(f"{path}/nodes")
         else:
             self.model.write().overwrite().save(f"{path}/model")
         spark.createDataFrame([(self.family, self.features, self.id_col, threshold, extra)], META_SCHEMA).coalesce(1) \
@@ -119,6 +123,8 @@ def load(spark: SparkSession, path: str) -> tuple[Fitted, float | None]:
     elif m["family"] == "iforest":
         psi, depth, trees = (int(x) for x in m["extra"])
         model = IF.forest_of(spark.read.parquet(f"{path}/trees").toPandas(), trees, psi, depth)
+    elif m["family"] == "rf":
+        model = spark.read.schema(TR.NODES).parquet(f"{path}/nodes")
     else:
         kind = {"lr": LogisticRegressionModel, "gbt": GBTClassificationModel}.get(m["family"], RandomForestClassificationModel)
         model = kind.load(f"{path}/model")
@@ -138,6 +144,9 @@ def fit(train: DataFrame, features: Sequence[str], family: str, label: str = "y"
         return Fitted(family, features, IF.fit(train, list(features), n_trees=n_trees, seed=seed, key=id_col),
                       id_col)
     tr = assemble(train, features)
+    if family == "rf":  # read by every batch of trees, so written once
+        rows = TR.stored(tr.select("features", label, *([weight] if weight else [])), "forest-rows")
+        return Fitted(family, features, TR.grow(rows, lambda n, k: build("rf", label, weight, seed=seed + k, n_trees=n), n_trees), id_col)
     n = (n_rows if n_rows is not None else train.count()) if family == "lr" else 1
     return Fitted(family, features, build(family, label, weight, n, seed, n_trees, validation_col).fit(tr), id_col)
 
@@ -204,25 +213,17 @@ def predictions(scored: DataFrame, thr: float, id_col: str = "txn_id", label: st
                          "p_hat", (F.col("p_hat") >= F.lit(thr)).cast("int").alias("y_pred"))
 
 
-def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str], family: str,
-                   party: str = "party", label: str = "y", n_trees: int = 400, max_trees: int | None = None,
-                   weighted: bool = True, seed: int = 42, id_col: str = "txn_id", round_no: int = 0,
-                   diversify: bool = False, rf_trees: int = 600) -> DataFrame:
-    """One model per party, probabilities averaged (n-weighted, or by tree count): (id, label, p_hat), a row per scored row.
+def party_models(train: DataFrame, features: Sequence[str], family: str, party: str = "party", label: str = "y", n_trees: int = 400,
+                 max_trees: int | None = None, seed: int = 42, id_col: str = "txn_id", rf_trees: int = 600) -> list[tuple[str, int, Fitted]]:
+    """(party, rows, model) for every party; each weights its classes by its own counts.
 
-    Each party weights its classes by its own counts. ``diversify`` adds the round to the
-    seed of every party. A forest union with the same trees per party has the mean
-    probability of the party forests; ``max_trees`` caps the union by splitting it evenly.
-    All models score in one projection; only isolation forests, whose probability is a
-    rank within the scored rows, need a pass each.
+    ``max_trees`` caps the trees of all parties by splitting them evenly. The fits are independent and run as concurrent jobs.
     """
     rows = train.groupBy(party).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTIES + 1).collect()
     if len(rows) > MAX_PARTIES:
         raise ValueError(f"more than {MAX_PARTIES} parties: one model per party is not meant for this")
     sizes = sorted((r[party], r["n"]) for r in rows if r[party] is not None)
     per = n_trees if not max_trees else max(1, min(n_trees, max_trees // max(1, len(sizes))))
-    total = float(sum(n for _, n in sizes))
-    seed = seed + (round_no if diversify else 0)
 
     def one(pt) -> Fitted:
         part, stop = train.filter(F.col(party) == pt), None
@@ -238,12 +239,37 @@ def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str
             part = part.withColumn(stop, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10)) == 0)
         return fit(part, features, family, label, "weight", seed, per, stop, id_col)
 
-    # the party models are independent: their fits run as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=max(1, min(4, len(sizes)))) as pool:
         models = list(pool.map(one, [pt for pt, _ in sizes]))
-    shares = [(n / total) if weighted else 1.0 / len(sizes) for _, n in sizes]
-    acc = score_on.select(id_col, label, *features).withColumn("p_hat_all", F.lit(0.0))
-    for m, share in zip(models, shares, strict=True):
+    return [(pt, n, m) for (pt, n), m in zip(sizes, models, strict=True)]
+
+
+def party_forest(train: DataFrame, features: Sequence[str], party: str = "party", label: str = "y", n_trees: int = 400,
+                 max_trees: int | None = 800, seed: int = 42, id_col: str = "txn_id") -> Fitted:
+    """One forest of the trees of all party forests, at most ``max_trees``: its probability is the mean of theirs."""
+    models = party_models(train, features, "rf", party, label, n_trees, max_trees, seed, id_col)
+    return Fitted("rf", features, TR.unite([m.model for _, _, m in models], max_trees), id_col)
+
+
+def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str], family: str,
+                   party: str = "party", label: str = "y", n_trees: int = 400, max_trees: int | None = None,
+                   weighted: bool = True, seed: int = 42, id_col: str = "txn_id", round_no: int = 0,
+                   diversify: bool = False, rf_trees: int = 600) -> DataFrame:
+    """One model per party, probabilities averaged (n-weighted, or by tree count): (id, label, p_hat), a row per scored row.
+
+    ``diversify`` adds the round to the seed of every party. Forests by tree count unite to one model (``party_forest``).
+    All models score in one projection; only isolation forests, whose probability is a
+    rank within the scored rows, need a pass each.
+    """
+    seed = seed + (round_no if diversify else 0)
+    acc = score_on.select(id_col, label, *features)
+    if family == "rf" and not weighted:
+        return party_forest(train, features, party, label, n_trees, max_trees, seed, id_col).score(acc).select(id_col, label, "p_hat")
+    models = party_models(train, features, family, party, label, n_trees, max_trees, seed, id_col, rf_trees)
+    total = float(sum(n for _, n, _ in models))
+    acc = acc.withColumn("p_hat_all", F.lit(0.0))
+    for _, n, m in models:
+        share = n / total if weighted else 1.0 / len(models)
         acc = m.score(acc).withColumn("p_hat_all", F.col("p_hat_all") + F.lit(share) * F.col("p_hat")).drop("p_hat")
     return acc.select(id_col, label, F.col("p_hat_all").alias("p_hat"))
 
