@@ -61,14 +61,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 100 = 0)
+  select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on c.r <> q.r and len(c.e) = len(q.e) where q.vec_id % 100 = 0)
 select query_id, rank, vec_id, score from (
-  select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank from s) where rank <= 10"""
+  select *, (row_number() over (partition by r order by score desc, vec_id))::integer as rank from s) where rank <= 10"""
 
 
 @query("op5_exact_topk", OP5_SQL)

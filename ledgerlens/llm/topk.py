@@ -5,13 +5,15 @@ a block of queries the lists are read from their best ends in steps. Every candi
 then has a lower bound (what was seen, plus the least its unseen lists can add) and an
 upper bound (what was seen, plus the list heads it has not passed). Reading stops when
 no outsider's upper bound reaches the k-th best lower bound; the few candidates left
-get their final scores. The k-th score found so far carries over to the next block of
-the same task, so later blocks stop sooner.
+get their final scores. A block of candidates moves once and its lists are sorted once; the
+queries go to every block.
 
 Scores are integers: every component x becomes floor(1024 * x). Ties go to the smaller
 id. Vectors that are null, empty, or hold null or non-finite components take no part,
-nor do rows with a null id; a query meets only vectors of its own length. Candidates
-are all rows whose id isn't the query's. Magnitudes must keep sums below 2 ** 53.
+nor do rows with a null id; a query meets only vectors of its own length. A query is a row:
+its candidates are all other rows, also one of the same id, and a repeated query row
+gets its own ranks. Vectors so large that a score could reach 2 ** 53 raise an error.
+An empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,63 +26,64 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import stored
 
 K, SCALE = 10, 1024
-#: Rows of a candidate block, of a query block, and blocks that one task reads in turn.
-BLOCK, QUERIES, RUN = 4096, 256, 8
+#: Rows of a candidate block and of a query block; a block also holds at most ``BYTES`` of components.
+BLOCK, QUERIES, BYTES = 2048, 256, 1 << 24
+#: Sums below this are exact in doubles.
+EXACT = 2.0 ** 53
 
 
 class Lists:
     """The sorted lists of a block: for each dimension the places of its rows by falling value."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.order = np.argsort(-rows, axis=0, kind="stable")
-        self.value = np.take_along_axis(rows, self.order, axis=0)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, keys: np.ndarray | None = None):
+        self.ids, self.rows, self.keys = ids, rows, ids if keys is None else keys
+        self.rank = np.argsort(np.argsort(-rows, axis=0, kind="stable"), axis=0, kind="stable")
+        self.value = -np.sort(-rows, axis=0)
 
 
-def block_topk(q_ids: np.ndarray, q: np.ndarray, lists: Lists, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> int:
-    """Merges the block's k best for each query into ``best`` [(scores, ids)]; returns list entries read for each query and dimension."""
-    n, dims = lists.rows.shape
-    seen = np.zeros((len(q), n))
-    alive = np.ones((len(q), n), bool)
-    open_q = np.arange(len(q))
+def block_topk(q_keys: np.ndarray, q: np.ndarray, lists: Lists, best: list[tuple[np.ndarray, np.ndarray]], k: int) -> int:
+    """Merges the block's k best for each query into ``best`` [(scores, ids)]; returns list entries read for each dimension.
+
+    Lists are read from both ends, twice as far in every step. For a query component above 0 an entry counts once it is passed
+    from the top, until then it lies between the last value read there and the end of the list; below 0 likewise from the
+    bottom. So both bounds of all pairs are matrix products over the entries passed and the list heads.
+    """
+    n = len(lists.rows)
+    if lists.rows.size and q.size and np.abs(q).max() * np.abs(lists.rows).max() * q.shape[1] >= EXACT:
+        raise ValueError("components too large: scores of 2 ** 53 and more are not exact")
+    signs = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
     floor_ = np.array([s[k - 1] if len(s) >= k else -np.inf for s, _ in best])
-    passed = np.zeros((2, dims, n), bool)  # by reading a list from its top, or from its end
-    step, depth, read = max(64, n // 8), 0, 0
-    while depth < n and len(open_q):
-        to = min(n, depth + step)
-        for d in range(dims):
-            for end, takes in ((0, q[open_q, d] > 0), (1, q[open_q, d] < 0)):
-                who = open_q[takes]
-                at = lists.order[depth:to, d] if end == 0 else lists.order[n - to:n - depth, d]
-                passed[end, d, at] = True
-                if len(who):
-                    seen[np.ix_(who, at)] += q[who, d, None] * lists.rows[at, d][None, :]
-        read += (to - depth)
-        depth = to
+    alive = np.ones((len(q), n), bool)
+    alive[q_keys[:, None] == lists.keys[None, :]] = False
+    open_q, some, depth = np.arange(len(q)), np.arange(n), 0
+    while len(open_q) and len(some):
+        depth = min(n, max(64, n // 8, 2 * depth))
+        rows, rank = lists.rows[some], lists.rank[some]
         top, low = lists.value[depth - 1], lists.value[n - depth]
-        gone = passed.astype(np.float64)
-        pos, neg = np.maximum(q[open_q], 0), np.minimum(q[open_q], 0)
-        head = pos * top + neg * low  # most that an unread entry of the list adds
-        tail = pos * lists.value[-1] + neg * lists.value[0]  # least that it adds
-        up = head.sum(1)[:, None] - (head * (pos > 0)) @ gone[0] - (head * (neg < 0)) @ gone[1]
-        down = tail.sum(1)[:, None] - (tail * (pos > 0)) @ gone[0] - (tail * (neg < 0)) @ gone[1]
-        partial = seen[open_q]
-        lower = partial + down
-        lower[lists.ids[None, :] == q_ids[open_q, None]] = -np.inf
-        if n > k:
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            floor_[open_q] = np.maximum(floor_[open_q], kth)
-        alive[open_q] &= (partial + up >= floor_[open_q][:, None] - 0.5)
-        left = alive[open_q].sum(1)
+        from_top, from_low = rank < depth, rank >= n - depth
+        most = np.concatenate([np.where(from_top, rows, top), np.where(from_low, rows, low)], axis=1)
+        upper = signs[open_q] @ most.T
+        live = alive[np.ix_(open_q, some)]
+        if depth < n:
+            least = np.concatenate([np.where(from_top, rows, lists.value[-1]), np.where(from_low, rows, lists.value[0])], axis=1)
+            lower = np.where(live, signs[open_q] @ least.T, -np.inf)
+        else:
+            lower = np.where(live, upper, -np.inf)
+        if len(some) > k:
+            floor_[open_q] = np.maximum(floor_[open_q], np.partition(lower, len(some) - k, axis=1)[:, len(some) - k])
+        live &= upper >= floor_[open_q][:, None] - 0.5
+        left = live.sum(1)
         done = (left <= max(2 * k, n // 64)) | (depth >= n)
-        for x in open_q[done]:  # resolve final scores
-            c = np.nonzero(alive[x] & (lists.ids != q_ids[x]))[0]
+        for x, keep_x in zip(open_q[done], live[done]):  # resolve final scores
+            c = some[keep_x]
             s = np.concatenate([best[x][0], lists.rows[c] @ q[x]])
             i = np.concatenate([best[x][1], lists.ids[c]])
             keep = np.lexsort((i, -s))[:k]
             best[x] = (s[keep], i[keep])
+        alive[np.ix_(open_q, some)] = live
         open_q = open_q[~done]
-    return read
+        some = some[live[~done].any(0)]
+    return depth
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -88,48 +91,48 @@ def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     df = df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     df = df.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~F.coalesce(bad, F.lit(False)))
-    return df.select("id", F.size("x").alias("dims"), F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
+    return df.select(F.monotonically_increasing_id().alias("row"), "id", F.size("x").alias("dims"), F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(dims, block, ids, xs): about ``size`` rows a block, dealt by the id's hash; xs is the rows' components one after the other."""
-    per = rows.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
-    dealt = rows.join(per, "dims").withColumn("block", F.pmod(F.xxhash64("id", F.lit(size)), F.col("blocks")).cast("int"))
-    return stored(dealt.groupBy("dims", "block").agg(F.collect_list(F.struct("id", "x")).alias("r"))
-                  .select("dims", "block", F.col("r.id").alias("ids"), F.flatten("r.x").alias("xs")), name)
+    """(dims, block, keys, ids, xs): about ``size`` rows a block, dealt by the row's hash; xs is the rows' components one after the other."""
+    room = F.least(F.lit(size), F.greatest(F.lit(1), F.floor(F.lit(BYTES) / (F.col("dims") * 8))))
+    per = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).select("dims", F.ceil(F.col("n") / room).alias("blocks"))
+    dealt = rows.join(per, "dims").withColumn("block", F.pmod(F.xxhash64("row", F.lit(size)), F.col("blocks")).cast("int"))
+    return stored(dealt.groupBy("dims", "block").agg(F.collect_list(F.struct("row", "id", "x")).alias("r"))
+                  .select("dims", "block", F.col("r.row").alias("keys"), F.col("r.id").alias("ids"), F.flatten("r.x").alias("xs")), name)
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (over column ``id``) holds, its k best other rows."""
-    rows = stored(_usable(vectors, id_col, vec_col), "vectors")
-    asked = _blocks(rows.filter(is_query), QUERIES, "query-blocks").select("dims", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("xs").alias("qs"))
-    cand = _blocks(rows, BLOCK, "candidate-blocks").withColumn("run", F.floor(F.col("block") / RUN).cast("int"))
-    # the stated query set meets all rows, block by block: each query block goes to each run of candidate blocks of its length
-    runs = cand.select("dims", "run").distinct()
-    left = asked.join(runs, "dims").select("dims", "run", "qb", "q_ids", "qs")
-    right = cand.groupBy("dims", "run").agg(F.collect_list(F.struct("ids", "xs")).alias("c"))
-    met = left.join(right, ["dims", "run"])
+    rows = stored(_usable(vectors, id_col, vec_col), "vectors")  # written, so that a row keeps its key
+    asked = _blocks(rows.filter(is_query), QUERIES, "query-blocks")
+    cand = _blocks(rows, BLOCK, "candidate-blocks")
+    # the stated query set meets all rows, block by block: the queries go to each block of candidates, which moves once
+    places = cand.select("dims", "block").withColumnRenamed("block", "run")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = asked.join(places, "dims").select("dims", "run", F.col("keys").alias("q_keys"), F.col("ids").alias("q_ids"), F.col("xs").alias("qs"))
+    right = cand.withColumnRenamed("block", "run").repartition(parts, "dims", "run")
+    met = left.repartition(parts, "dims", "run").join(right, ["dims", "run"]).select("dims", "run", "q_keys", "q_ids", "qs", "keys", "ids", "xs")
 
     def search(batches):
+        flat = lambda a: np.asarray(a.values.to_numpy(zero_copy_only=False), np.int64)
+        held, lists = None, None  # rows of one block of candidates follow each other: its lists are sorted once
         for batch in batches:
             for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                dims = one.column(0)[0].as_py()
-                flat = lambda a: np.asarray(a.values.to_numpy(zero_copy_only=False), np.int64)
-                q_ids, q = flat(one.column(1)[0]), flat(one.column(2)[0]).reshape(-1, dims).astype(np.float64)
+                dims, run, q_keys, q_ids, qs, keys, ids, xs = (c[at] for c in batch.columns)
+                place = (dims.as_py(), run.as_py())
+                if held != place:
+                    held, lists = place, Lists(flat(ids), flat(xs).reshape(-1, place[0]).astype(np.float64), flat(keys))
+                q_keys, q_ids, q = flat(q_keys), flat(q_ids), flat(qs).reshape(-1, place[0]).astype(np.float64)
                 best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
-                structs = one.column(3)[0].values
-                for b in range(len(structs)):
-                    ids, xs = flat(structs[b]["ids"]), flat(structs[b]["xs"])
-                    block_topk(q_ids, q, Lists(ids, xs.reshape(-1, dims).astype(np.float64)), best, k)
+                block_topk(q_keys, q, lists, best, k)
+                times = [len(s) for s, _ in best]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(q_ids, [len(s) for s, _ in best])),
+                    pa.array(np.repeat(q_keys, times)), pa.array(np.repeat(q_ids, times)),
                     pa.array(np.concatenate([i for _, i in best]).astype(np.int64)),
-                    pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))], names=["query", "query_id", "vec_id", "score"])
 
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(parts, "dims", "qb", "run").select("dims", "q_ids", "qs", "c")
-    found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(search, "query bigint, query_id bigint, vec_id bigint, score bigint")
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-

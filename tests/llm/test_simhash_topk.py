@@ -108,9 +108,9 @@ def test_near_duplicates_and_keep_one(spark):
 def slow_topk(rows, k=10):
     ok = [(i, np.floor(np.array(v, np.float64) * 1024).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for r, (i, q) in enumerate(ok):
         if i % 100 == 0:
-            found = sorted((-int(q @ c), j) for j, c in ok if j != i and len(c) == len(q))[:k]
+            found = sorted((-int(q @ c), j) for s, (j, c) in enumerate(ok) if s != r and len(c) == len(q))[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
     return sorted(out)
 
@@ -119,16 +119,19 @@ def slow_topk(rows, k=10):
 def test_topk_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "RUN", 2)
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(5, 8)) / 3
     rows = [(i, [float(x) for x in np.float32(centre[i % 5] + rng.normal(size=8) / 12)]) for i in range(700)]
     rows += [(1000 + i, rows[3][1]) for i in range(15)] + [(2000, [0.0] * 8), (2100, [1.0, 2.0]), (2101, [0.5, -1.0]), (2200, [3.0])]
     rows += [(2300, None), (2400, []), (2500, [float("nan")] * 8), (2600, [1.0, None]), (2700, [float("inf")] * 8), (None, [1.0] * 8)]
+    rows += [rows[100], rows[100], rows[200], (300, rows[5][1]), (2000, [0.0] * 8)]  # repeated rows and shared ids, queries among them
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int")
     got = topk.exact_topk(df, F.col("id") % 100 == 0)
     assert sorted(tuple(r) for r in got.collect()) == slow_topk(rows)
     assert topk.exact_topk(df.limit(0), F.col("id") % 100 == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2 \\*\\* 53"):
+        topk.exact_topk(huge, F.col("id") % 100 == 0).collect()
 
 
 def test_lists_are_not_read_to_their_ends():
