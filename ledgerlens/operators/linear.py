@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,52 @@ def grad_sums(df: DataFrame, features: Sequence[str], label: str, theta: Sequenc
     return d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 
+def grad_sums_array(df: DataFrame, vec: str, label: str, theta: Sequence[float], group: str = "party", held: int = 1024) -> DataFrame:
+    """The gradient of :func:`grad_sums` from one array column: (group, n, pos, grad).
+
+    For many features: a task holds one dense sum per group (at most ``held`` of them at a time) instead of a plan a column wide for
+    each feature, and writes it as one row; the rows of all tasks are added by (group, position). A vector that is null, of another
+    length than θ or with a null or non-finite component raises an error.
+    """
+    weights = np.asarray(theta, float)
+    kind = df.schema[group].dataType.simpleString()
+    rows = df.select(F.col(group).alias("g"), F.col(label).cast("double").alias("y"), F.transform(vec, lambda v: v.cast("double")).alias("x"))
+
+    def partial(batches):
+        sums: dict = {}
+
+        def flush():
+            keys = list(sums)
+            out = pa.RecordBatch.from_pydict({"g": pa.array(keys, arrow_kind), "n": [sums[k][0] for k in keys], "s": [sums[k][1].tolist() for k in keys]})
+            sums.clear()
+            return out
+
+        for batch in batches:
+            arrow_kind = batch.schema.field("g").type
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keys, x = part.column(0).to_pylist(), part.column(2)
+                flat = x.flatten().to_numpy(zero_copy_only=False)
+                if x.null_count or len(flat) != len(x) * len(weights) or set(x.value_lengths().to_pylist()) - {len(weights)} or not np.isfinite(flat).all():
+                    raise ValueError(f"vectors must hold {len(weights)} finite numbers")
+                m = flat.reshape(len(x), len(weights))
+                err = 1.0 / (1.0 + np.exp(-np.clip(m @ weights, -35.0, 35.0))) - part.column(1).to_numpy(zero_copy_only=False)
+                order: dict = {}
+                for k, key in enumerate(keys):
+                    order.setdefault(key, []).append(k)
+                for key, mine in order.items():
+                    n, s = sums.get(key, (0, 0.0))
+                    sums[key] = (n + len(mine), s + err[mine] @ m[mine])
+                if len(sums) >= held:
+                    yield flush()
+        if sums:
+            yield flush()
+
+    parts = rows.mapInArrow(partial, f"g {kind}, n bigint, s array<double>")
+    total = parts.select("g", "n", F.posexplode("s").alias("pos", "v")).groupBy("g", "pos").agg(F.sum("n").alias("n"), F.sum("v").alias("grad"))
+    return total.select(F.col("g").alias(group), "n", "pos", "grad")
+
+
 def grad_long(g: DataFrame, features: Sequence[str], group_cols: Sequence[str] = ("party",)) -> DataFrame:
     """Wide per-party gradients → (group..., feature, grad, n)."""
     st = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"g{j}").alias("grad"))

@@ -151,6 +151,13 @@ def confusion_from_counts(sc: DataFrame, thr: Column, group_cols: list[str] | No
     return with_prf(cm)
 
 
+def _same_group(left: DataFrame, right: DataFrame, g: list[str]) -> DataFrame:
+    """Inner join on the group columns in which a null group meets itself."""
+    named = right.withColumnsRenamed({c: f"_g_{c}" for c in g})
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g]
+    return left.join(named, on, "inner").drop(*(f"_g_{c}" for c in g))
+
+
 def evaluate(df: DataFrame, y: str, p: str, group_cols: list[str] | None = None,
              tune_on_test: bool = True, mode: str = "eval", default_threshold: float = 0.5) -> DataFrame:
     """Per-group metric rows: n, auprc, roc_auc, threshold, confusion counts, P/R/F1.
@@ -172,8 +179,8 @@ def evaluate(df: DataFrame, y: str, p: str, group_cols: list[str] | None = None,
     if not tune_on_test:
         summary = summary.withColumn("threshold", F.lit(float(default_threshold)))
     if g:
-        cm = confusion_from_counts(sc.join(summary.select(*g, "threshold"), g, "inner"), F.col("threshold"), g)
-        out = cm.join(summary, g, "inner")
+        cm = confusion_from_counts(_same_group(sc, summary.select(*g, "threshold"), g), F.col("threshold"), g)
+        out = _same_group(cm, summary, g)
     else:
         row = summary.first()
         cm = confusion_from_counts(sc, F.lit(row["threshold"]), g)

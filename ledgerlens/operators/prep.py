@@ -186,11 +186,10 @@ def scale_params_frame(spark, p: ScaleParams) -> DataFrame:
 
 
 def scale_exprs(p: ScaleParams, *, zero_fill: bool = False, suffix: str = "") -> list[Column]:
+    """One projection per column; what the fit took as missing (text, NaN) is missing here too."""
     out = []
     for c in p.mean:
-        x = F.col(c).cast("double")
-        if zero_fill:
-            x = F.coalesce(x, F.lit(0.0))
+        x = F.coalesce(try_double(c), F.lit(0.0)) if zero_fill else try_double(c)
         std = p.std.get(c) or 1.0
         out.append(((x - F.lit(p.mean.get(c, 0.0))) / F.lit(std)).alias(c + suffix))
     return out

@@ -8,12 +8,16 @@ that appears in a third of all rows costs one row per party and partition.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.crypto import hmac_token
 from ledgerlens.operators.ranking import row_number
 
+MAX_PARTIES = 10_000
+
 
 def tokenize(df: DataFrame, id_col: str, key: bytes, salt: bytes = b"", canon: str = "none",
              keep: list[str] | None = None, drop_null: bool = True) -> DataFrame:
@@ -49,15 +53,24 @@ def id_hash_map(df: DataFrame, id_cols: list[str], key: bytes) -> DataFrame:
     return out.distinct()
 
 
-def n_parties(tokens: DataFrame, party: str = "party") -> int:
-    return tokens.select(party).distinct().count()
+def parties_of(rows: DataFrame, party: str = "party") -> list:
+    """The parties of the raw rows, also those whose ids are all null; without a null party. Size-checked before it is brought to the driver."""
+    found = rows.select(party).filter(F.col(party).isNotNull()).distinct().limit(MAX_PARTIES + 1).collect()
+    if len(found) > MAX_PARTIES:
+        raise ValueError(f"more than {MAX_PARTIES} parties")
+    return sorted(r[0] for r in found)
+
 
+def intersect(tokens: DataFrame, parties: Sequence, party: str = "party") -> DataFrame:
+    """Tokens held by every one of ``parties``: one aggregation keyed by token.
 
-def intersect(tokens: DataFrame, party: str = "party", parties: int | None = None) -> DataFrame:
-    """Tokens held by every party: one aggregation keyed by token."""
-    n = parties if parties is not None else n_parties(tokens, party)
-    return (tokens.groupBy("token").agg(F.count_distinct(party).alias("_np"))
-            .filter(F.col("_np") == F.lit(n)).select("token"))
+    The list is not read off the tokens, since a party without any token makes the intersection empty (see
+    :func:`parties_of`). Tokens of other parties don't count; without parties there is no common token.
+    """
+    names = list(dict.fromkeys(parties))
+    held = tokens.filter(F.col(party).isin(names))
+    return (held.groupBy("token").agg(F.count_distinct(party).alias("_np"))
+            .filter(F.col("_np") == F.lit(len(names))).select("token"))
 
 
 def party_counts(tokens: DataFrame, inter: DataFrame, party: str = "party") -> DataFrame:
@@ -79,15 +92,20 @@ def semi_filter(df: DataFrame, id_col: str, inter: DataFrame, key: bytes, salt:
     return t.join(inter.withColumnRenamed("token", "_tok"), "_tok", "left_semi").drop("_tok")
 
 
-def positional_filter(rows: DataFrame, tokens: DataFrame, inter: DataFrame) -> DataFrame:
-    """k-th token belongs to k-th row: both sides carry ``row_idx``; counts must agree."""
-    n_rows, n_tok = rows.count(), tokens.count()
-    if n_rows != n_tok:
-        raise ValueError(f"token count {n_tok} != row count {n_rows}; tokens must align with rows")
+def positional_filter(rows: DataFrame, tokens: DataFrame, inter: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """k-th token belongs to k-th row (of each group): both sides carry ``row_idx``; counts must agree in every group.
+
+    The counts of all groups come from one aggregation over both sides.
+    """
+    g = list(group_cols)
+    sides = rows.select(*g, F.lit(1).alias("_r"), F.lit(0).alias("_t")).unionByName(tokens.select(*g, F.lit(0).alias("_r"), F.lit(1).alias("_t")))
+    odd = sides.groupBy(*g).agg(F.sum("_r").alias("_r"), F.sum("_t").alias("_t")).filter("_r <> _t").limit(1).collect()
+    if odd:
+        raise ValueError(f"token count {odd[0]['_t']} != row count {odd[0]['_r']}; tokens must align with rows")
     kept = tokens.join(inter, "token", "left_semi")
-    return rows.join(kept, "row_idx", "inner")
+    return rows.join(kept, [*g, "row_idx"], "inner")
 
 
-def with_row_idx(df: DataFrame, order_col: str) -> DataFrame:
-    return row_number(df, [F.col(order_col)], F.col(order_col), out="row_idx").withColumn(
-        "row_idx", F.col("row_idx") - 1)
+def with_row_idx(df: DataFrame, order_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``row_idx``: the place of a row from 0 (within its group) by ``order_col``."""
+    return row_number(df, [F.col(order_col)], F.col(order_col), list(group_cols), out="row_idx").withColumn("row_idx", F.col("row_idx") - 1)

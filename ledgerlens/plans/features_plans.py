@@ -209,3 +209,21 @@ def preprocess_txn(spark, sf):
                                   id_columns=["nameOrig", "nameDest"])
     return out.select("txn_id", "split", "isFraud", *[rnd(c).alias(c) for c in schema["numeric"]],
                       *[c for c in out.columns if "__" in c])
+
+
+DIRTY_SQL = TXN_SQL + """,
+raw as (select txn_id, case when txn_id % 7 = 0 then 'NaN' when txn_id % 11 = 0 then 'n/a' else cast(amount as varchar) end as a from txn),
+num as (select txn_id, case when isnan(try_cast(a as double)) then null else try_cast(a as double) end as x from raw)"""
+
+
+@register("scale_dirty_text", sql=f"""
+with {DIRTY_SQL},
+p as (select avg(x) as m, stddev_pop(x) as s, avg(coalesce(x, 0)) as zm, stddev_pop(coalesce(x, 0)) as zs from num)
+select txn_id, round((x - m) / s, 6) as skipped, round((coalesce(x, 0) - zm) / zs, 6) as filled from num, p""")
+def scale_dirty_text(spark, sf):
+    """Amounts read as text with NaN and words among them, scaled in both modes: missing is the same in the fit and the projection."""
+    bad = F.when(F.col("txn_id") % 7 == 0, "NaN").when(F.col("txn_id") % 11 == 0, "n/a").otherwise(F.col("amount").cast("string"))
+    raw = T.txn(spark, sf).select("txn_id", bad.alias("a"))
+    plain, zero = prep.fit_scale(raw, ["a"]), prep.fit_scale(raw, ["a"], zero_fill=True)
+    (skipped,), (filled,) = prep.scale_exprs(plain), prep.scale_exprs(zero, zero_fill=True)
+    return raw.select("txn_id", rnd(skipped).alias("skipped"), rnd(filled).alias("filled"))

@@ -64,6 +64,22 @@ def grad_sum(spark, sf):
     return lg.select("party", "feature", rnd("grad").alias("grad"), "n")
 
 
+WIDE_DIM, WIDE_PARTIES = 64, 4
+WIDE_THETA = [((j % 7) - 3) / 10 for j in range(WIDE_DIM)]
+
+
+@register("grad_sum_wide", sql=f"""
+with e as (select vec_id, vec_id % {WIDE_PARTIES} as party, label % 2 as y, i - 1 as pos, embedding[i]::double as x
+           from (select *, unnest(range(1, len(embedding) + 1)) as i from embeddings)),
+z as (select vec_id, sum(x * ((pos % 7) - 3) / 10e0) as z from e group by vec_id)
+select party, pos::integer as pos, count(*) as n, round(sum((1e0 / (1e0 + exp(-greatest(-35e0, least(35e0, z)))) - y) * x), 6) as grad
+from e join z on e.vec_id = z.vec_id group by party, pos""")
+def grad_sum_wide(spark, sf):
+    """Gradient sums per party straight from the array column of the vectors."""
+    e = T.table(spark, sf, "embeddings").select((F.col("vec_id") % WIDE_PARTIES).alias("party"), (F.col("label") % 2).alias("y"), "embedding")
+    return L.grad_sums_array(e, "embedding", "y", WIDE_THETA).select("party", "pos", "n", rnd("grad").alias("grad"))
+
+
 @register("fedavg_round", sql=f"""
 with {GRAD_SQL},
 tot as (select sum(n) as n, {', '.join(f'sum(g{j}) as g{j}' for j in range(len(GRAD_FEATURES)))}

@@ -70,6 +70,10 @@ def party_tokens(spark, sf):
     return psi.tokenize(psi_ids(spark, sf), "id", KEY, SALT, CANON, keep=["party", "txn_id"])
 
 
+def intersection(spark, sf, tokens=None):
+    return psi.intersect(party_tokens(spark, sf) if tokens is None else tokens, psi.parties_of(psi_ids(spark, sf)))
+
+
 @register("canonize_ids", sql=f"""
 with {PSI_SQL}
 select txn_id, party, id as raw, {sql_canon('id', 'none')} as canon_none, {sql_canon('id', 'lower')} as canon_lower,
@@ -103,7 +107,7 @@ def id_hash_map(spark, sf):
 
 @register("psi_intersect", sql=f"with {PSI_SQL} select token from inter")
 def psi_intersect(spark, sf):
-    return psi.intersect(party_tokens(spark, sf))
+    return intersection(spark, sf)
 
 
 @register("psi_counts", sql=f"""
@@ -115,7 +119,19 @@ select base.party, n_rows, n_distinct, coalesce(n_intersection, 0) as n_intersec
 from base left join hit on base.party = hit.party""")
 def psi_counts(spark, sf):
     tok = party_tokens(spark, sf)
-    return psi.party_counts(tok, psi.intersect(tok))
+    return psi.party_counts(tok, intersection(spark, sf, tok))
+
+
+@register("psi_empty_party", sql=f"""
+with {PSI_SQL}
+select party, count(*) as n_rows, count(distinct token) as n_distinct, cast(0 as bigint) as n_intersection from tok group by party""")
+def psi_empty_party(spark, sf):
+    """A sixth party whose ids are all null has no token, so no token is held by every party."""
+    ids = psi_ids(spark, sf)
+    silent = ids.select("txn_id", F.lit("6-SILENT").alias("party"), "nameOrig", F.lit(None).cast("string").alias("id"))
+    both = ids.unionByName(silent)
+    tok = psi.tokenize(both, "id", KEY, SALT, CANON, keep=["party", "txn_id"])
+    return psi.party_counts(tok, psi.intersect(tok, psi.parties_of(both)))
 
 
 @register("psi_semi_filter", sql=f"""
@@ -123,25 +139,23 @@ with {PSI_SQL}
 select txn_id, nameOrig, amount, isFraud from txn
 where {sql_token('nameOrig', KEY, SALT, CANON)} in (select token from inter)""")
 def psi_semi_filter(spark, sf):
-    inter = psi.intersect(party_tokens(spark, sf))
+    inter = intersection(spark, sf)
     t = T.txn(spark, sf).select("txn_id", "nameOrig", "amount", "isFraud")
     return psi.semi_filter(t, "nameOrig", inter, KEY, SALT, CANON)
 
 
 @register("positional_filter", sql=f"""
 with {PSI_SQL},
-r as (select txn_id, row_number() over (order by txn_id) - 1 as row_idx from psi_ids where party = '1-URGENT'),
-k as (select token, row_number() over (order by txn_id) - 1 as row_idx from tok where party = '1-URGENT')
-select r.txn_id, r.row_idx, k.token from r join k on r.row_idx = k.row_idx
+r as (select party, txn_id, row_number() over (partition by party order by txn_id) - 1 as row_idx from psi_ids),
+k as (select party, token, row_number() over (partition by party order by txn_id) - 1 as row_idx from tok)
+select r.party, r.txn_id, r.row_idx, k.token from r join k on r.party = k.party and r.row_idx = k.row_idx
 where k.token in (select token from inter)""")
 def positional_filter(spark, sf):
-    """One party's rows and its token list are aligned by position (row_idx)."""
+    """The rows of every party and its token list are aligned by position (row_idx)."""
     tok = party_tokens(spark, sf)
-    inter = psi.intersect(tok)
-    mine = F.col("party") == "1-URGENT"
-    rows = psi.with_row_idx(psi_ids(spark, sf).filter(mine).select("txn_id"), "txn_id")
-    toks = psi.with_row_idx(tok.filter(mine).select("txn_id", "token"), "txn_id").drop("txn_id")
-    return psi.positional_filter(rows, toks, inter).select("txn_id", "row_idx", "token")
+    rows = psi.with_row_idx(psi_ids(spark, sf).select("party", "txn_id"), "txn_id", ["party"])
+    toks = psi.with_row_idx(tok.select("party", "txn_id", "token"), "txn_id", ["party"]).drop("txn_id")
+    return psi.positional_filter(rows, toks, intersection(spark, sf, tok), ["party"]).select("party", "txn_id", "row_idx", "token")
 
 
 @register("checksum_rows", sql="""

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,19 @@ def span(spark: SparkSession, directory: str, file_glob: str, ts: str) -> str:
     return f"{math.ceil((row['s'] or 0.0) / 3600) + 1} hours"
 
 
-def _run(spark: SparkSession, writer, watermark: str | None = None) -> None:
-    """Runs a stream to its end; late rows raise."""
+def _late_before(spark: SparkSession, base: str) -> int:
+    """Rows that an earlier run under ``base`` dropped as late: its sink lacks them whatever a resumed run adds."""
+    try:
+        return spark.read.schema("late long").parquet(f"{base}/_late").agg(F.sum("late")).first()[0] or 0
+    except AnalysisException:  # no such folder: no run has failed here
+        return 0
+
+
+def _run(spark: SparkSession, writer, base: str, watermark: str | None = None) -> None:
+    """Runs a stream to its end; late rows raise, in this run and in every later one under the same ``base``."""
+    missing = _late_before(spark, base)
+    if missing:
+        raise LateRows(missing, watermark or "the watermark")
     key = "spark.sql.streaming.numRecentProgressUpdates"
     before = spark.conf.get(key)
     spark.conf.set(key, "100000")  # progress of all batches, not of the last hundred only
@@ -77,6 +89,7 @@ def _run(spark: SparkSession, writer, watermark: str | None = None) -> None:
         spark.conf.set(key, before)
     late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
     if late:
+        spark.createDataFrame([(late,)], "late long").coalesce(1).write.mode("append").parquet(f"{base}/_late")
         raise LateRows(late, watermark or "the watermark")
 
 
@@ -85,7 +98,7 @@ def run_append(stream: DataFrame, name: str, base: str | None = None, watermark:
     spark = stream.sparkSession
     base = base or scratch_path(spark, f"stream-{name}")
     _run(spark, stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/out"), watermark)
+         .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/out"), base, watermark)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -98,7 +111,7 @@ def run_batches(stream: DataFrame, name: str, mode: str, handler: Callable[[Data
     def each(batch: DataFrame, batch_id: int) -> None:
         handler(batch, batch_id, f"{base}/out")
 
-    _run(spark, stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(each), watermark)
+    _run(spark, stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint").foreachBatch(each), base, watermark)
     return f"{base}/out"
 
 

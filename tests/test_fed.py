@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import linear as L, rounds as R
 
@@ -97,3 +98,20 @@ def test_fedavg_rounds_resume(spark):
     resumed = L.fedavg_rounds(df, ["x1", "x2", "x0"], "y", rounds=3, lr=1.0, state_path=path)
     assert part == full[:2]
     assert all(a == pytest.approx(b) for a, b in zip(resumed, full)) and len(resumed) == 3
+
+
+def test_array_gradient_equals_the_wide_form(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"p{i % 3}" if i % 7 else None, int(rng.integers(2)), [float(v) for v in rng.normal(size=5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "party string, y int, x array<double>").repartition(5)
+    theta = [.5, -1.0, .25, 0.0, 2.0]
+    wide = df.select("party", "y", *[F.col("x")[j].alias(f"x{j}") for j in range(5)])
+    want = {(r["party"], j): (r["n"], r[f"g{j}"]) for r in L.grad_sums(wide, [f"x{j}" for j in range(5)], "y", theta).collect() for j in range(5)}
+    for held in (1024, 1):
+        got = {(r["party"], r["pos"]): (r["n"], r["grad"]) for r in L.grad_sums_array(df, "x", "y", theta, held=held).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    assert L.grad_sums_array(df.limit(0), "x", "y", theta).count() == 0
+    for bad in ([1.0] * 4, None, [1.0, 2.0, 3.0, 4.0, float("nan")], [1.0, 2.0, 3.0, 4.0, None]):
+        with pytest.raises(Exception, match="5 finite numbers"):
+            L.grad_sums_array(spark.createDataFrame([("a", 1, bad)], df.schema), "x", "y", theta).collect()

@@ -184,3 +184,10 @@ def test_null_scores_stop_the_job_and_null_keys_keep_their_place(spark, monkeypa
     got = R.row_number(ids, [F.col("k")], F.col("k"), out="n").orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(1, 51))
     assert [r["k"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or ""))
+
+
+def test_a_null_party_keeps_its_row(spark):
+    df = spark.createDataFrame([("a", 1, .9), ("a", 0, .2), (None, 1, .7), (None, 0, .8)], "party string, y int, p double")
+    for tune in (True, False):
+        got = {r["party"]: r["n"] for r in M.evaluate(df, "y", "p", ["party"], tune_on_test=tune).collect()}
+        assert got == {"a": 2, None: 2}

@@ -114,3 +114,13 @@ def test_preprocess_job(spark):
     out2, _ = prep.preprocess(t, id_col="txn_id", label="isFraud", step_col="step", calib_frac=0.15,
                               test_frac=0.2, embargo=5, id_columns=["nameOrig", "nameDest"], external_test=ext)
     assert out2.filter("split = 'test'").count() == 7
+
+
+def test_missing_values_are_missing_in_fit_and_projection(spark):
+    df = spark.createDataFrame([("1",), ("3",), ("NaN",), ("abc",), (None,)], "x string")
+    p = prep.fit_scale(df, ["x"])
+    assert (p.mean["x"], p.std["x"]) == (2.0, 1.0)
+    assert [r[0] for r in df.select(*prep.scale_exprs(p)).collect()] == [-1.0, 1.0, None, None, None]
+    z = prep.fit_scale(df, ["x"], zero_fill=True)
+    low = (0 - z.mean["x"]) / z.std["x"]
+    assert [r[0] for r in df.select(*prep.scale_exprs(z, zero_fill=True)).collect()][2:] == [low] * 3

@@ -43,6 +43,10 @@ def test_late_rows_raise_and_a_long_watermark_loses_none(spark, tmp_path):
     src = lambda: S.source(spark, str(tmp_path), "events.parquet", max_files=1)
     with pytest.raises(S.LateRows):
         S.windows(src(), "ts", ["event_type"], n, "1 day", watermark="1 hour")
+    base = str(tmp_path / "base")
+    for _ in range(2):  # the run that lost rows, and one that resumes after it
+        with pytest.raises(S.LateRows):
+            S.windows(src(), "ts", ["event_type"], n, "1 day", watermark="1 hour", base=base)
     delay = S.span(spark, str(tmp_path), "events.parquet", "ts")
     got = S.windows(src(), "ts", ["event_type"], n, "1 day", watermark=delay)
     want = e.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").count()
