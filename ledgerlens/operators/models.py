@@ -63,7 +63,8 @@ class Fitted:
     """A fitted model of any family; ``score`` adds ``p_hat`` to a frame.
 
     ``model`` is a ``pyspark.ml`` model, the node table of a forest (``rf``), a forest of
-    isolation trees, a list of coefficients (``theta``), or (boosting, forest, α) of a blend.
+    isolation trees, a list of coefficients (``theta``), (boosting, forest, α) of a blend, or
+    (share, model) pairs of an ``ensemble``.
     """
 
     def __init__(self, family: str, features: Sequence[str], model, id_col: str):
@@ -84,6 +85,11 @@ class Fitted:
             gbm, rf, a = self.model
             s = rf.score(gbm.score(df).withColumnRenamed("p_hat", "_p_gbm")).withColumnRenamed("p_hat", "_p_rf")
             return s.withColumn("p_hat", F.lit(a) * F.col("_p_gbm") + F.lit(1.0 - a) * F.col("_p_rf")).drop("_p_gbm", "_p_rf")
+        if self.family == "ensemble":
+            s = df.withColumn("_p_all", F.lit(0.0))
+            for share, m in self.model:
+                s = m.score(s).withColumn("_p_all", F.col("_p_all") + F.lit(share) * F.col("p_hat")).drop("p_hat")
+            return s.withColumnRenamed("_p_all", "p_hat")
         if self.family == "rf":
             return df.withColumn("p_hat", TR.probability(self.model, self.features))
         sc = self.model.transform(assemble(df, self.features))
@@ -102,6 +108,10 @@ class Fitted:
         elif self.family == "iforest":
             extra = [float(self.model.psi), float(self.model.max_depth), float(self.model.feature.shape[0])]
             IF.nodes_frame(spark, self.model).write.mode("overwrite").parquet(f"{path}/trees")
+        elif self.family == "ensemble":
+            extra = [float(share) for share, _ in self.model]
+            for k, (_, m) in enumerate(self.model):
+                m.save(spark, f"{path}/part-{k}")
         elif self.family == "rf":
             self.model.write.mode("overwrite").parquet(f"{path}/nodes")
         else:
@@ -123,6 +133,8 @@ def load(spark: SparkSession, path: str) -> tuple[Fitted, float | None]:
     elif m["family"] == "iforest":
         psi, depth, trees = (int(x) for x in m["extra"])
         model = IF.forest_of(spark.read.parquet(f"{path}/trees").toPandas(), trees, psi, depth)
+    elif m["family"] == "ensemble":
+        model = [(share, load(spark, f"{path}/part-{k}")[0]) for k, share in enumerate(m["extra"])]
     elif m["family"] == "rf":
         model = spark.read.schema(TR.NODES).parquet(f"{path}/nodes")
     else:
@@ -213,31 +225,42 @@ def predictions(scored: DataFrame, thr: float, id_col: str = "txn_id", label: st
                          "p_hat", (F.col("p_hat") >= F.lit(thr)).cast("int").alias("y_pred"))
 
 
+def party_sizes(train: DataFrame, party: str = "party") -> list[tuple[str, int]]:
+    """(party, rows) of the parties of a table, size-checked; null parties don't count."""
+    rows = train.groupBy(party).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTIES + 1).collect()
+    if len(rows) > MAX_PARTIES:
+        raise ValueError(f"more than {MAX_PARTIES} parties: one model per party is not meant for this")
+    return sorted((r[party], r["n"]) for r in rows if r[party] is not None)
+
+
+def fit_party(part: DataFrame, features: Sequence[str], family: str, label: str = "y", n_trees: int = 400, seed: int = 42,
+              id_col: str = "txn_id", rf_trees: int = 600) -> Fitted:
+    """The model of one party's rows, classes weighted by its own counts."""
+    stop = None
+    if family == "iforest":
+        return fit(part, features, family, label, None, seed, n_trees, None, id_col)
+    if family == "blend":
+        parts = W.stratified_split(part, id_col, label, frac=0.2, seed=seed, out="_part")
+        mine, val = (parts.filter(F.col("_part") == p).drop("_part") for p in ("fit", "val"))
+        return train_blend(mine, val, features, label, seed, gbt_iters=n_trees, rf_trees=rf_trees, id_col=id_col, early_stop=True)
+    part = balanced(part, label)
+    if family == "gbt":  # early stopping on a seeded 10% hold-out
+        stop = "_val"
+        part = part.withColumn(stop, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10)) == 0)
+    return fit(part, features, family, label, "weight", seed, n_trees, stop, id_col)
+
+
 def party_models(train: DataFrame, features: Sequence[str], family: str, party: str = "party", label: str = "y", n_trees: int = 400,
                  max_trees: int | None = None, seed: int = 42, id_col: str = "txn_id", rf_trees: int = 600) -> list[tuple[str, int, Fitted]]:
-    """(party, rows, model) for every party; each weights its classes by its own counts.
+    """(party, rows, model) for every party.
 
     ``max_trees`` caps the trees of all parties by splitting them evenly. The fits are independent and run as concurrent jobs.
     """
-    rows = train.groupBy(party).agg(F.count(F.lit(1)).alias("n")).limit(MAX_PARTIES + 1).collect()
-    if len(rows) > MAX_PARTIES:
-        raise ValueError(f"more than {MAX_PARTIES} parties: one model per party is not meant for this")
-    sizes = sorted((r[party], r["n"]) for r in rows if r[party] is not None)
+    sizes = party_sizes(train, party)
     per = n_trees if not max_trees else max(1, min(n_trees, max_trees // max(1, len(sizes))))
 
     def one(pt) -> Fitted:
-        part, stop = train.filter(F.col(party) == pt), None
-        if family == "iforest":
-            return fit(part, features, family, label, None, seed, per, None, id_col)
-        if family == "blend":
-            parts = W.stratified_split(part, id_col, label, frac=0.2, seed=seed, out="_part")
-            mine, val = (parts.filter(F.col("_part") == p).drop("_part") for p in ("fit", "val"))
-            return train_blend(mine, val, features, label, seed, gbt_iters=per, rf_trees=rf_trees, id_col=id_col, early_stop=True)
-        part = balanced(part, label)
-        if family == "gbt":  # early stopping on a seeded 10% hold-out
-            stop = "_val"
-            part = part.withColumn(stop, F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10)) == 0)
-        return fit(part, features, family, label, "weight", seed, per, stop, id_col)
+        return fit_party(train.filter(F.col(party) == pt), features, family, label, per, seed, id_col, rf_trees)
 
     with ThreadPoolExecutor(max_workers=max(1, min(4, len(sizes)))) as pool:
         models = list(pool.map(one, [pt for pt, _ in sizes]))
@@ -267,11 +290,8 @@ def party_ensemble(train: DataFrame, score_on: DataFrame, features: Sequence[str
         return party_forest(train, features, party, label, n_trees, max_trees, seed, id_col).score(acc).select(id_col, label, "p_hat")
     models = party_models(train, features, family, party, label, n_trees, max_trees, seed, id_col, rf_trees)
     total = float(sum(n for _, n, _ in models))
-    acc = acc.withColumn("p_hat_all", F.lit(0.0))
-    for _, n, m in models:
-        share = n / total if weighted else 1.0 / len(models)
-        acc = m.score(acc).withColumn("p_hat_all", F.col("p_hat_all") + F.lit(share) * F.col("p_hat")).drop("p_hat")
-    return acc.select(id_col, label, F.col("p_hat_all").alias("p_hat"))
+    shares = [(n / total if weighted else 1.0 / len(models), m) for _, n, m in models]
+    return Fitted("ensemble", features, shares, id_col).score(acc).select(id_col, label, "p_hat")
 
 
 # ---------------------------------------------------------------- feature ranking

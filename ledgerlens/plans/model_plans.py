@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import models as MD, prep
+from ledgerlens.operators import federated as FD, models as MD, prep
 from ledgerlens.plans.prep_plans import NUMERIC, split_txn
 from ledgerlens.plans.registry import TXN_SQL, register, rnd
 from ledgerlens.session import scratch_path
@@ -104,6 +104,38 @@ def eval_stored_lr(spark, sf):
     return MD.evaluate_stored(spark, path, t).select("n", "tn", "fp", "fn", "tp")
 
 
+@register("eval_stored_clients", sql=f"""
+with {TXN_SQL},
+s as (select party, isFraud as y, {" + ".join(f"({t!r}e0 * {c} / 100000.0e0)" for t, c in zip(STORED_THETA, STORED_COLS))} as z from txn),
+p as (select party, y, case when 1.0e0 / (1.0e0 + exp(-greatest(-35.0e0, least(35.0e0, z)))) >= 0.5 then 1 else 0 end as h from s),
+c as (select party, count(*) as n, count(*) filter (y = 0 and h = 0) as tn, count(*) filter (y = 0 and h = 1) as fp,
+             count(*) filter (y = 1 and h = 0) as fn, count(*) filter (y = 1 and h = 1) as tp from p group by grouping sets ((party), ())),
+f as (select *, case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn)::double else 0 end as recall from c)
+select case when party is null then 'micro' else 'client' end as scope, party, 2 as round, n, tn, fp, fn, tp, round(precision, 9) as precision, round(recall, 9) as recall from f
+union all
+select 'macro', null, 2, null, null, null, null, null, round(avg(precision), 9), round(avg(recall), 9) from f where party is not null""")
+def eval_stored_clients(spark, sf):
+    """The last of two stored rounds of coefficients, evaluated per client, over all rows and on average."""
+    base = scratch_path(spark, "stored-rounds")
+    feats = [f"s_{c}" for c in STORED_COLS]
+    for r, theta in ((1, [0.0] * len(feats)), (2, list(STORED_THETA))):
+        FD.record(spark, base, r, None, 0, 0, MD.Fitted("theta", feats, theta, "txn_id"))
+    t = T.party_txn(spark, sf).select("party", F.col("isFraud").alias("y"), *[(F.col(c) / 100000.0).alias(f"s_{c}") for c in STORED_COLS])
+    rows = FD.evaluate_clients(spark, base, t)
+    return rows.select("scope", "party", "round", "n", "tn", "fp", "fn", "tp", rnd("precision", 9).alias("precision"), rnd("recall", 9).alias("recall"))
+
+
+@register("fed_rounds_forest")
+def fed_rounds_forest(spark, sf):
+    """Two diversified rounds of party forests with a ledger; the last united forest on the test window."""
+    df, feats = feature_frame(spark, sf)
+    path = scratch_path(spark, "features")
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    model = FD.run_rounds(df.filter(F.col("split") == "train"), feats, "rf", 2, scratch_path(spark, "rounds"), n_trees=60, diversify=True)
+    return MD.predictions(model.score(df.filter(F.col("split") == "test")), 0.5)
+
+
 def _fed_job(spark, sf, family, max_trees=None, weighted=True):
     df, feats = feature_frame(spark, sf)
     path = scratch_path(spark, "features")

@@ -4,7 +4,7 @@ import os
 from conftest import SF_SMALL
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-NO_ORACLE = {"train_lr", "train_rf", "train_gbt", "train_iforest", "train_blend", "train_metrics", "fed_forest", "fed_ensemble", "fed_iforest",
+NO_ORACLE = {"train_lr", "train_rf", "train_gbt", "train_iforest", "train_blend", "train_metrics", "fed_forest", "fed_ensemble", "fed_iforest", "fed_rounds_forest",
              "fedavg_rounds"}
 
 
