@@ -10,10 +10,11 @@ the rarest few of each. Two steps keep that from becoming all pairs of a group:
 
 * Sets that can have no partner leave before anything large moves: among its smallest hashes (15 %
   and a few more) a set must share so many with others (an l-prefix; the bound is exact).
-* In a group of sets that share a rare n-gram, each is first counted against one centre. Only
-  pairs that the links so found leave in different components are then counted, after a bound
-  from the places of their common n-grams. So no link between components is lost, and a group
-  of copies costs its size, not its square.
+* In a group of sets that share a rare n-gram, each is first counted against the hub, the set with
+  the fewest rarer n-grams. Only pairs that the links so found leave in different components are
+  then counted. Both steps skip a pair in a group unless its sizes and what follows the shared
+  n-gram allow a link, were it their first common one; as it is that in one group, no link between
+  components is lost, and a group of copies costs about its size, not its square.
 
 N-grams are 64-bit hashes of their words, sets are named by 128 bits of their n-grams.
 
@@ -157,8 +158,11 @@ def _postings(ordered: DataFrame, percent: int) -> DataFrame:
     return kept.select(F.col("gram.h").alias("h"), "sid", "n", (F.col("alone") + F.col("at") + 1).alias("rank"))
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _fits(percent: int) -> Column:
+    """Whether two sets may link: their sizes allow it, and so does what follows an n-gram they share, if it is their first common one."""
+    u, v = F.col("u_n"), F.col("v_n")
+    most = F.least(u - F.col("u_rank"), v - F.col("v_rank")) + 1
+    return (u * 100 >= v * percent) & (v * 100 >= u * percent) & (most * (100 + percent) >= (u + v) * percent)
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -170,33 +174,35 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.filter(F.col("both") * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent).select("u", "v")
 
 
+def _hub(*more: str) -> Column:
+    """The set of a group in which the n-gram comes earliest: it has the fewest rarer ones, as the text that others were copied from."""
+    return F.min(F.struct("rank", "sid", *more))
+
+
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of every set with the first of each group it is in."""
-    first = postings.groupBy("h").agg(F.min(F.struct("sid", "n")).alias("c"))
-    met = postings.join(first, "h").select(F.col("c.sid").alias("u"), F.col("sid").alias("v"), F.col("c.n").alias("u_n"), F.col("n").alias("v_n"))
-    return met.filter((F.col("u") != F.col("v")) & _fits("u_n", "v_n", percent)).distinct()
+    """Pairs of every set with the hub of each group it is in."""
+    hub = postings.groupBy("h").agg(_hub("n").alias("c"))
+    met = postings.join(hub, "h").select(F.col("c.sid").alias("u"), F.col("sid").alias("v"), F.col("c.n").alias("u_n"), F.col("n").alias("v_n"),
+                                         F.col("c.rank").alias("u_rank"), F.col("rank").alias("v_rank"))
+    return met.filter((F.col("u") != F.col("v")) & _fits(percent)).select("u", "v", "u_n", "v_n").distinct()
 
 
 def _across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All other pairs that may link: those of a group whose components differ, if their common n-grams leave room.
+    """All other pairs that may link: those of a group whose components differ, if their first common n-gram leaves room.
 
-    Of two such sets one is outside the component of the group's first set, so the pairs are those of the sets outside.
+    Of two such sets one is outside the component of the group's hub, so the pairs are those of the sets outside.
     """
     named = postings.join(roots.withColumnsRenamed({"node": "sid"}), "sid", "left").select("h", "sid", "n", "rank", F.coalesce("root", "sid").alias("root"))
     named = stored(named, "ngram-postings")
-    home = named.groupBy("h").agg(F.min(F.struct("sid", "root"))["root"].alias("home"))
+    home = named.groupBy("h").agg(_hub("root")["root"].alias("home"))
     away = named.join(home, "h").filter("root <> home").select("h", *(F.col(c).alias(f"u_{c}") for c in ("sid", "n", "rank", "root")))
     other = named.join(home, "h").select("h", "home", *(F.col(c).alias(f"v_{c}") for c in ("sid", "n", "rank", "root")))
-    met = away.join(other, "h").filter((F.col("u_root") != F.col("v_root")) & _fits("u_n", "v_n", percent))
+    met = away.join(other, "h").filter((F.col("u_root") != F.col("v_root")) & _fits(percent))
     met = met.filter((F.col("v_root") == F.col("home")) | (F.col("u_sid") < F.col("v_sid")))
     # a pair may come from either side in different groups
     flip = F.col("u_sid") > F.col("v_sid")
     pick = lambda c, d: F.when(flip, F.col(d)).otherwise(F.col(c))
-    met = met.select(*(pick(*x).alias(x[0]) for x in (("u_sid", "v_sid"), ("v_sid", "u_sid"), ("u_n", "v_n"), ("v_n", "u_n"), ("u_rank", "v_rank"), ("v_rank", "u_rank"))))
-    pairs = met.groupBy("u_sid", "v_sid", "u_n", "v_n").agg(F.count(F.lit(1)).alias("met"), F.max("u_rank").alias("i"), F.max("v_rank").alias("j"))
-    most = F.col("met") + F.least(F.col("u_n") - F.col("i"), F.col("v_n") - F.col("j"))
-    pairs = pairs.filter(most * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent)
-    return pairs.select(F.col("u_sid").alias("u"), F.col("v_sid").alias("v"), "u_n", "v_n")
+    return met.select(pick("u_sid", "v_sid").alias("u"), pick("v_sid", "u_sid").alias("v"), pick("u_n", "v_n").alias("u_n"), pick("v_n", "u_n").alias("v_n")).distinct()
 
 
 def set_links(docs: DataFrame, sets: DataFrame, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
