@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ranking import running_sums
+from ledgerlens.operators.ranking import row_number, running_sums
 
 MODES = ("exact", "train", "eval")
 
@@ -46,10 +46,10 @@ def curve(df: DataFrame | None, y: Column | str | None = None, p: Column | str |
     """One row per (group, distinct score): counts at and above the score."""
     g = list(group_cols or [])
     sc = counts if counts is not None else score_counts(df, y, p, g)
-    c = running_sums(sc, "score", ["pos", "neg"], g, descending=True, totals=True, lower_col="prev_score")
+    c = running_sums(sc, "score", ["pos", "neg"], g, descending=True, totals=True, lower_col="prev_score", lower_values=True)
     tp, fp, P = F.col("cum_pos"), F.col("cum_neg"), F.col("tot_pos")
     return c.select(
-        *g, "score", "pos", "neg", "prev_score",
+        *g, "score", "pos", "neg", "prev_score", "prev_score_pos", "prev_score_neg",
         tp.alias("tp"), fp.alias("fp"), P.alias("P"), F.col("tot_neg").alias("N"),
         (tp / (tp + fp)).alias("precision"),
         F.when(P == 0, F.lit(1.0)).otherwise(tp / P).alias("recall"),
@@ -138,54 +138,48 @@ def with_prf(cm: DataFrame) -> DataFrame:
     })
 
 
-def confusion_from_counts(sc: DataFrame, thr: Column, group_cols: list[str] | None = None) -> DataFrame:
-    """Confusion counts at ``score >= thr`` from the per-score count table."""
-    g = list(group_cols or [])
-    hit = F.col("score") >= thr
-    cm = sc.groupBy(*g).agg(
-        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).cast("bigint").alias("tn"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("bigint").alias("fp"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"),
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).cast("bigint").alias("tp"),
-        F.sum(F.col("pos") + F.col("neg")).cast("bigint").alias("n"))
-    return with_prf(cm)
+def confusion_at(threshold: float | None, mode: str) -> Column:
+    """Aggregate over a curve: (threshold, tp, fp) at a given threshold, or at the best-F1 one of ``mode``."""
+    def point(t, tp, fp) -> Column:
+        return F.struct(t.cast("double").alias("threshold"), tp.cast("bigint").alias("tp"), fp.cast("bigint").alias("fp"))
 
+    def at(t: float) -> Column:
+        hit = F.col("score") >= F.lit(float(t))
+        return point(F.lit(float(t)), F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)), F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)))
 
-def _same_group(left: DataFrame, right: DataFrame, g: list[str]) -> DataFrame:
-    """Inner join on the group columns in which a null group meets itself."""
-    named = right.withColumnsRenamed({c: f"_g_{c}" for c in g})
-    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g]
-    return left.join(named, on, "inner").drop(*(f"_g_{c}" for c in g))
+    if threshold is not None:
+        return at(threshold)
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    if mode == "exact":
+        return F.max_by(point(F.col("score"), F.col("tp"), F.col("fp")), _key())
+    has_prev = F.col("prev_score").isNotNull()
+    lower = F.when(has_prev, point(F.col("prev_score"), F.col("tp") + F.col("prev_score_pos"), F.col("fp") + F.col("prev_score_neg")))
+    if mode == "eval":
+        return F.coalesce(F.max_by(lower, _key()), at(0.5))
+    return F.coalesce(F.max_by(lower, F.when(has_prev, _key())), point(F.min("score"), F.max("P"), F.max("N")))
 
 
 def evaluate(df: DataFrame, y: str, p: str, group_cols: list[str] | None = None,
              tune_on_test: bool = True, mode: str = "eval", default_threshold: float = 0.5) -> DataFrame:
-    """Per-group metric rows: n, auprc, roc_auc, threshold, confusion counts, P/R/F1.
+    """Per-group metric rows: n, auprc, roc_auc, threshold, confusion counts, P/R/F1; a null group is a group.
 
-    All curve metrics come from ONE aggregation over the curve; the confusion
-    counts come from the per-score count table (not the raw rows). With groups,
-    per-group tables are joined with plain joins (AQE broadcasts them from
-    runtime sizes); without groups the single summary row is collected.
+    All of them come from ONE aggregation over the curve: it holds the counts at and above each
+    score, so the confusion counts are those of the row at the threshold.
     ``tune_on_test`` picks each group's best-F1 threshold on the same rows and
     flags the result as leaked (the reference's ``tune_on=test``).
     """
     g = list(group_cols or [])
-    sc = score_counts(df, y, p, g)
-    cv = curve(None, counts=sc, group_cols=g)
-    aggs = [ap_agg(), auc_agg()]
+    none = F.lit(0).cast("bigint")
+    aggs = [ap_agg(), auc_agg(), confusion_at(None if tune_on_test else default_threshold, mode).alias("_at"),
+            F.coalesce(F.max("P"), none).alias("_P"), F.coalesce(F.max("N"), none).alias("_N")]
     if tune_on_test:
-        aggs += threshold_aggs(mode)
-    summary = cv.groupBy(*g).agg(*aggs)
-    if not tune_on_test:
-        summary = summary.withColumn("threshold", F.lit(float(default_threshold)))
-    if g:
-        cm = confusion_from_counts(_same_group(sc, summary.select(*g, "threshold"), g), F.col("threshold"), g)
-        out = _same_group(cm, summary, g)
-    else:
-        row = summary.first()
-        cm = confusion_from_counts(sc, F.lit(row["threshold"]), g)
-        out = cm.withColumns({c: F.lit(row[c]) for c in summary.columns})
-    return out.withColumn("leakage", F.lit(bool(tune_on_test)))
+        aggs.append(threshold_aggs(mode)[1])
+    s = curve(df, y, p, g).groupBy(*g).agg(*aggs)
+    tp, fp = F.coalesce(F.col("_at.tp"), none), F.coalesce(F.col("_at.fp"), none)
+    cm = s.withColumns({"threshold": F.col("_at.threshold"), "tn": F.col("_N") - fp, "fp": fp, "fn": F.col("_P") - tp, "tp": tp,
+                        "n": F.col("_P") + F.col("_N")})
+    return with_prf(cm.drop("_at", "_P", "_N")).withColumn("leakage", F.lit(bool(tune_on_test)))
 
 
 def macro(per_group: DataFrame, cols=("auprc", "roc_auc", "f1", "precision", "recall"),
@@ -204,33 +198,28 @@ def macro(per_group: DataFrame, cols=("auprc", "roc_auc", "f1", "precision", "re
 def rank_to_prob(df: DataFrame, score: str, id_col: str, out: str = "prob") -> DataFrame:
     """``rank / (n - 1 + 1e-9)`` with a 0-based rank by (score, id) (exact, distributed).
 
-    Numeric ids use the tie-robust ranking (a score shared by many rows is split
-    over id buckets); other ids fall back to bucketing by score.
+    The id spreads a score that many rows share.
     """
-    from ledgerlens.operators.ranking import row_number, row_number_ties
-    df = df.withColumn(score, checked_score(score))
-    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
-        r = row_number_ties(df, score, id_col, out="_rk", total="_n")
-        return r.withColumn(out, (F.col("_rk") - 1) / (F.col("_n") - 1 + 1e-9)).drop("_rk", "_n")
-    n = df.count()
-    r = row_number(df, [F.col(score), F.col(id_col)], F.col(score), out="_rk")
-    return r.withColumn(out, (F.col("_rk") - 1) / F.lit(n - 1 + 1e-9)).drop("_rk")
+    r = row_number(df.withColumn(score, checked_score(score)), [score, id_col], out="_rk", total="_n")
+    return r.withColumn(out, (F.col("_rk") - 1) / (F.col("_n") - 1 + 1e-9)).drop("_rk", "_n")
 
 
 def blend_search(df: DataFrame, y: str, p1: str, p2: str, steps: int = 51, mode: str = "train") -> DataFrame:
     """Blend weight α on a grid of ``steps`` values in [0, 1] maximising best F1 of
     ``α·p1 + (1−α)·p2``; the first α with the maximum wins.
 
-    All α run in ONE plan: each row expands to ``steps`` blended scores (a
-    constant factor), pre-aggregated per (α, score) before the curve; no cross
-    join and no per-α job. Returns one row (alpha, best_f1, threshold).
+    All α run in ONE plan: rows collapse to distinct score pairs with their counts, each pair expands
+    to ``steps`` blended scores (a constant factor), whose counts are added per (α, score) before the
+    curve; no cross join and no per-α job. Returns one row (alpha, best_f1, threshold).
     """
-    step = 1.0 / (steps - 1)
-    grid = df.select(y, p1, p2, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
-    a = F.col("_i").cast("double") * F.lit(step)
-    bl = grid.select(a.alias("alpha"), F.col(y).alias("_y"),
-                     (a * F.col(p1) + (F.lit(1.0) - a) * F.col(p2)).alias("_s"))
-    best = best_f1_threshold(curve(bl, "_y", "_s", ["alpha"]), ["alpha"], mode)
+    yy = F.col(y).cast("int")
+    pairs = df.select(checked_score(p1).alias("_a"), checked_score(p2).alias("_b"), yy.alias("_y")).groupBy("_a", "_b").agg(
+        F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg"))
+    a = F.col("_i").cast("double") * F.lit(1.0 / (steps - 1))
+    grid = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
+    counts = (grid.select(a.alias("alpha"), (a * F.col("_a") + (F.lit(1.0) - a) * F.col("_b")).alias("score"), "pos", "neg")
+              .groupBy("alpha", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    best = best_f1_threshold(curve(None, counts=counts, group_cols=["alpha"]), ["alpha"], mode)
     top = best.agg(F.max_by(F.struct("alpha", "best_f1", "threshold"),
                             F.struct(F.col("best_f1"), -F.col("alpha"))).alias("b"))
     return top.select("b.*")

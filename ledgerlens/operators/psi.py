@@ -108,4 +108,4 @@ def positional_filter(rows: DataFrame, tokens: DataFrame, inter: DataFrame, grou
 
 def with_row_idx(df: DataFrame, order_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """``row_idx``: the place of a row from 0 (within its group) by ``order_col``."""
-    return row_number(df, [F.col(order_col)], F.col(order_col), list(group_cols), out="row_idx").withColumn("row_idx", F.col("row_idx") - 1)
+    return row_number(df, [order_col], list(group_cols), out="row_idx").withColumn("row_idx", F.col("row_idx") - 1)

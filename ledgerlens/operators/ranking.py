@@ -1,257 +1,125 @@
 """Distributed order statistics: row numbers, running sums and exact quantiles.
 
-A window ``over (order by x)`` without a partition key pulls every row into one
-task. The operators here give the same exact answers with the work spread out:
+A window ``over (order by x)`` without a partition key pulls every row into one task. The operators
+here give the same exact answers with the work spread out:
 
-1. one aggregation computes approximate equi-depth boundaries of the order key
-   (``approx_percentile``) – a few thousand numbers, bounded by the bucket count;
-2. rows are tagged with their bucket (``Bucketizer``, JVM-side binary search);
-3. per-(group, bucket) totals – at most groups × buckets rows – give exclusive
-   prefix offsets by a window over that small table;
-4. the offsets are joined back on (group, bucket) – the same clustering the local
-   window needs, so no extra exchange – and a window partitioned by (group,
-   bucket) finishes the running value locally.
+1. rows are partitioned by range on the group and the order columns themselves (any types, several
+   columns, nulls first), sorted within their partition and written once with their partition and
+   their place in it, so that no later pass can cut the ranges elsewhere;
+2. the rows of each partition are counted, a table of one row per partition;
+3. a row's place overall is the rows of the partitions before its own, and its place in it.
 
-Boundaries only balance the work; results do not depend on them.
+A tie column after a hot value spreads that value over several partitions. Results don't depend on
+where the ranges are cut.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct values brought to the driver for an exact quantile before switching to
-# the bucketed selection (a size bound, checked with ``limit``).
-LOCAL_DISTINCT_LIMIT = 200_000
-MIN_ROWS_PER_BUCKET = 50_000
+from ledgerlens.session import written
 
+#: ``monotonically_increasing_id`` holds the place within the partition in its lower bits.
+PLACE_BITS = 33
 
-def default_buckets(df: DataFrame) -> int:
-    sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(100_000, 4 * sp))
 
+def ranged(df: DataFrame, order_cols: list[Column | str], group_cols: list[str] | None = None) -> DataFrame:
+    """The rows in order by group and order columns, written, with ``_part`` and their place ``_at`` in it."""
+    keys = [*(group_cols or []), *order_cols]
+    d = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return written(d.withColumns({"_part": F.spark_partition_id(), "_at": place}), "ranged")
 
-def _boundaries(df: DataFrame, key: Column, buckets: int) -> tuple[list[float], int]:
-    """Approximate equi-depth split points of ``key`` and the row count, in one pass."""
-    if buckets <= 1:
-        return [], -1
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = max(1_000, 10 * buckets)  # balance only: ~0.1% rank error is plenty
-    row = df.agg(F.percentile_approx(key.cast("double"), probs, acc).alias("b"),
-                 F.count(F.lit(1)).alias("n")).first()
-    n = row["n"]
-    bounds = row["b"] or []
-    want = max(1, min(buckets, math.ceil(n / MIN_ROWS_PER_BUCKET)))
-    if want < buckets and bounds:
-        step = buckets / want
-        bounds = [bounds[min(len(bounds) - 1, int(round(step * i)) - 1)] for i in range(1, want)]
-    uniq = sorted({float(b) for b in bounds if b is not None and not math.isnan(b)})
-    return uniq, n
 
+def _offsets(d: DataFrame) -> DataFrame:
+    """(_part, _off, _all): rows before each partition and rows overall; at most ``spark.sql.shuffle.partitions`` rows."""
+    c = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")
+    return c.select("_part", before.alias("_off"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
 
-def with_bucket(df: DataFrame, key: Column, buckets: int | None = None, out: str = "_bkt") -> DataFrame:
-    buckets = default_buckets(df) if buckets is None else buckets
-    tmp = "_bkey"
-    d = df.withColumn(tmp, key)
-    if d.schema[tmp].dataType.typeName() == "string":  # the first six bytes as a number keep the order of strings
-        head = F.rpad(F.hex(F.substring(F.encode(tmp, "UTF-8"), 1, 6)), 12, "0")
-        d = d.withColumn(tmp, F.conv(head, 16, 10).cast("double"))
-    else:
-        d = d.withColumn(tmp, F.col(tmp).cast("double"))
-    bounds, _ = _boundaries(d, F.col(tmp), buckets)
-    if not bounds:
-        return d.withColumn(out, F.lit(0.0)).drop(tmp)
-    splits = [-math.inf] + bounds + [math.inf]
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    # null keys sort first and share the first bucket, as they do when there is only one
-    return b.transform(d).withColumn(out, F.coalesce(F.col(out), F.lit(-1.0))).drop(tmp)
 
+def _group_join(left: DataFrame, right: DataFrame, keys: list[str], group_cols: list[str]) -> DataFrame:
+    """Inner join on ``keys`` and the group columns, in which a null group meets itself; ``right`` is a written table, so Spark knows its size."""
+    group = F.struct(*group_cols) if group_cols else F.lit(0)
+    named = right.withColumn("_grp", group).drop(*group_cols)
+    return left.withColumn("_grp", group).join(named, [*keys, "_grp"]).drop("_grp")
 
-def _join_offsets(df: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    """Plain equi-join on (group, bucket): the big side must be clustered by these
-    keys for the local window anyway, so the join adds no exchange; AQE may
-    still broadcast the small offsets side from its runtime size."""
-    return df.join(offsets, keys, "left")
 
+def row_number(df: DataFrame, order_cols: list[Column | str], group_cols: list[str] | None = None, out: str = "rn",
+               total: str | None = None) -> DataFrame:
+    """Exact ``row_number() over (partition by group order by order_cols)``, 1-based; ``total`` adds the rows of the group.
 
-def row_number(df: DataFrame, order_cols: list[Column], bucket_key: Column,
-               group_cols: list[str] | None = None, out: str = "rn",
-               buckets: int | None = None) -> DataFrame:
-    """Exact ``row_number() over (partition by group order by order_cols)``, 1-based.
-
-    ``bucket_key`` is a numeric column that is non-decreasing in ``order_cols``
-    (often the first order column itself). Order columns must give a total order.
+    Rows that agree in all order columns are numbered in any order. One shuffle; the rest are joins to
+    one row per partition (broadcast, its size is bounded) and one row per group.
     """
     g = list(group_cols or [])
-    d = with_bucket(df, bucket_key, buckets)
-    cnt = d.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g).orderBy("_bkt") if g else Window.orderBy("_bkt")
-    offs = cnt.select(*g, "_bkt", (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
-    d = _join_offsets(d, offs, g + ["_bkt"])
-    lw = Window.partitionBy(*g, "_bkt").orderBy(*order_cols)
-    return d.withColumn(out, (F.row_number().over(lw) + F.col("_off")).cast("bigint")).drop("_bkt", "_off")
-
-
-def row_number_ties(df: DataFrame, order_col: str, tie_col: str, group_cols: list[str] | None = None,
-                    out: str = "rn", buckets: int | None = None, total: str | None = None) -> DataFrame:
-    """Exact ``row_number() over (partition by g order by order_col, tie_col)`` that
-    stays balanced when one ``order_col`` value holds a large share of the rows.
-
-    rank = (rows of the group with a lower ``order_col``, from the per-value counts)
-         + (row number inside the value's rows, bucketed by the numeric ``tie_col``).
-    A hot value is thus spread over the tie-column buckets; the per-value offsets
-    are joined on (group, value), where AQE's skew-join handles a hot value.
-    """
-    g = list(group_cols or [])
-    counts = df.groupBy(*g, order_col).agg(F.count(F.lit(1)).alias("_n"))
-    with ThreadPoolExecutor(max_workers=1) as pool:  # the two boundary passes run concurrently
-        fut = pool.submit(row_number, df, [F.col(tie_col)], F.col(tie_col), g + [order_col], "_w", buckets)
-        before = running_sums(counts, order_col, ["_n"], g, descending=False, prefix="_cum", buckets=buckets,
-                              totals=total is not None)
-        within = fut.result()
-    extra = [F.col("tot__n").alias(total)] if total else []
-    before = before.select(*g, order_col, (F.col("_cum_n") - F.col("_n")).alias("_before"), *extra)
-    return (within.join(before, g + [order_col], "inner")
-            .withColumn(out, (F.col("_before") + F.col("_w")).cast("bigint")).drop("_before", "_w"))
-
-
-def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
-                 group_cols: list[str] | None = None, descending: bool = True,
-                 prefix: str = "cum_", buckets: int | None = None,
-                 totals: bool = False, lower_col: str | None = None) -> DataFrame:
+    d = ranged(df, order_cols, g)
+    offs = F.broadcast(_offsets(d))
+    if not g:
+        d = d.join(offs, "_part").withColumn(out, F.col("_off") + F.col("_at") + 1)
+        return (d.withColumn(total, F.col("_all")) if total else d).drop("_part", "_at", "_off", "_all")
+    heads = d.groupBy(*g).agg(F.min(F.struct("_part", "_at")).alias("_h"), F.count(F.lit(1)).alias("_n"))
+    heads = heads.join(offs, F.col("_h._part") == F.col("_part")).select(*g, (F.col("_off") + F.col("_h._at")).alias("_start"), "_n")
+    d = _group_join(d, written(heads, "heads"), [], g).join(offs, "_part")
+    d = d.withColumn(out, F.col("_off") + F.col("_at") - F.col("_start") + 1)
+    return (d.withColumn(total, F.col("_n")) if total else d).drop("_part", "_at", "_off", "_all", "_start", "_n")
+
+
+def running_sums(df: DataFrame, order_col: str, value_cols: list[str], group_cols: list[str] | None = None, descending: bool = True,
+                 prefix: str = "cum_", totals: bool = False, lower_col: str | None = None, lower_values: bool = False) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order, per group.
 
     Rows sharing an order value are summed together (range frame), which is the
     curve semantics when the input is pre-aggregated per distinct value.
     ``totals`` adds ``tot_<c>`` (group totals); ``lower_col`` names a column with
-    the next lower ``order_col`` value in the group (null for the lowest), both
-    taken from the same small per-bucket table.
+    the next lower ``order_col`` value in the group (null for the lowest), and ``lower_values``
+    adds its row's values as ``<lower_col>_<c>``.
     """
     g = list(group_cols or [])
-    k = len(value_cols)
-    d = with_bucket(df, F.col(order_col), buckets)
-    tot = d.groupBy(*g, "_bkt").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(value_cols)],
-                                    F.max(order_col).alias("_mx"))
-    bo = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
-    w = Window.partitionBy(*g).orderBy(bo) if g else Window.orderBy(bo)
-    wall = Window.partitionBy(*g)
-    wasc = Window.partitionBy(*g).orderBy("_bkt") if g else Window.orderBy("_bkt")
-    sel = [*g, "_bkt", *[(F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")).alias(f"_o{i}") for i in range(k)]]
+    d = ranged(df, [order_col], g)
+    row = F.struct(order_col, *value_cols)
+    tot = d.groupBy("_part", *g).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(value_cols)], F.max(row).alias("_mx"))
+    whole, up = Window.partitionBy(*g), Window.partitionBy(*g).orderBy("_part")
+    run = Window.partitionBy(*g).orderBy(F.col("_part").desc()) if descending else up
+    sel = ["_part", *g, *[(F.sum(f"_t{i}").over(run) - F.col(f"_t{i}")).alias(f"_o{i}") for i in range(len(value_cols))]]
     if totals:
-        sel += [F.sum(f"_t{i}").over(wall).alias(f"tot_{c}") for i, c in enumerate(value_cols)]
+        sel += [F.sum(f"_t{i}").over(whole).alias(f"tot_{c}") for i, c in enumerate(value_cols)]
     if lower_col:
-        sel.append(F.lag("_mx").over(wasc).alias("_pmx"))
-    offs = tot.select(*sel)
-    d = _join_offsets(d, offs, g + ["_bkt"])
-    oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    base = Window.partitionBy(*g, "_bkt").orderBy(oc)
-    lw = base.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = {f"{prefix}{c}": F.sum(c).over(lw) + F.coalesce(F.col(f"_o{i}"), F.lit(0))
-            for i, c in enumerate(value_cols)}
+        sel.append(F.lag("_mx").over(up).alias("_below"))
+    d = _group_join(d, written(tot.select(*sel), "offsets"), ["_part"], g)
+    local = Window.partitionBy("_part", *g).orderBy(F.col(order_col).desc() if descending else F.col(order_col).asc())
+    frame = local.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = {f"{prefix}{c}": F.sum(c).over(frame) + F.col(f"_o{i}") for i, c in enumerate(value_cols)}
     if lower_col:
-        nxt = F.lead(order_col).over(base) if descending else F.lag(order_col).over(base)
-        cols[lower_col] = F.coalesce(nxt, F.col("_pmx"))
-    drop = ["_bkt", *[f"_o{i}" for i in range(k)]] + (["_pmx"] if lower_col else [])
-    return d.withColumns(cols).drop(*drop)
-
-
-def _interp(sorted_pairs: list[tuple[float, int]], n: int, probs: list[float]) -> list[float]:
-    """Linear-interpolated quantiles (numpy 'linear') from (value, count) pairs."""
-    out = []
-    for q in probs:
-        pos = q * (n - 1)
-        lo = math.floor(pos)
-        hi = min(lo + 1, n - 1)
-        out.append((lo, hi, pos - lo))
-    need = sorted({r for lo, hi, _ in out for r in (lo, hi)})
-    vals: dict[int, float] = {}
-    cum = 0
-    it = iter(need)
-    nxt = next(it, None)
-    for v, c in sorted_pairs:
-        while nxt is not None and nxt < cum + c:
-            vals[nxt] = v
-            nxt = next(it, None)
-        cum += c
-        if nxt is None:
-            break
-    res = []
-    for lo, hi, frac in out:
-        a, b = vals[lo], vals[hi]
-        res.append(a + (b - a) * frac)
-    return res
+        below = F.coalesce((F.lead if descending else F.lag)(row).over(local), F.col("_below"))
+        cols[lower_col] = below.getField(order_col)
+        if lower_values:
+            cols |= {f"{lower_col}_{c}": below.getField(c) for c in value_cols}
+    return d.withColumns(cols).drop("_part", "_at", "_below", *[f"_o{i}" for i in range(len(value_cols))])
 
 
-def _values_at_ranks(d: DataFrame, ranks: list[int], fanout: int = 1_000) -> dict[int, float]:
-    """Value at each 0-based rank of the multiset described by ``d(v, c)``.
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float]:
+    """Exact linear-interpolated quantiles (numpy 'linear') of a numeric column; nulls and NaN ignored.
 
-    Narrowing search: while the candidate value range holds more than
-    ``LOCAL_DISTINCT_LIMIT`` distinct values, split it into ~``fanout``
-    equi-depth buckets (one sketch pass), total the rows per bucket (at most
-    ``fanout`` rows come back) and keep only the bucket containing the rank.
-    Each level shrinks the range ~``fanout``-fold; only a range below the checked
-    limit is ever brought to the driver.
-    """
-    out: dict[int, float] = {}
-    for k in sorted(set(ranks)):
-        lo, hi, base = None, None, 0  # range (lo, hi]; base = rows with v <= lo
-        while True:
-            sub = d
-            if lo is not None:
-                sub = sub.filter(F.col("v") > F.lit(lo))
-            if hi is not None:
-                sub = sub.filter(F.col("v") <= F.lit(hi))
-            small = sub.limit(LOCAL_DISTINCT_LIMIT + 1).collect()
-            if len(small) <= LOCAL_DISTINCT_LIMIT:
-                cum = base
-                for v, c in sorted((r["v"], r["c"]) for r in small):
-                    if k < cum + c:
-                        out[k] = v
-                        break
-                    cum += c
-                break
-            probs = [i / fanout for i in range(1, fanout)]
-            bnd = sub.agg(F.percentile_approx("v", probs, 10 * fanout)).first()[0] or []
-            splits = [-math.inf] + sorted({float(x) for x in bnd}) + [math.inf]
-            tagged = Bucketizer(splits=splits, inputCol="v", outputCol="_b").transform(sub)
-            tot = sorted((r["_b"], r["n"], r["mx"]) for r in
-                         tagged.groupBy("_b").agg(F.sum("c").alias("n"), F.max("v").alias("mx")).collect())
-            cum, prev_mx = base, lo
-            for _, n, mx in tot:
-                if k < cum + n:
-                    lo, hi, base = prev_mx, mx, cum
-                    break
-                cum += n
-                prev_mx = mx
-    return out
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], buckets: int | None = None) -> list[float]:
-    """Exact linear-interpolated quantiles (numpy 'linear') of a numeric column; nulls ignored.
-
-    Values are first collapsed to (value, count) with a partial aggregation, so a
-    hot value costs one row. If few distinct values remain (checked with a limit)
-    they come to the driver; otherwise the needed ranks are found by a
-    distributed narrowing search (:func:`_values_at_ranks`).
+    Values collapse to (value, count) map-side, so a hot value costs one row. The value at a rank is the
+    least one whose running count passes it: one aggregation over the running counts for all ranks.
     """
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    d = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    small = d.limit(LOCAL_DISTINCT_LIMIT + 1).collect()
-    if len(small) <= LOCAL_DISTINCT_LIMIT:
-        pairs = sorted((r["v"], r["c"]) for r in small)
-        n = sum(c for _, c in pairs)
-        if n == 0:
-            raise ValueError(f"no numeric values in {col!r}")
-        return _interp(pairs, n, probs)
-    n = d.agg(F.sum("c")).first()[0]
-    want = []
-    for q in probs:
-        pos = q * (n - 1)
-        lo = math.floor(pos)
-        want.append((lo, min(lo + 1, n - 1), pos - lo))
-    vals = _values_at_ranks(d, [r for lo, hi, _ in want for r in (lo, hi)], fanout=buckets or 1_000)
-    return [vals[lo] + (vals[hi] - vals[lo]) * frac for lo, hi, frac in want]
+    run = running_sums(v.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v", ["c"], descending=False, totals=True)
+    last = F.col("tot_c") - 1
+    aggs = [F.max("tot_c").alias("n")]
+    for i, q in enumerate(probs):
+        low = F.floor(F.lit(float(q)) * last)
+        aggs += [F.min(F.when(F.col("cum_c") > low, F.col("v"))).alias(f"lo{i}"),
+                 F.min(F.when(F.col("cum_c") > F.least(low + 1, last), F.col("v"))).alias(f"hi{i}")]
+    row = run.agg(*aggs).first()
+    if not row["n"]:
+        raise ValueError(f"no numeric values in {col!r}")
+    out = []
+    for i, q in enumerate(probs):
+        at = float(q) * (row["n"] - 1)
+        out.append(row[f"lo{i}"] + (row[f"hi{i}"] - row[f"lo{i}"]) * (at - math.floor(at)))
+    return out

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ranking import row_number
@@ -84,38 +81,23 @@ def sample_weights(df: DataFrame, label: str, weights: dict[int, float] | None,
     return df.withColumn(out, e.otherwise(F.lit(1.0)))
 
 
-def hash_order_key(id_col: str, seed: int) -> tuple:
-    """Seeded pseudo-random order: md5 of ``id|seed``; numeric prefix for bucketing."""
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
-    return h, F.conv(F.substring(h, 1, 15), 16, 10).cast("double")
+def hash_order_key(id_col: str, seed: int) -> Column:
+    """Seeded pseudo-random order: md5 of ``id|seed``."""
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, frac: float = 0.2, seed: int = 42,
                      out: str = "part") -> DataFrame:
-    """Exactly ``round(frac * n_c)`` rows of each class go to ``val``, the rest to ``fit``.
+    """Exactly ``round(frac * n_c)`` rows of each class go to ``val``, the rest (and null labels) to ``fit``.
 
     Rows are ranked per class in a seeded hash order with the distributed
-    row number (no whole class in one task).
+    row number (no whole class in one task), which counts the class as well.
     """
-    h, hk = hash_order_key(id_col, seed)
-    d = df.withColumn("_h", h)
-    with ThreadPoolExecutor(max_workers=1) as pool:  # class counts and bucket bounds: concurrent jobs
-        fut = pool.submit(lambda: class_counts(df, label).limit(MAX_CLASSES + 1).collect())
-        ranked = row_number(d, [F.col("_h"), F.col(id_col)], hk, group_cols=[label], out="_rn")
-        counts = {r["label"]: r["n"] for r in fut.result()}
-    if len(counts) > MAX_CLASSES:
-        raise ValueError("too many classes for a stratified split")
-    quota = None
-    for lab, n in counts.items():
-        if lab is None:
-            continue
-        k = math.floor(frac * n + 0.5)
-        cond = F.col(label) == F.lit(lab)
-        quota = F.when(cond, F.lit(k)) if quota is None else quota.when(cond, F.lit(k))
-    quota = (quota.otherwise(F.lit(0)) if quota is not None else F.lit(0))
-    return ranked.withColumn(out, F.when(F.col("_rn") <= quota, "val").otherwise("fit")).drop("_h", "_rn")
+    ranked = row_number(df.withColumn("_h", hash_order_key(id_col, seed)), ["_h", id_col], [label], out="_rn", total="_rows")
+    quota = F.when(F.col(label).isNull(), 0).otherwise(F.floor(F.lit(frac) * F.col("_rows") + F.lit(0.5)))
+    return ranked.withColumn(out, F.when(F.col("_rn") <= quota, "val").otherwise("fit")).drop("_h", "_rn", "_rows")
 
 
 def row_index(df: DataFrame, key: str, out: str = "row_idx") -> DataFrame:
     """Contiguous 0-based index in ``key`` order (exact, distributed)."""
-    return row_number(df, [F.col(key)], F.col(key), out=out).withColumn(out, F.col(out) - 1)
+    return row_number(df, [key], out=out).withColumn(out, F.col(out) - 1)

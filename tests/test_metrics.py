@@ -85,22 +85,22 @@ def test_random_against_brute_force(spark):
             assert got == pytest.approx(brute_threshold(ys, ps, mode)), (trial, mode)
 
 
-def test_curve_is_bucket_independent(spark):
-    """Forcing many buckets gives the same curve as a single bucket."""
+def test_curve_is_range_independent(spark, many_ranges):
+    """Many ranges give the same curve as a single one."""
     rng = random.Random(3)
     ys = [rng.randint(0, 1) for _ in range(400)]
     ps = [rng.random() for _ in range(400)]
     df = frame(spark, ys, ps)
-    sc = M.score_counts(df, "y", "p")
-    a = RK.running_sums(sc, "score", ["pos", "neg"], buckets=1, totals=True, lower_col="prev")
-    old = RK.MIN_ROWS_PER_BUCKET
-    RK.MIN_ROWS_PER_BUCKET = 10
-    try:
-        b = RK.running_sums(sc, "score", ["pos", "neg"], buckets=16, totals=True, lower_col="prev")
-        ra = sorted(tuple(r) for r in a.select("score", "cum_pos", "cum_neg", "tot_pos", "prev").collect())
-        rb = sorted(tuple(r) for r in b.select("score", "cum_pos", "cum_neg", "tot_pos", "prev").collect())
-    finally:
-        RK.MIN_ROWS_PER_BUCKET = old
+    cols = ["score", "cum_pos", "cum_neg", "tot_pos", "prev", "prev_pos", "prev_neg"]
+
+    def run():
+        sc = M.score_counts(df, "y", "p")
+        out = RK.running_sums(sc, "score", ["pos", "neg"], totals=True, lower_col="prev", lower_values=True)
+        return sorted(tuple(r) for r in out.select(*cols).collect())
+
+    rb = run()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    ra = run()
     assert ra == rb
 
 
@@ -147,16 +147,11 @@ def test_rank_to_prob(spark):
     assert got == pytest.approx({1: 0 / d, 0: 1 / d, 2: 2 / d, 3: 3 / d})
 
 
-def test_tie_robust_rank_with_hot_score(spark):
+def test_tie_robust_rank_with_hot_score(spark, many_ranges):
     """One score holds most rows; ranks still equal a (score, id) row_number."""
     rows = [(i, 0 if i % 10 else 1, 0.5 if i % 3 else float(i % 7)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, y int, p double")
-    old = RK.MIN_ROWS_PER_BUCKET
-    RK.MIN_ROWS_PER_BUCKET = 25
-    try:
-        got = {r["id"]: r["rn"] for r in RK.row_number_ties(df, "p", "id", buckets=8).collect()}
-    finally:
-        RK.MIN_ROWS_PER_BUCKET = old
+    got = {r["id"]: r["rn"] for r in RK.row_number(df, ["p", "id"]).collect()}
     order = sorted(rows, key=lambda r: (r[2], r[0]))
     assert got == {r[0]: k + 1 for k, r in enumerate(order)}
 
@@ -169,7 +164,7 @@ def test_macro_rules(spark):
     assert b["roc_auc"] is None and b["f1"] == pytest.approx(0.6)
 
 
-def test_null_scores_stop_the_job_and_null_keys_keep_their_place(spark, monkeypatch):
+def test_null_scores_stop_the_job_and_null_keys_keep_their_place(spark, many_ranges):
     import pytest
     from pyspark.sql import functions as F
 
@@ -178,10 +173,9 @@ def test_null_scores_stop_the_job_and_null_keys_keep_their_place(spark, monkeypa
     df = spark.createDataFrame([(1, 1, 0.5), (2, 0, None), (3, 0, float("nan"))], "id long, y int, p double")
     with pytest.raises(Exception, match="null or NaN score"):
         M.score_counts(df, "y", "p").collect()
-    monkeypatch.setattr(R, "MIN_ROWS_PER_BUCKET", 2)
     rows = [(None if k % 10 == 0 else f"C{k * 7 % 50}",) for k in range(50)]
     ids = spark.createDataFrame(rows, "k string")
-    got = R.row_number(ids, [F.col("k")], F.col("k"), out="n").orderBy("n").collect()
+    got = R.row_number(ids, [F.col("k")], out="n").orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(1, 51))
     assert [r["k"] for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or ""))
 
@@ -191,3 +185,25 @@ def test_a_null_party_keeps_its_row(spark):
     for tune in (True, False):
         got = {r["party"]: r["n"] for r in M.evaluate(df, "y", "p", ["party"], tune_on_test=tune).collect()}
         assert got == {"a": 2, None: 2}
+
+
+@pytest.mark.parametrize("mode", M.MODES)
+def test_one_pass_metrics_equal_a_count_of_the_rows(spark, many_ranges, mode):
+    """Groups with ties, with one score and with a null key: the counts at the threshold are those of the rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 1), round(rng.random(), 1)) for _ in range(300)]
+    rows += [("one", 1, .25), ("one", 0, .25), ("none", 0, .1), ("none", 0, .9)]
+    df = spark.createDataFrame(rows, "g string, y int, p double")
+    for tune in (True, False):
+        got = {r["g"]: r for r in M.evaluate(df, "y", "p", ["g"], tune_on_test=tune, mode=mode).collect()}
+        assert set(got) == {"a", "b", None, "one", "none"}
+        for g, r in got.items():
+            own = [(y, p) for x, y, p in rows if x == g]
+            t = brute_threshold([y for y, _ in own], [p for _, p in own], mode) if tune else 0.5
+            t = t[0] if isinstance(t, tuple) else t
+            assert r["threshold"] == pytest.approx(t)
+            want = {(a, b): sum(y == a and (p >= t) == b for y, p in own) for a in (0, 1) for b in (False, True)}
+            assert (r["tn"], r["fp"], r["fn"], r["tp"]) == (want[0, False], want[0, True], want[1, False], want[1, True])
+            assert r["n"] == len(own)
+    empty = M.evaluate(df.limit(0), "y", "p", mode=mode).first()
+    assert (empty["n"], empty["tp"], empty["f1"]) == (0, 0, 0.0)

@@ -22,19 +22,13 @@ def test_embargo_fixture(spark):
                    8: "cal", 10: "test"}
 
 
-def test_quantiles_match_numpy_and_bucketed_path(spark):
+def test_quantiles_match_numpy(spark, many_ranges):
     rng = np.random.default_rng(0)
     vals = rng.normal(size=3000).round(3).tolist()
     df = steps(spark, vals)
     probs = [0.1, 0.5, 0.65, 0.8, 1.0]
     exp = np.quantile(np.array(vals), probs)
     assert RK.exact_quantiles(df, "step", probs) == pytest.approx(exp)
-    old = RK.LOCAL_DISTINCT_LIMIT, RK.MIN_ROWS_PER_BUCKET
-    RK.LOCAL_DISTINCT_LIMIT, RK.MIN_ROWS_PER_BUCKET = 100, 50  # force the bucketed selection
-    try:
-        assert RK.exact_quantiles(df, "step", probs, buckets=8) == pytest.approx(exp)
-    finally:
-        RK.LOCAL_DISTINCT_LIMIT, RK.MIN_ROWS_PER_BUCKET = old
 
 
 def test_bad_fractions_rejected(spark):

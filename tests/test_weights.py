@@ -47,14 +47,9 @@ def test_stratified_split_exact_counts(spark):
     assert sorted(out.collect()) == sorted(again.collect())
 
 
-def test_row_index_contiguous_many_buckets(spark):
+def test_row_index_contiguous_many_ranges(spark, many_ranges):
     df = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
-    old = RK.MIN_ROWS_PER_BUCKET
-    RK.MIN_ROWS_PER_BUCKET = 20
-    try:
-        out = W.row_index(df, "k").collect()
-    finally:
-        RK.MIN_ROWS_PER_BUCKET = old
+    out = W.row_index(df, "k").collect()
     assert sorted((r["k"], r["row_idx"]) for r in out) == [(3 * i, i) for i in range(1000)]
 
 
@@ -66,19 +61,25 @@ def test_chunked_balanced_weights(spark):
     assert only0 == pytest.approx({0: 0.5, 1: 2.0})  # count floored at 1
 
 
-def test_grouped_row_number_with_hot_group(spark):
+def test_grouped_row_number_with_hot_group(spark, many_ranges):
     """One group holds a third of the rows; per-group ranks still match a brute force."""
     rows = [(i, "hot" if i % 3 == 0 else f"g{i % 7}", (i * 7919) % 1000) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g string, k long")
-    old = RK.MIN_ROWS_PER_BUCKET
-    RK.MIN_ROWS_PER_BUCKET = 30
-    try:
-        got = {r["id"]: r["rn"] for r in RK.row_number(df, [F.col("k"), F.col("id")], F.col("k"),
-                                                         group_cols=["g"], buckets=16).collect()}
-    finally:
-        RK.MIN_ROWS_PER_BUCKET = old
+    ranked = RK.row_number(df, [F.col("k"), F.col("id")], group_cols=["g"], total="n")
+    got = {r["id"]: r["rn"] for r in ranked.collect()}
+    assert {r["g"]: r["n"] for r in ranked.select("g", "n").distinct().collect()} == {g: sum(r[1] == g for r in rows) for g in {r[1] for r in rows}}
     exp = {}
     for g in {r[1] for r in rows}:
         for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))):
             exp[r[0]] = n + 1
     assert got == exp
+
+
+def test_prefixed_ids_and_a_hot_value_spread_over_the_ranges(spark, many_ranges):
+    rows = [(f"customer_{i:09d}", 0.5 if i % 3 else float(i % 7)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id string, p double")
+    for keys in (["id"], ["p", "id"]):  # ids of one prefix; a score that most rows share
+        sizes = [r["count"] for r in RK.ranged(df, keys).groupBy("_part").count().collect()]
+        assert len(sizes) == many_ranges and max(sizes) < 4 * 4000 / many_ranges
+    got = {r["id"]: r["rn"] for r in RK.row_number(df, ["p", "id"]).collect()}
+    assert got == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
