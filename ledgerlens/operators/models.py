@@ -24,6 +24,7 @@ from ledgerlens.operators import linear as L
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import trees as TR
 from ledgerlens.operators import weights as W
+from ledgerlens.operators.ranking import running_sums
 from ledgerlens.session import scratch_path
 
 FAMILIES = ("lr", "rf", "gbt", "iforest")
@@ -324,7 +325,24 @@ def mutual_info_binned(long: DataFrame, bins: int = 10) -> DataFrame:
          .withColumn("bin", F.when(F.col("hi") > F.col("lo"),
                                    F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                                            F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")))
-    joint = b.groupBy("pos", "bin", "label").agg(F.count(F.lit(1)).alias("nbl"))
+    return _information(b.groupBy("pos", "bin", "label").agg(F.count(F.lit(1)).alias("nbl")))
+
+
+def mutual_info_quantile(long: DataFrame, bins: int = 10) -> DataFrame:
+    """MI (nats) between a feature in bins of equal row counts and the label, per feature.
+
+    A value's bin follows from the rows below it, so equal values share one. Values collapse to counts
+    map-side; null and NaN values count in no bin.
+    """
+    x = F.col("x")
+    counts = long.filter(x.isNotNull() & ~F.isnan(x)).groupBy("pos", "x", "label").agg(F.count(F.lit(1)).alias("nbl"))
+    run = running_sums(counts.groupBy("pos", "x").agg(F.sum("nbl").alias("c")), "x", ["c"], ["pos"], descending=False, totals=True)
+    binned = run.select("pos", "x", F.floor((F.col("cum_c") - F.col("c")) * bins / F.col("tot_c")).cast("int").alias("bin"))
+    return _information(counts.join(binned, ["pos", "x"]).groupBy("pos", "bin", "label").agg(F.sum("nbl").alias("nbl")))
+
+
+def _information(joint: DataFrame) -> DataFrame:
+    """MI per feature of the counts ``nbl`` by (pos, bin, label)."""
     pb = joint.groupBy("pos", "bin").agg(F.sum("nbl").alias("nb"))
     pl = joint.groupBy("pos", "label").agg(F.sum("nbl").alias("nl"))
     n = joint.groupBy("pos").agg(F.sum("nbl").alias("n"))
@@ -342,9 +360,9 @@ def wide_to_long(df: DataFrame, features: Sequence[str], label: str) -> DataFram
 
 def top_features(train: DataFrame, features: Sequence[str], label: str, ratio: float = 0.5,
                  by: str = "mi", bins: int = 10) -> list[str]:
-    """Top ``max(1, int(d * ratio))`` features by binned MI (or variance), ties by position."""
+    """Top ``max(1, int(d * ratio))`` features by MI in quantile bins (or variance), ties by position."""
     long = wide_to_long(train, features, label)
-    ranked = mutual_info_binned(long, bins).withColumnRenamed("mi", "score") if by == "mi" else \
+    ranked = mutual_info_quantile(long, bins).withColumnRenamed("mi", "score") if by == "mi" else \
         long.groupBy("pos").agg(F.var_pop("x").alias("score"))
     k = max(1, int(len(features) * ratio))
     order = [r["pos"] for r in ranked.orderBy(F.col("score").desc(), F.col("pos")).limit(k).collect()]

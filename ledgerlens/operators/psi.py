@@ -86,10 +86,13 @@ def party_counts(tokens: DataFrame, inter: DataFrame, party: str = "party") -> D
 
 def semi_filter(df: DataFrame, id_col: str, inter: DataFrame, key: bytes, salt: bytes = b"",
                 canon: str = "none") -> DataFrame:
-    """Rows whose token is in the intersection (left semi join; AQE picks the method).
-    Rows with a null id never match."""
-    t = df.filter(F.col(id_col).isNotNull()).withColumn("_tok", hmac_token(id_col, key, salt, canon))
-    return t.join(inter.withColumnRenamed("token", "_tok"), "_tok", "left_semi").drop("_tok")
+    """Rows whose token is in the intersection; rows with a null id never match.
+
+    Each distinct id is hashed once, however many rows hold it.
+    """
+    ids = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct().withColumn("_tok", hmac_token(id_col, key, salt, canon))
+    kept = ids.join(inter.withColumnRenamed("token", "_tok"), "_tok", "left_semi").select(id_col)
+    return df.join(kept, id_col, "left_semi")
 
 
 def positional_filter(rows: DataFrame, tokens: DataFrame, inter: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

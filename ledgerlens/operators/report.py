@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.operators import metrics as M
 from ledgerlens.sources.io import discover
@@ -40,17 +41,19 @@ def glob_to_regex(g: str) -> str:
     return "(?:^|/)" + "".join(out) + "$"
 
 
-def _field(df: DataFrame, *names: str) -> Column:
-    """First present, non-null field among dotted names (``micro.AUPRC`` etc.)."""
+def _field(schema: T.StructType, *names: str) -> Column:
+    """First non-null field among those of ``names`` that the schema has (dotted for a struct's); letter case counts only between fields."""
     cols = []
-    for n in names:
-        head = n.split(".")[0]
-        if head in df.columns:
-            try:
-                df.select(F.col(n)).schema  # noqa: B018 — resolves nested paths
-                cols.append(F.col(n))
-            except Exception:  # noqa: BLE001 — field absent in this schema
-                pass
+    for name in names:
+        kind, path = schema, []
+        for part in name.split("."):
+            fields = kind.fieldNames() if isinstance(kind, T.StructType) else []
+            found = part if part in fields else next((f for f in fields if f.lower() == part.lower()), None)
+            if found is None:
+                break
+            kind, path = kind[found].dataType, [*path, found]
+        else:
+            cols.append(F.col(".".join(f"`{x}`" for x in path)))
     return F.coalesce(*cols) if cols else F.lit(None)
 
 
@@ -65,15 +68,25 @@ def load_metrics(spark: SparkSession, root: str, glob: str = "*.json", lines: bo
 
 
 def scoreboard(metrics: DataFrame) -> DataFrame:
-    """Family (``family`` → ``model`` → 'unknown'), AUPRC/F1 with micro fallbacks,
-    threshold (``threshold`` → ``threshold_used``); ordered by family, AUPRC desc."""
-    fam = F.coalesce(_field(metrics, "family", "model"), F.lit("unknown"))
+    """(source, family, path, auprc, roc_auc, f1, precision, recall, threshold, notes) of metric records, and their party if they have one.
+
+    A record with both ``per_client`` and ``micro`` is a report of clients and gives its micro metrics; any other gives its
+    own. Family is ``family``, else ``model``, else 'unknown'. Ordered by family, then the higher AUPRC.
+    """
+    schema = metrics.schema
+    both = _field(schema, "per_client").isNotNull() & _field(schema, "micro").isNotNull()
+
+    def pick(flat: tuple[str, ...], micro: str, kind: str = "double") -> Column:
+        return F.when(both, _field(schema, f"micro.{micro}").cast(kind)).otherwise(_field(schema, *flat).cast(kind))
+
     out = metrics.select(
-        fam.alias("family"),
+        F.when(both, "fl_clients").otherwise("single").alias("source"),
+        F.coalesce(_field(schema, "family", "model").cast("string"), F.lit("unknown")).alias("family"),
+        _field(schema, "source_path").cast("string").alias("path"),
         *[F.col(c) for c in ("party",) if c in metrics.columns],
-        _field(metrics, "auprc", "AUPRC", "micro.AUPRC").cast("double").alias("auprc"),
-        _field(metrics, "f1", "F1", "micro.F1").cast("double").alias("f1"),
-        _field(metrics, "threshold", "threshold_used", "micro.threshold_used").cast("double").alias("threshold"))
+        *[pick((x,), x).alias(x.lower()) for x in ("AUPRC", "ROC_AUC", "F1", "precision", "recall")],
+        pick(("threshold", "threshold_used"), "threshold_used").alias("threshold"),
+        F.when(both, "micro aggregation of clients").otherwise(_field(schema, "threshold_source").cast("string")).alias("notes"))
     return out.orderBy(F.col("family").asc(), F.coalesce(F.col("auprc"), F.lit(0.0)).desc())
 
 

@@ -193,3 +193,20 @@ def mutual_info_binned(spark, sf):
     e = T.table(spark, sf, "embeddings")
     mi = MD.mutual_info_binned(MD.long_features(e, "embedding", "label"), MI_BINS)
     return mi.select(F.col("pos").cast("int").alias("pos"), rnd("mi", 9).alias("mi"))
+
+
+@register("mutual_info_quantile", sql=f"""
+with {EMB_LONG_SQL},
+b as (select pos, label, ((rank() over (partition by pos order by x) - 1) * {MI_BINS}) // count(*) over (partition by pos) as bin from l),
+j as (select pos, bin, label, count(*) as nbl from b group by all),
+pb as (select pos, bin, sum(nbl) as nb from j group by all),
+pl as (select pos, label, sum(nbl) as nl from j group by all),
+nn as (select pos, sum(nbl) as n from j group by pos)
+select j.pos, round(sum((nbl * 1.0e0 / n) * ln((nbl * n * 1.0e0) / (nb * nl))), 9) as mi
+from j join pb on j.pos = pb.pos and j.bin = pb.bin join pl on j.pos = pl.pos and j.label = pl.label
+       join nn on j.pos = nn.pos
+group by j.pos""")
+def mutual_info_quantile(spark, sf):
+    """Mutual information of every embedding dimension, in bins of equal row counts, with the label."""
+    mi = MD.mutual_info_quantile(MD.long_features(T.table(spark, sf, "embeddings"), "embedding", "label"), MI_BINS)
+    return mi.select(F.col("pos").cast("int").alias("pos"), rnd("mi", 9).alias("mi"))

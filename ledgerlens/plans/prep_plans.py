@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import prep
 from ledgerlens.plans.registry import CALIB, EMBARGO, SPLIT_SQL, TEST, TXN_SQL, register
-from ledgerlens.sources import tables as T
+from ledgerlens.session import scratch_path
+from ledgerlens.sources import io, tables as T
 
 TXN_COLS = ["txn_id", "step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig",
             "nameDest", "oldbalanceDest", "newbalanceDest", "isFraud"]
@@ -91,3 +92,36 @@ def split_counts(spark, sf):
 @register("split_audit", sql=f"with {SPLIT_SQL} select txn_id, step, split as window from split_txn")
 def split_audit(spark, sf):
     return split_txn(spark, sf).select("txn_id", "step", F.col("split").alias("window"))
+
+
+# ------------------------------------------------------------------ files with bad records
+
+#: Every so many transactions are written with text in a number, or cut short.
+TEXT_EVERY, CUT_EVERY = 97, 89
+_KIND_SQL = f"case when txn_id % {TEXT_EVERY} = 0 then 'text' when txn_id % {CUT_EVERY} = 0 then 'cut' end"
+
+
+@register("bad_records", sql=f"""
+with {TXN_SQL}, t as (select *, {_KIND_SQL} as kind from txn), f as (select unnest(['csv', 'json']) as format)
+select format, coalesce(kind, 'row') as kind, count(*) as n,
+       cast(case when kind is null then sum(cast(round(amount * 100) as bigint)) end as bigint) as cents
+from t, f group by format, kind""")
+def bad_records(spark, sf):
+    """All transactions as CSV and JSON lines, some of them damaged, read against the declared schema: rows, and bad records apart."""
+    t = T.txn(spark, sf).select("txn_id", "step", "type", "amount")
+    i = F.col("txn_id")
+    kind = F.when(i % TEXT_EVERY == 0, "text").when(i % CUT_EVERY == 0, "cut").otherwise("row")
+    amount = F.when(kind == "text", "n/a").otherwise(F.col("amount").cast("string"))
+    whole = {"csv": F.concat_ws(",", "txn_id", "step", "type", amount),
+             "json": F.when(kind == "text", F.to_json(F.struct("txn_id", "step", "type", F.lit("n/a").alias("amount")))).otherwise(F.to_json(F.struct("*")))}
+    short = {"csv": F.concat_ws(",", "txn_id", "step"), "json": F.substring_index(whole["json"], ",", 2)}
+    out = None
+    for fmt in whole:
+        path = scratch_path(spark, f"lines-{fmt}")
+        t.select(F.when(kind == "cut", short[fmt]).otherwise(whole[fmt]).alias("value")).write.text(path)
+        rows, bad = io.read_checked(spark, path, t.schema, fmt, header=False)
+        rows = rows.select(F.lit("row").alias("kind"), F.round(F.col("amount") * 100).cast("bigint").alias("cents"))
+        bad = bad.select(F.when(F.col("record").contains("n/a"), "text").otherwise("cut").alias("kind"), F.lit(None).cast("bigint").alias("cents"))
+        both = rows.union(bad).groupBy(F.lit(fmt).alias("format"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+        out = both if out is None else out.union(both)
+    return out

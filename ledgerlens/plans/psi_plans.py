@@ -7,12 +7,15 @@ variants so that canonicalisation matters. All rows of ``txn`` are used.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import crypto as C
 from ledgerlens.operators import psi
 from ledgerlens.plans.registry import TXN_SQL, register
-from ledgerlens.sources import tables as T
+from ledgerlens.session import scratch_path
+from ledgerlens.sources import io, tables as T
 
 # Fixed test secrets (literals for tests and oracles, never production keys).
 KEY = bytes(range(32))
@@ -71,7 +74,9 @@ def party_tokens(spark, sf):
 
 
 def intersection(spark, sf, tokens=None):
-    return psi.intersect(party_tokens(spark, sf) if tokens is None else tokens, psi.parties_of(psi_ids(spark, sf)))
+    if tokens is None:  # each id of a party is hashed once
+        tokens = psi.tokenize(psi_ids(spark, sf).select("party", "id").distinct(), "id", KEY, SALT, CANON, keep=["party"])
+    return psi.intersect(tokens, psi.parties_of(psi_ids(spark, sf)))
 
 
 @register("canonize_ids", sql=f"""
@@ -144,12 +149,15 @@ def psi_semi_filter(spark, sf):
     return psi.semi_filter(t, "nameOrig", inter, KEY, SALT, CANON)
 
 
-@register("positional_filter", sql=f"""
+POSITIONAL_SQL = f"""
 with {PSI_SQL},
 r as (select party, txn_id, row_number() over (partition by party order by txn_id) - 1 as row_idx from psi_ids),
 k as (select party, token, row_number() over (partition by party order by txn_id) - 1 as row_idx from tok)
 select r.party, r.txn_id, r.row_idx, k.token from r join k on r.party = k.party and r.row_idx = k.row_idx
-where k.token in (select token from inter)""")
+where k.token in (select token from inter)"""
+
+
+@register("positional_filter", sql=POSITIONAL_SQL)
 def positional_filter(spark, sf):
     """The rows of every party and its token list are aligned by position (row_idx)."""
     tok = party_tokens(spark, sf)
@@ -158,6 +166,24 @@ def positional_filter(spark, sf):
     return psi.positional_filter(rows, toks, intersection(spark, sf, tok), ["party"]).select("party", "txn_id", "row_idx", "token")
 
 
+@register("positional_filter_files", sql=POSITIONAL_SQL)
+def positional_filter_files(spark, sf):
+    """The same from files: the key from its document, every party's tokens from the ordered file it wrote, the intersection from text lines."""
+    root = scratch_path(spark, "psi")
+    io.write_key_document(spark, KEY, SALT, f"{root}/hmac_key.json")
+    key, salt = io.read_key_document(spark, f"{root}/hmac_key.json")
+    ids = psi_ids(spark, sf).select("party", "txn_id", "id")
+    tok = psi.with_row_idx(psi.tokenize(ids, "id", key, salt, CANON, keep=["party", "txn_id"]).select("party", "txn_id", "token"), "txn_id", ["party"])
+    parties = psi.parties_of(ids)
+    for p in parties:
+        io.write_tokens(tok.filter(F.col("party") == p), f"{root}/{p}", "row_idx")
+    read = [io.read_placed_tokens(spark, f"{root}/{p}").withColumn("party", F.lit(p)) for p in parties]
+    toks = reduce(lambda a, b: a.unionByName(b), read)
+    psi.intersect(toks, parties).select("token").write.text(f"{root}/inter.txt")
+    rows = psi.with_row_idx(ids.select("party", "txn_id"), "txn_id", ["party"])
+    return psi.positional_filter(rows, toks, io.read_tokens(spark, f"{root}/inter.txt"), ["party"]).select("party", "txn_id", "row_idx", "token")
+
+
 @register("checksum_rows", sql="""
 select doc_id, sha256(text) as sha256, cast(strlen(text) as bigint) as n_bytes from documents""")
 def checksum_rows(spark, sf):

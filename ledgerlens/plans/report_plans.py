@@ -21,30 +21,40 @@ FAMILIES = {
 }
 
 
+FIELDS = ["auprc", "roc_auc", "f1", "precision", "recall", "threshold"]
+
+
 def _family_sql(name: str, expr: str) -> str:
-    return f"select '{name}' as family, party, auprc, f1, threshold from ({_metric_sql(['party'], expr)}) x"
+    cols = ", ".join(FIELDS)
+    return f"""select 'single' as source, '{name}' as family, '{name}' as run, party, {cols}, 'test' as notes from ({_metric_sql(['party'], expr)}) x
+union all
+select 'fl_clients', '{name}', '{name}-clients', null, {cols}, 'micro aggregation of clients' from ({_metric_sql([], expr)}) x"""
 
 
 @register("scoreboard", sql="\nunion all\n".join(_family_sql(n, e[1]) for n, e in FAMILIES.items()))
 def scoreboard(spark, sf):
-    """Per-party metric records of each score family are written as JSON run
-    artefacts, discovered recursively, normalised and ranked."""
+    """Per-party metric records of each score family and a report of its clients (per-client list and micro metrics)
+    are written as JSON run artefacts, discovered recursively, normalised and ranked."""
     root = scratch_path(spark, "runs")
     base = T.party_txn(spark, sf)
+    names = {"auprc": "AUPRC", "roc_auc": "ROC_AUC", "f1": "F1", "threshold": "threshold_used"}
 
     def run(name, expr):
         s = base.select("party", F.col("isFraud").alias("y"), expr().alias("p"))
-        ev = M.evaluate(s, "y", "p", ["party"], tune_on_test=True, mode="eval")
-        rec = ev.select(F.lit(name).alias("family"), "party", F.col("auprc").alias("AUPRC"),
-                        F.col("f1").alias("F1"), F.col("threshold").alias("threshold_used"), "leakage")
-        write_json(rec, f"{root}/{name}")
+        per, micro = (M.evaluate(s, "y", "p", g, tune_on_test=True, mode="eval").withColumnsRenamed(names) for g in (["party"], []))
+        fields = [names.get(c, c) for c in FIELDS]
+        records = per.select(F.lit(name).alias("family"), "party", *fields, F.lit("test").alias("threshold_source"))
+        write_json(records, f"{root}/{name}")
+        clients = spark.read.json(f"{root}/{name}").groupBy("family").agg(F.collect_list(F.struct("party", "AUPRC")).alias("per_client"))
+        report = clients.join(micro.select(F.lit(name).alias("family"), F.struct(*fields).alias("micro")), "family")
+        write_json(report, f"{root}/{name}-clients")
 
     with ThreadPoolExecutor(max_workers=len(FAMILIES)) as pool:  # independent runs, concurrent jobs
         for f in [pool.submit(run, name, expr) for name, (expr, _) in FAMILIES.items()]:
             f.result()
     sb = RP.scoreboard(RP.load_metrics(spark, root, lines=True))
-    return sb.select("family", F.col("party").cast("int").alias("party"), rnd("auprc", 9).alias("auprc"), rnd("f1", 9).alias("f1"),
-                     rnd("threshold", 9).alias("threshold"))
+    return sb.select("source", "family", F.element_at(F.split("path", "/"), -2).alias("run"), F.col("party").cast("int").alias("party"),
+                     *[rnd(c, 9).alias(c) for c in FIELDS], "notes")
 
 
 @register("mi_probe", sql=f"""

@@ -1,4 +1,6 @@
 import numpy as np
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,18 @@ def test_variance_topk_and_mi(spark):
     assert top == [2]  # k = max(1, int(3 * 0.5)) = 1
     mi = {r["pos"]: r["mi"] for r in MD.mutual_info_binned(long, 2).collect()}
     assert mi[0] == pytest.approx(0.0) and mi[2] > mi[0]
+    by_rank = {r["pos"]: r["mi"] for r in MD.mutual_info_quantile(long, 3).collect()}
+    assert by_rank[0] == pytest.approx(0.0) and by_rank[2] == pytest.approx(mi[2])
+
+
+def test_quantile_information_ignores_the_scale(spark):
+    """Bins of equal row counts: a monotone change of a feature, an outlier too, changes nothing; the width form loses it."""
+    rows = [([float(i), 10.0 ** (i / 4), None if i % 9 == 0 else float(i)], int(i >= 20)) for i in range(40)]
+    long = MD.long_features(spark.createDataFrame(rows, "v array<double>, label int"), "v", "label")
+    mi = {r["pos"]: r["mi"] for r in MD.mutual_info_quantile(long, 4).collect()}
+    assert mi[0] == pytest.approx(mi[1]) == pytest.approx(math.log(2))
+    assert 0 < mi[2] <= math.log(2)
+    assert {r["pos"]: r["mi"] for r in MD.mutual_info_binned(long, 4).collect()}[1] < mi[1]
 
 
 def test_featurizer_pipeline_roundtrip(spark):

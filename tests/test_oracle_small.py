@@ -19,7 +19,8 @@ FAST = ["scan_txn", "numeric_coerce", "step_cutoffs", "step_split", "class_weigh
         "onehot_unseen", "stratified_split", "row_index", "hmac_tokens", "psi_intersect", "psi_counts",
         "positional_filter", "pr_curve", "best_f1_threshold", "best_f1_threshold_eval", "per_client_metrics",
         "macro_metrics", "rank_to_prob", "grad_sum", "fedavg_round", "dedup_updates", "round_summary",
-        "pair_salts", "masked_sum", "topk_features", "mutual_info_binned", "mi_probe"]
+        "pair_salts", "masked_sum", "topk_features", "mutual_info_binned", "mi_probe", "mutual_info_quantile", "bad_records",
+        "positional_filter_files", "psi_semi_filter", "scoreboard", "alpha_search"]
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,10 @@
+import base64
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.operators import report as RP
 from ledgerlens.session import scratch_path
@@ -87,6 +89,57 @@ def test_token_sources_and_sinks(spark):
     assert sorted(r[0] for r in io.read_tokens(spark, f"{base}/out/tokens.parquet").collect()) == ["a", "b"]
 
 
+def test_key_documents_and_ordered_tokens(spark, tmp_path):
+    with open(f"{tmp_path}/key.json", "w") as f:  # as its owner wrote it, indented
+        json.dump({"k": base64.b64encode(bytes(range(32))).decode(), "salt": base64.b64encode(b"salty").decode()}, f, indent=2)
+    assert io.read_key_document(spark, f"{tmp_path}/key.json") == (bytes(range(32)), b"salty")
+    io.write_key_document(spark, b"k" * 32, b"", f"{tmp_path}/own.json")
+    assert io.read_key_document(spark, f"{tmp_path}/own.json") == (b"k" * 32, b"")
+    with open(f"{tmp_path}/none.json", "w") as f:
+        f.write("{}")
+    with pytest.raises(ValueError, match="key document"):
+        io.read_key_document(spark, f"{tmp_path}/none.json")
+    rows = spark.createDataFrame([(f"t{i * 7 % 40}", i) for i in range(40)] + [("t0", 40)], "token string, row_idx long").repartition(5)
+    io.write_tokens(rows, f"{tmp_path}/out", "row_idx")
+    assert sorted((r["row_idx"], r["token"]) for r in io.read_placed_tokens(spark, f"{tmp_path}/out").collect()) == sorted((r["row_idx"], r["token"]) for r in rows.collect())
+    lines = [x for p in sorted((tmp_path / "out/tokens.txt").glob("part-*")) for x in p.read_text().split()]
+    assert lines == [f"t{i * 7 % 40}" for i in range(40)] + ["t0"]
+
+
+def test_bad_records_are_kept_apart(spark, tmp_path):
+    schema = "id long, x double, s string"
+    want = T._parse_datatype_string(schema)
+    (tmp_path / "a.csv").write_text("id,x,s\n1,0.5,a\n2,oops,b\n3\n4,,\n5,1.5,c,more\n")
+    good, bad = io.read_checked(spark, str(tmp_path / "a.csv"), want)
+    assert good.columns == ["id", "x", "s"]
+    assert sorted(tuple(r) for r in good.collect()) == [(1, 0.5, "a"), (4, None, None)]
+    assert sorted(r["record"] for r in bad.collect()) == ["2,oops,b", "3", "5,1.5,c,more"]
+    assert bad.first()["source_path"].endswith("a.csv")
+    (tmp_path / "a.json").write_text('{"id":1,"x":0.5}\n{"id":2,"x":"oops"}\n{"id":3,\nnot json\n')
+    good, bad = io.read_checked(spark, str(tmp_path / "a.json"), want, "json")
+    assert [tuple(r) for r in good.collect()] == [(1, 0.5, None)] and bad.count() == 3
+    (tmp_path / "empty.csv").write_text("id,x,s\n")
+    good, bad = io.read_checked(spark, str(tmp_path / "empty.csv"), want)
+    assert good.count() == 0 == bad.count()
+    with pytest.raises(ValueError):
+        io.read_checked(spark, "x", want, "parquet")
+
+
+def test_scoreboard_takes_micro_metrics_of_client_reports(spark, tmp_path):
+    flat = {"model": "lr", "AUPRC": .3, "ROC_AUC": .6, "F1": .4, "precision": .5, "recall": .3, "threshold_used": .2, "threshold_source": "cal"}
+    report = {"family": "lr", "per_client": [{"client": "a", "AUPRC": .9}], "micro": {"AUPRC": .5, "F1": .7, "threshold_used": .1}, "F1": .99}
+    half = {"AUPRC": .1, "micro": {"AUPRC": .8}}  # no clients: its own metrics count
+    for name, doc in {"a": flat, "b": report, "c": half}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metrics.json").write_text(json.dumps(doc, indent=1))
+    got = [r.asDict() for r in RP.scoreboard(RP.load_metrics(spark, str(tmp_path))).collect()]
+    assert [r.pop("path").split("/")[-2] for r in got] == ["b", "a", "c"]
+    none = dict.fromkeys(["roc_auc", "precision", "recall", "f1", "threshold", "notes"])
+    assert got == [none | {"source": "fl_clients", "family": "lr", "auprc": .5, "f1": .7, "threshold": .1, "notes": "micro aggregation of clients"},
+                   {"source": "single", "family": "lr", "auprc": .3, "roc_auc": .6, "f1": .4, "precision": .5, "recall": .3, "threshold": .2, "notes": "cal"},
+                   none | {"source": "single", "family": "unknown", "auprc": .1}]
+
+
 def test_report_jobs(spark):
     root = scratch_path(spark, "run")
     for rel, obj in [("a/metrics.json", {"model": "lr", "AUPRC": 0.3, "threshold_used": 0.4}),
