@@ -175,6 +175,27 @@ def test_passages(spark):
     assert passages.shared_passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    """Both texts of an id count, whichever of them holds the passage; the texts of one id may share one, too."""
+    rng = random.Random(11)
+    rows, holders = [], {}
+    for i in range(12):
+        shared = words(rng, 60, f"s{i}x")
+        own, other = words(rng, 40) + shared + words(rng, 10), words(rng, 120, f"o{i}x")
+        rows += [(i, " ".join(t)) for t in ((own, other) if i % 2 else (other, own))] + [(100 + i, " ".join(words(rng, 7) + shared))]
+        holders[i] = (40, 100)
+    both = words(rng, 55, "b")
+    rows += [(50, " ".join(both + words(rng, 30))), (50, " ".join(words(rng, 30) + both)), (51, " ".join(words(rng, 80))), (51, None)]
+    rows += [(52, rows[0][1]), (52, " ".join(words(rng, 70, "z")))]  # one of its texts is the first text of id 0
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, (start, end) in holders.items():
+        found = {x for r in got if r["id"] == i and r["other"] == 100 + i for x in range(r["start"], r["end"])}
+        found |= {x for r in got if r["other"] == i and r["id"] == 100 + i for x in range(r["other_start"], r["other_end"])}
+        assert found >= set(range(start, end)), i
+    assert any(r["id"] == r["other"] == 50 for r in got) and not [r for r in got if 51 in (r["id"], r["other"])]
+    assert [(r["other"], r["identity"]) for r in got if r["id"] == 52] == [(0, 1.0)]
+
+
 def test_chains_against_all_chains():
     rng = random.Random(4)
     for _ in range(60):
