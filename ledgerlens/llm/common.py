@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import scratch_path
+from ledgerlens.session import checkpoint_root, scratch_path
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 WHITE = " \t\n\x0b\x0c\r"
@@ -22,6 +22,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the scratch tables that these read, which nothing needs any more, and has Spark remove the shuffle files of finished steps.
+
+    Spark removes those when the driver's collector meets their plans, by default each half hour; a job of many steps asks for
+    it between them. Files outside the scratch folder stay.
+    """
+    spark = tables[0].sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    root = path_of(checkpoint_root(spark)).toUri().getPath()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = path_of(folder)
+        if path.toUri().getPath().startswith(f"{root}/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

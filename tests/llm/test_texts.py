@@ -208,6 +208,45 @@ def test_chains_against_all_chains():
         assert all(a < c and b < d for (a, b), (c, d) in zip(chain, chain[1:])) and abs(score - max(best.values())) < 1e-9
 
 
+def test_ordered_matches_chain_like_any_others():
+    """A list without a match out of order takes the plain way, with a far one the tree's; both give the same chains."""
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        m = list(zip(sorted(rng.sample(range(400), n)), sorted(rng.sample(range(400), n)), strict=True))
+        far = [(10 ** 6, 10 ** 6 + 1), (10 ** 6 + 1, 10 ** 6)]
+        assert [c for c in passages.chains(m + far) if c[0] not in far] == passages.chains(m)
+
+
+def test_tiles_cover_the_runs():
+    rng = random.Random(8)
+    for _ in range(200):
+        runs = [(rng.randrange(-3, 3), rng.randrange(60), rng.choice([4, 4, 4, 9, 46])) for _ in range(rng.randrange(1, 8))]
+        words_of_runs = {(x, x - d) for d, at, n in runs for x in range(at, at + n)}
+        assert {(x + i, y + i) for x, y in passages.tiles(runs) for i in range(passages.K)} == words_of_runs
+
+
+def test_marks_keep_every_passage():
+    rng = random.Random(9)
+    for size in (50, 60, 200, 3000):
+        shared = [w.encode() for w in words(rng, size)]
+        edited = [b"changed%d" % k if k % 5 == 2 else w for k, w in enumerate(shared)]
+        a, b = ([w.encode() for w in words(rng, 30)] + x + [w.encode() for w in words(rng, 40)] for x in (shared, edited))
+        assert passages.may_share(a, passages.mark_of(b), 50, 0.8) and passages.may_share(b, passages.mark_of(a), 50, 0.8)
+    chance = sum(passages.may_share([w.encode() for w in words(rng, 140)], passages.mark_of([w.encode() for w in words(rng, 140)]), 50, 0.8) for _ in range(200))
+    assert not chance and not passages.may_share([b"x"] * 49, passages.mark_of([b"x"]), 50, 0.8) and not passages.may_share([], passages.mark_of([]), 50, 0.8)
+
+
+def test_minimizers_against_all_windows():
+    rng = random.Random(7)
+    for _ in range(100):
+        h = passages.word_hashes([b"%d" % rng.randrange(6) for _ in range(rng.randrange(0, 40))])
+        mers, at = passages.minimizers(h)
+        every = [passages.minimizers(h[x:x + passages.K])[0][0] for x in range(len(h) - passages.K + 1)]
+        least = {min(range(x, min(x + passages.W, len(every))), key=lambda y: (int(every[y]) % 2 ** 64, y)) for x in range(max(1, len(every) - passages.W + 1))} if every else set()
+        assert at.tolist() == sorted(least) and mers.tolist() == [every[x] for x in at]
+
+
 def test_passages_of_common_lines(spark):
     rng = random.Random(5)
     lines = [words(rng, 18, f"l{k}x") for k in range(30)]
@@ -236,7 +275,7 @@ def test_two_passages_in_one_chain(size, gap):
 
 
 def seeds_of_pair(a, b):
-    (ha, pa), (hb, pb) = passages.minimizers(a), passages.minimizers(b)
+    (ha, pa), (hb, pb) = (passages.minimizers(passages.word_hashes(w)) for w in (a, b))
     return [(int(x), int(y)) for h, x in zip(ha, pa) for y in pb[hb == h]]
 
 
