@@ -33,12 +33,18 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 
-#: Two-letter country codes and lengths of common bank account numbers.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27,
-                "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Two-letter country codes and lengths of their bank account numbers.
+IBAN_LENGTHS = {"AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+                "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27,
+                "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20,
+                "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29,
+                "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24,
+                "XK": 20}
+#: length -> its account numbers, single spaces allowed
+_ACCOUNT = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in {*IBAN_LENGTHS.values()}}
 #: kind -> (pattern, score of the pattern alone, context words)
 MORE = {
-    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0.3,
+    "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])"), 0.3,
              {"iban", "account", "bank", "konto", "cuenta", "compte"}),
     "national_id": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.3, {"ssn", "social", "security", "tax", "id"}),
     "local_phone": (re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"), 0.3,
@@ -95,17 +101,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def accounts(text: str) -> Iterator[re.Match]:
+    """Bank account numbers by their country's length, so that a word in capitals behind one isn't taken for its end; a number doesn't overlap the one before."""
+    free = 0
+    for head in MORE["iban"][0].finditer(text):
+        pattern = _ACCOUNT.get(IBAN_LENGTHS.get(head[0][:2]))
+        m = pattern.match(text, head.start()) if pattern and head.start() >= free else None
+        if m and mod97(m[0].replace(" ", "")):
+            free = m.end()
+            yield m
+
+
 def more_spans(text: str) -> list[tuple[str, int, int, float]]:
     """Spans of the further kinds with their scores, those below ``KEEP`` left out."""
     out = []
     for kind, (pattern, score, context) in MORE.items():
-        for m in pattern.finditer(text):
-            s = score
-            if kind == "iban":
-                account = m[0].replace(" ", "")
-                if IBAN_LENGTHS.get(account[:2], len(account)) != len(account) or not mod97(account):
-                    continue
-                s += CONFIRMED
+        for m in accounts(text) if kind == "iban" else pattern.finditer(text):
+            s = score + CONFIRMED * (kind == "iban")  # an account's check has passed
             near = text[max(0, m.start() - REACH):m.start()] + " " + text[m.end():m.end() + REACH]
             if context and not context.isdisjoint(w.lower() for w in _WORD.findall(near)):
                 s += NEARBY

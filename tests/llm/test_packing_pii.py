@@ -172,3 +172,11 @@ def test_find_and_redact(spark):
     assert clean == {"mail <EMAIL> now", None, "", "<IP>", "é <EMAIL> <PHONE>"}
     assert pii.find_pii(df.limit(0)).count() == 0
     assert pii.redact("abcdef", [("x", 0, 3), ("y", 1, 5)]) == "<X>f"
+
+
+@pytest.mark.parametrize("text,account", [
+    ("IBAN BE68 5390 0754 7034 BIC GKCCBEBB", "BE68 5390 0754 7034"), ("account ES9121000418450200051332 CVC 123", "ES9121000418450200051332"),
+    ("pay to AT611904300234573201 BANK AG today", "AT611904300234573201"), ("DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"),
+    ("DE89 3704 0044 0532 0130 01 bank", None), ("DE8937040044053201300077", None), ("ZZ89 3704 0044 0532 0130 00 bank", None)])
+def test_accounts_end_by_their_country(text, account):
+    assert [text[s:e] for k, s, e, _ in pii.more_spans(text) if k == "iban"] == ([account] if account else [])
