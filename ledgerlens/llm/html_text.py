@@ -39,6 +39,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select"})}
 INLINE = frozenset("a abbr b big cite code del em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+#: Of the raw elements those that end at once where their end tag is missing, so that they don't take the rest of the page.
+SHUT = frozenset("svg math select option datalist canvas object audio video".split())
 #: Words in class, id or role that name what isn't the article.
 HINTS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies
 copyright disqus disclaimer discussion feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager
@@ -85,7 +87,7 @@ def _left_out(name: str, attrs: str) -> tuple[bool, bool]:
 def parse(page: str) -> Node:
     """The tree of a page: items of a node are strings and nodes, in order; ``out`` marks subtrees to leave out."""
     root = here = Node("html", None, False)
-    at, depth = 0, {}
+    at, depth, endless = 0, {}, set()
 
     def close(names: set | frozenset, stops: set | frozenset) -> None:
         """Closes up to the innermost open element of these names, if none of the stops is nearer."""
@@ -141,7 +143,10 @@ def parse(page: str) -> Node:
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*>?", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*>?", re.I).search(page, at)
+            if end is None and name in SHUT:
+                endless.add(name)  # no later one has an end either
+                continue
             node.items.append(page[at:end.start() if end else len(page)])
             at = end.end() if end else len(page)
             continue
