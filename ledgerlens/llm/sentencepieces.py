@@ -8,7 +8,10 @@ substrings probe the sorted hashes of the pieces of that length; a hit is compar
 character by character, so results are exact. A vectorised maximum over the pieces
 that end at a place keeps score and backpointer. Of equal scores the longer piece wins.
 Characters that no piece holds become byte pieces. Words met before come from a memory
-of bounded size.
+of bounded size. A long word (a text without spaces, however long) is probed at all its places
+at once for each piece length and cut wherever no piece that it holds crosses, which changes no
+segmentation; the cuts are words like any others, and one that is still long takes its maxima
+place by place over the pieces found in it.
 
 Decoding is exact: decode(encode(t)) == t for every text. A null text gives null ids
 and null back, an empty text no ids. Repeated rows, null ids of rows and extra columns
@@ -30,6 +33,8 @@ SPACE, LITERAL = 0x2581, 0x110000  # the piece character for a space; a code for
 BASE = np.uint64(0x100000001B3)
 #: Words remembered by a task, most characters of one array of words, and the score of a character that needs bytes.
 MEMORY, CELLS, UNKNOWN = 500_000, 1 << 19, -10.0
+#: Characters of a word that is cut, or goes alone.
+LONG = 64
 #: Leading bits of a hash by which pieces are marked.
 MARKS = 18
 _WORD = re.compile(" *[^ ]+| +")
@@ -128,6 +133,64 @@ def viterbi(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return grid[real], real.sum(axis=1)
 
 
+def found_pieces(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, sizes, ids, scores) of all pieces in one word, by end, then size."""
+    n = len(codes)
+    power, prefix = np.full(n + 1, BASE, np.uint64), np.zeros(n + 1, np.uint64)
+    power[0] = 1
+    power = power.cumprod()
+    inverse = np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64).cumprod()
+    prefix[1:] = (codes.astype(np.uint64) * inverse).cumsum() * power[1:]  # as prefix_hashes, without its loop
+    out = []
+    for size, (h, letters, ids, scores, marks) in pieces.table.items():
+        if size > n:
+            continue
+        mine = prefix[size:] - prefix[:-size] * power[size]
+        at = np.nonzero(marks[mine >> np.uint64(64 - MARKS)])[0]
+        which = np.minimum(np.searchsorted(h, mine[at]), len(h) - 1)
+        same = h[which] == mine[at]
+        at, which = at[same], which[same]
+        same = np.ones(len(at), bool)
+        for j in range(size):
+            same &= letters[j, which] == codes[at + j]
+        at, which = at[same], which[same]
+        out.append((at + size, np.full(len(at), size), ids[which], scores[which]))
+    ends, sizes, ids, scores = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*out) if out else [()] * 4))
+    order = np.lexsort((sizes, ends))
+    return ends[order], sizes[order], ids[order], scores[order]
+
+
+def cuts(word: str, pieces: Pieces) -> list[str]:
+    """The parts of a word between the places that no piece in it crosses."""
+    ends, sizes, _, _ = found_pieces(codes_of([word])[:, 0], pieces)
+    crossed = np.zeros(len(word) + 1, np.int64)
+    np.add.at(crossed, ends - sizes + 1, 1)
+    np.subtract.at(crossed, ends, 1)
+    at = [*np.nonzero(crossed[:len(word)].cumsum()[1:] == 0)[0] + 1, len(word)]
+    return [word[lo:hi] for lo, hi in zip([0, *at], at)]
+
+
+def viterbi_alone(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """The ids that ``viterbi`` gives, for one long word, over the pieces found in it."""
+    codes, n = codes[:, 0], len(codes)
+    ends, sizes, ids, scores = found_pieces(codes, pieces)
+    first = np.searchsorted(ends, np.arange(n + 2)).tolist()
+    sizes, ids, scores = sizes.tolist(), ids.tolist(), scores.tolist()
+    best, start, via = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for end in range(1, n + 1):
+        top, size, piece = best[end - 1] + pieces.unknown, 1, None
+        for x in range(first[end], first[end + 1]):
+            score = best[end - sizes[x]] + scores[x]
+            if score >= top:
+                top, size, piece = score, sizes[x], ids[x]
+        best[end], start[end], via[end] = top, end - size, -1 - int(codes[end - 1]) if piece is None else piece
+    out, at = [], n
+    while at:
+        out.append(via[at])
+        at = start[at]
+    return np.array(out[::-1], np.int64)
+
+
 class Codec:
     """Encodes and decodes texts; remembers words."""
 
@@ -147,7 +210,11 @@ class Codec:
             step = max(1, CELLS // n)
             for at in range(0, len(group), step):
                 some = group[at:at + step]
-                ids, counts = viterbi(codes_of(some), self.pieces)
+                if n > LONG:
+                    alone = [viterbi_alone(codes_of([w]), self.pieces) for w in some]
+                    ids, counts = np.concatenate(alone), np.array([len(x) for x in alone])
+                else:
+                    ids, counts = viterbi(codes_of(some), self.pieces)
                 ends = np.cumsum(counts)
                 odd = set((np.searchsorted(ends, np.nonzero(ids < 0)[0], "right")).tolist())
                 raw = np.maximum(ids, 0).astype("<u4").tobytes()
@@ -163,6 +230,8 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         cut = [_WORD.findall(" " + t) if t else [] for t in texts]
+        if any(len(w) > LONG for c in cut for w in c):
+            cut = [[x for w in c for x in (cuts(w, self.pieces) if len(w) > LONG else (w,))] for c in cut]
         new = set().union(*cut).difference(self.memory)
         if len(self.memory) + len(new) > MEMORY:
             self.memory.clear()

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -51,6 +52,14 @@ def test_long_pages_take_linear_time():
         html_text.main_text(x)
 
 
+@pytest.mark.parametrize("name", sorted(html_text.SHUT))
+def test_unclosed_elements_leave_the_rest(name):
+    words = " ".join(f"word{k}" for k in range(60))
+    assert html_text.main_text(page(f"<article><p>{words}</p><{name} src=x><p>{words} end</p></article>")) == f"{words}\n\n{words} end"
+    assert html_text.main_text(page(f"<article><p>{words}</p><{name}>no</{name}><p>{words} end</p></article>")) == f"{words}\n\n{words} end"
+    html_text.main_text(f"<{name}>" * 50000)
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", page(ARTICLE), "x"), (2, None, None, "x"), (None, "v", "", None), (1, "u", page(ARTICLE), "x")], "page_id long, url string, html string, text string")
     got = html_text.extract(df)
@@ -92,6 +101,26 @@ def test_viterbi_and_round_trip(spark):
     assert sentencepieces.encode(df.limit(0)).count() == 0 and sentencepieces.token_report(df.limit(0)).count() == 0
 
 
+def test_long_words_are_cut_without_a_change():
+    codec, rng = sentencepieces.public_codec(), random.Random(10)
+    longs = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "日本語中国人大学生的是不", "aé▁🎉x-/=", "A9+/zQ") for n in (65, 200, 700)] + ["a" * 300, " " * 150, "x" + " " * 90]
+    for w in longs:
+        ids = sentencepieces.viterbi(sentencepieces.codes_of([w]), codec.pieces)[0].tolist()
+        assert sentencepieces.viterbi_alone(sentencepieces.codes_of([w]), codec.pieces).tolist() == ids
+        parts = sentencepieces.cuts(w, codec.pieces)
+        assert "".join(parts) == w and all(parts)
+        assert [i for p in parts for i in sentencepieces.viterbi(sentencepieces.codes_of([p]), codec.pieces)[0].tolist()] == ids
+    assert [codec.decode(x) for x in codec.encode(longs)] == longs
+
+
+@pytest.mark.parametrize("letters", ["日本語中国人大学生的是不我有他这", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "a"])
+def test_very_long_texts_without_spaces(letters):
+    codec, text = sentencepieces.public_codec(), "".join(random.Random(12).choices(letters, k=300_000))
+    began = time.time()
+    assert codec.decode(codec.encode([text])[0]) == text
+    assert time.time() - began < 30
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(sentencepieces, "MEMORY", 50)
     codec = sentencepieces.public_codec()
