@@ -15,7 +15,7 @@ place by place over the pieces found in it.
 
 Decoding is exact: decode(encode(t)) == t for every text. A null text gives null ids
 and null back, an empty text no ids. Repeated rows, null ids of rows and extra columns
-make no difference.
+make no difference. An empty table gives an empty result.
 """
 
 from __future__ import annotations
