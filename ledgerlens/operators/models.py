@@ -31,12 +31,25 @@ FAMILIES = ("lr", "rf", "gbt", "iforest")
 # The reference grows unlimited trees; 30 is the most that Spark allows.
 RF_MAX_DEPTH = 30
 MAX_PARTIES = 1_000
+#: Rows that a task of tree training has at least and at most, if there are so many.
+TASK_ROWS, MOST_ROWS = 10_000, 250_000
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows in equal parts, at least one for every core; fewer than two tasks' rows stay as they are.
+
+    Every level of every tree waits for its largest part, and the few MB that hold many rows are read in few parts of unlike sizes.
+    """
+    rows = df.count()
+    if rows < 2 * TASK_ROWS:
+        return df
+    return df.repartition(min(rows // TASK_ROWS, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // MOST_ROWS))))
+
+
 def build(family: str, label: str = "y", weight: str | None = None, n_rows: int = 1, seed: int = 42,
           n_trees: int = 400, validation_col: str | None = None):
     extra = {"weightCol": weight} if weight else {}
@@ -157,9 +170,11 @@ def fit(train: DataFrame, features: Sequence[str], family: str, label: str = "y"
         return Fitted(family, features, IF.fit(train, list(features), n_trees=n_trees, seed=seed, key=id_col),
                       id_col)
     tr = assemble(train, features)
-    if family == "rf":  # read by every batch of trees, so written once
-        rows = TR.stored(tr.select("features", label, *([weight] if weight else [])), "forest-rows")
-        return Fitted(family, features, TR.grow(rows, lambda n, k: build("rf", label, weight, seed=seed + k, n_trees=n), n_trees), id_col)
+    if family != "lr":
+        tr = tr.select("features", label, *(c for c in (weight, validation_col) if c))
+        tr = dealt(TR.stored(tr, "forest-rows") if family == "rf" else tr)  # a forest's rows are read by every batch of trees, so written once
+    if family == "rf":
+        return Fitted(family, features, TR.grow(tr, lambda n, k: build("rf", label, weight, seed=seed + k, n_trees=n), n_trees), id_col)
     n = (n_rows if n_rows is not None else train.count()) if family == "lr" else 1
     return Fitted(family, features, build(family, label, weight, n, seed, n_trees, validation_col).fit(tr), id_col)
 

@@ -140,3 +140,29 @@ def test_forests_and_regression_go_as_far_as_the_reference(spark):
     from ledgerlens.operators import models
 
     assert models.build("rf").getMaxDepth() == 30 and models.build("lr").getMaxIter() == 1000
+
+
+@pytest.mark.parametrize("family", ["rf", "rf_shallow", "gbt"])
+def test_tree_training_has_equal_parts_for_every_core(spark, family, monkeypatch):
+    """Rows that are read in one part train in parts of one size, one for every core; few rows stay together."""
+    got = []
+
+    class Estimator:
+        def fit(self, df):
+            got.append([len(part) for part in df.rdd.glom().collect()])
+            raise InterruptedError
+
+    df = spark.range(403).selectExpr("id as txn_id", "cast(id % 2 as int) as y", "cast(id as double) as a", "1.0d as weight").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(MD, "build", lambda *args, **named: Estimator())
+    monkeypatch.setattr(MD, "TASK_ROWS", 20)
+    for most in (1000, 50):
+        monkeypatch.setattr(MD, "MOST_ROWS", most)
+        with pytest.raises(InterruptedError):
+            MD.fit(df, ["a"], family, weight="weight", n_trees=1)
+    assert len(got[0]) == min(20, cores) and len(got[1]) == min(20, max(cores, 9))
+    assert all(sum(sizes) == 403 and max(sizes) - min(sizes) <= 1 for sizes in got)
+    monkeypatch.setattr(MD, "TASK_ROWS", 300)
+    with pytest.raises(InterruptedError):
+        MD.fit(df, ["a"], family, weight="weight", n_trees=1)
+    assert got[2] == [403]
