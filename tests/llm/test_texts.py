@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from ledgerlens.llm import html_text, licenses, passages, sentencepieces
@@ -293,6 +294,43 @@ def test_passages_of_common_lines(spark):
     assert {80.1, 80.9} <= {r["id"] for r in got}
 
 
+def test_edited_passages_of_common_seeds(spark):
+    """Documents in the middle share a passage of common lines with a word changed after each, which no first or last holder of a line has."""
+    rng = random.Random(15)
+    docs = {}
+    for p in range(4):
+        lines = [words(rng, 9, f"l{p}x{k}x") for k in range(7)]
+        for k, line in enumerate(lines):  # the first and last holders of every line
+            docs |= {f"a{p}{k}{e}": words(rng, 60) + line + words(rng, 60) for e in range(3)} | {f"z{p}{k}{e}": words(rng, 60) + line + words(rng, 60) for e in range(3)}
+        docs |= {f"m{p}{e}": words(rng, 20) + [w for line in lines for w in line + words(rng, 1)] + words(rng, 20) for e in range(3)}
+    # one word over and over, of which the first document has few
+    docs |= {"a": words(rng, 60) + ["x"] * 10, "r1": words(rng, 60) + ["x"] * 230 + words(rng, 60), "r2": words(rng, 70) + ["x"] * 200 + words(rng, 60), "r3": words(rng, 90, "n")}
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id string, text string")).collect()
+    linked = {(r["id"], r["other"]) for r in got}
+    assert linked >= {(f"m{p}{d}", f"m{p}{e}") for p in range(4) for d in range(3) for e in range(3) if d != e and 0 in (d, e)}
+    assert all(i[0] == j[0] in "mr" and (j, i) in linked for i, j in linked)
+    assert {x for r in got if (r["id"], r["other"]) == ("r2", "r1") for x in range(r["start"], r["end"])} == set(range(70, 270))
+
+
+def test_near_windows_keep_every_passage():
+    rng = random.Random(16)
+    pool = words(rng, 12)
+    windows = []
+    for _ in range(12):
+        base = [rng.choice(pool) if rng.random() < 0.5 else w for w in words(rng, 110)]
+        windows += [base[:104], [w if rng.random() < 0.85 else "other" for w in base[:104]], [w for w in base if rng.random() < 0.9][:104], words(rng, 30) + base[:60] + words(rng, 14), base[:40] + words(rng, 64)]
+    rows = [[w.encode() for w in x] for x in windows]
+    packed = [(passages.word_hashes(w) >> np.uint64(48)).astype(np.uint16).tobytes() for w in rows]
+    near = set(passages.near_windows(packed, packed, 50, 0.8, lambda i, j: i >= j))
+    found = 0
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if any(True for _ in passages.parts(passages.align(rows[i], rows[j], [(0, 0)], 0), 50, 0.8)):
+                found += 1
+                assert (i, j) in near
+    assert found >= 20 and len(near) <= 120
+
+
 @pytest.mark.parametrize("size,gap", [(60, 40), (60, 60), (80, 60), (150, 80), (400, 300)])
 def test_two_passages_in_one_chain(size, gap):
     rng = random.Random(size + gap)
