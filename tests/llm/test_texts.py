@@ -356,3 +356,45 @@ def test_passages_with_edits(size, every, least):
         lists = [passages.passages_of(a, b, c, 50, 0.8) for c in passages.chains(seeds_of_pair(a, b))]
         found += any(x[0] < 90 + size and x[1] > 90 for got in lists for x in got)
     assert found >= least * 100
+
+
+def test_alignments_at_once_are_those_one_by_one():
+    rng = random.Random(21)
+    pieces = []
+    for _ in range(300):
+        pool = list(range(rng.choice([2, 5, 40])))
+        a = [rng.choice(pool) for _ in range(rng.randrange(1, 70))]
+        b = [w if rng.random() < 0.8 else rng.choice([-1, *pool]) for w in a if rng.random() < 0.9] or [-1]
+        pieces.append((np.array(a, np.int32), np.array(b, np.int32), rng.random() < 0.5))
+    assert passages._aligned_many(pieces) == [passages._aligned(a.tolist(), b.tolist(), free) for a, b, free in pieces]
+
+
+def test_shared_bits_against_plain_sums():
+    rng = np.random.default_rng(22)
+    for n, m in ((1, 1), (3, 64), (20, 65), (40, 130)):
+        a, b = (rng.random((k, passages.MARK_BITS)) < rng.choice([0, 0.02, 0.3], (k, 1)) for k in (n, m))
+        assert (passages._shared_bits(*passages._places_and_columns(a, b), m) == a.astype(int) @ b.T.astype(int)).all()
+
+
+def test_windows_of_a_common_seed_move_in_few_copies(spark):
+    """A line that 2,500 documents hold is compared within one block: of its windows none moves to a second one."""
+    rng = random.Random(23)
+    line = words(rng, 12, "l")
+    docs = [(i, " ".join(words(rng, 40) + line + words(rng, 40))) for i in range(2500)]
+    both = words(rng, 30, "b") + line + words(rng, 20, "e")
+    docs += [(i, " ".join(words(rng, 9) + both + words(rng, 9))) for i in (1000.2, 2000.4)]
+    copies, real = [], passages.map_rows
+
+    def counted(df, make, schema, *args, **kw):
+        if schema.startswith("h bigint, key"):
+            copies.append(df.selectExpr("sum(size(key) + size(b_key))", "count(distinct h)").first())
+        return real(df, make, schema, *args, **kw)
+
+    passages.map_rows = counted
+    try:
+        got = passages.shared_passages(spark.createDataFrame([(float(i), t) for i, t in docs], "doc_id double, text string")).collect()
+    finally:
+        passages.map_rows = real
+    assert {(r["id"], r["other"]) for r in got} >= {(1000.2, 2000.4), (2000.4, 1000.2)}
+    moved, seeds = copies[0]
+    assert moved <= 2 * 2502 * seeds
