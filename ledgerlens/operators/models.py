@@ -1,8 +1,8 @@
 """Model training and scoring with ``pyspark.ml``, plus feature ranking.
 
 Families (reference → Spark): logistic regression (L2, weighted) →
-``LogisticRegression``; random forest → ``RandomForestClassifier``; histogram
-gradient boosting → ``GBTClassifier`` with validation-based early stopping;
+``LogisticRegression``; random forest → ``trees.Forest``, a ``RandomForestClassifier`` whose trees grow
+in tasks; histogram gradient boosting → ``GBTClassifier`` with validation-based early stopping;
 isolation forest → :mod:`ledgerlens.operators.iforest`. Per-party ("federated")
 ensembles train one model per party and average their probabilities.
 """
@@ -12,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,7 @@ from ledgerlens.operators.ranking import running_sums
 from ledgerlens.session import scratch_path
 
 FAMILIES = ("lr", "rf", "gbt", "iforest")
+FORESTS = ("rf", "rf_shallow")
 # The reference grows unlimited trees; 30 is the most that Spark allows.
 RF_MAX_DEPTH = 30
 MAX_PARTIES = 1_000
@@ -58,13 +59,12 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
         return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n_rows, 1),
                                   elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-4, **extra)
     if family == "rf":
-        # cached node ids: no job ships the trees grown so far to its tasks
-        return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH,
-                                      maxMemoryInMB=1024, cacheNodeIds=True, featureSubsetStrategy="sqrt", seed=seed, **extra)
+        # cached node ids, where Spark's own forest grows the trees: no job ships the trees grown so far to its tasks
+        return TR.Forest(featuresCol="features", labelCol=label, numTrees=n_trees, minInstancesPerNode=2, maxDepth=RF_MAX_DEPTH,
+                         maxMemoryInMB=1024, cacheNodeIds=True, featureSubsetStrategy="sqrt", seed=seed, **extra)
     if family == "rf_shallow":  # the blend's forest: 600 trees, depth 8, min leaf 4
-        return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
-                                      minInstancesPerNode=4, maxDepth=8, maxMemoryInMB=1024,
-                                      featureSubsetStrategy="sqrt", seed=seed, **extra)
+        return TR.Forest(featuresCol="features", labelCol=label, numTrees=n_trees, minInstancesPerNode=4, maxDepth=8,
+                         maxMemoryInMB=1024, featureSubsetStrategy="sqrt", seed=seed, **extra)
     if family == "gbt":
         if validation_col:
             extra["validationIndicatorCol"] = validation_col
@@ -76,7 +76,7 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
 class Fitted:
     """A fitted model of any family; ``score`` adds ``p_hat`` to a frame.
 
-    ``model`` is a ``pyspark.ml`` model, the node table of a forest (``rf``), a forest of
+    ``model`` is a ``pyspark.ml`` model, the node table of a forest (``FORESTS``), a forest of
     isolation trees, a list of coefficients (``theta``), (boosting, forest, α) of a blend, or
     (share, model) pairs of an ``ensemble``.
     """
@@ -104,8 +104,8 @@ class Fitted:
             for share, m in self.model:
                 s = m.score(s).withColumn("_p_all", F.col("_p_all") + F.lit(share) * F.col("p_hat")).drop("p_hat")
             return s.withColumnRenamed("_p_all", "p_hat")
-        if self.family == "rf":
-            return df.withColumn("p_hat", TR.probability(self.model, self.features))
+        if self.family in FORESTS:
+            return TR.scored(df, self.model, self.features)
         sc = self.model.transform(assemble(df, self.features))
         return sc.withColumn("p_hat", vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction")
@@ -126,7 +126,7 @@ class Fitted:
             extra = [float(share) for share, _ in self.model]
             for k, (_, m) in enumerate(self.model):
                 m.save(spark, f"{path}/part-{k}")
-        elif self.family == "rf":
+        elif self.family in FORESTS:
             self.model.write.mode("overwrite").parquet(f"{path}/nodes")
         else:
             self.model.write().overwrite().save(f"{path}/model")
@@ -149,11 +149,13 @@ def load(spark: SparkSession, path: str) -> tuple[Fitted, float | None]:
         model = IF.forest_of(spark.read.parquet(f"{path}/trees").toPandas(), trees, psi, depth)
     elif m["family"] == "ensemble":
         model = [(share, load(spark, f"{path}/part-{k}")[0]) for k, share in enumerate(m["extra"])]
-    elif m["family"] == "rf":
-        model = spark.read.schema(TR.NODES).parquet(f"{path}/nodes")
+    elif m["family"] in FORESTS:
+        try:
+            model = spark.read.schema(TR.NODES).parquet(f"{path}/nodes")
+        except AnalysisException:  # a blend's forest that was stored as Spark's own
+            model = TR.nodes_in(spark, f"{path}/model")
     else:
-        kind = {"lr": LogisticRegressionModel, "gbt": GBTClassificationModel}.get(m["family"], RandomForestClassificationModel)
-        model = kind.load(f"{path}/model")
+        model = {"lr": LogisticRegressionModel, "gbt": GBTClassificationModel}[m["family"]].load(f"{path}/model")
     return Fitted(m["family"], m["features"], model, m["id_col"]), m["threshold"]
 
 
@@ -172,9 +174,9 @@ def fit(train: DataFrame, features: Sequence[str], family: str, label: str = "y"
     tr = assemble(train, features)
     if family != "lr":
         tr = tr.select("features", label, *(c for c in (weight, validation_col) if c))
-        tr = dealt(TR.stored(tr, "forest-rows") if family == "rf" else tr)  # a forest's rows are read by every batch of trees, so written once
-    if family == "rf":
-        return Fitted(family, features, TR.grow(tr, lambda n, k: build("rf", label, weight, seed=seed + k, n_trees=n), n_trees), id_col)
+        tr = dealt(TR.stored(tr, "forest-rows") if family in FORESTS else tr)  # a forest's rows are read several times, so written once
+    if family in FORESTS:
+        return Fitted(family, features, TR.grow(tr, lambda n, k: build(family, label, weight, seed=seed + k, n_trees=n), n_trees), id_col)
     n = (n_rows if n_rows is not None else train.count()) if family == "lr" else 1
     return Fitted(family, features, build(family, label, weight, n, seed, n_trees, validation_col).fit(tr), id_col)
 
