@@ -3,11 +3,12 @@
 A tree of ``pyspark.ml`` only sees the bin of a value, so rows of one cell (same bins, label and weight) are alike to
 it. Features of b1, b2, ... bins have at most b1 * b2 * ... cells, however many rows there are; where nearly every row has a cell of its
 own, the table is as long as the rows. Edges are quantiles of all rows; a feature of few values has them all.
-A value lies in the bin numbered by the edges below it, so "bin <= k" is "value <= edge k"; missing values are in the last bin.
+A value lies in the bin numbered by the edges below it, so "bin <= k" is "value <= edge k"; a missing value, to be scored, is in the last bin.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,15 +22,17 @@ ACCURACY = 1_000
 
 
 def edges(rows: DataFrame, bins: int, col: str = "features") -> list[list[float]]:
-    """The edges between the bins of every feature of a vector column, at most ``bins`` - 1 a feature."""
+    """The edges between the bins of every feature of a vector column, at most ``bins`` - 1 a feature; missing and infinite values are refused, as by Spark's trees."""
     x, first = vector_to_array(col), rows.select(F.size(vector_to_array(col)).alias("d")).first()
     if first is None:
         raise ValueError("no rows to train on")
-    xs = [F.when(~F.isnan(F.get(F.col("x"), F.lit(i))), F.get(F.col("x"), F.lit(i))) for i in range(first["d"])]
+    xs = [F.get(F.col("x"), F.lit(i)) for i in range(first["d"])]
     rows = rows.select(x.alias("x"))
     at = [k / bins for k in range(1, bins)]
     found = rows.agg(*(f(v).alias(f"{name}{i}") for i, v in enumerate(xs) for name, f in (
-        ("q", lambda v: F.percentile_approx(v, at, ACCURACY)), ("most", F.max), ("n", F.approx_count_distinct)))).first()
+        ("q", lambda v: F.percentile_approx(v, at, ACCURACY)), ("most", F.max), ("least", F.min), ("n", F.approx_count_distinct)))).first()
+    if not all(math.isfinite(found[f"{end}{i}"]) for i in range(len(xs)) for end in ("least", "most")):  # NaN is the greatest
+        raise ValueError("features must not be NaN or infinite")
     few = [i for i in range(len(xs)) if found[f"n{i}"] <= 2 * bins]  # a bound for the sets below
     values = rows.agg(*(F.collect_set(xs[i]).alias(f"v{i}") for i in few)).first() if few else None
     out = []

@@ -2,7 +2,7 @@
 
 Families (reference → Spark): logistic regression (L2, weighted) →
 ``LogisticRegression``; random forest → ``trees.Forest``, a ``RandomForestClassifier`` whose trees grow
-in tasks; histogram gradient boosting → ``GBTClassifier`` with validation-based early stopping;
+in tasks; histogram gradient boosting → ``Boosting``, a ``GBTClassifier`` on counted cells, with validation-based early stopping;
 isolation forest → :mod:`ledgerlens.operators.iforest`. Per-party ("federated")
 ensembles train one model per party and average their probabilities.
 """
@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import cells as C
 from ledgerlens.operators import iforest as IF
 from ledgerlens.operators import linear as L
 from ledgerlens.operators import metrics as M
@@ -51,6 +52,24 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(min(rows // TASK_ROWS, max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // MOST_ROWS))))
 
 
+class Boosting(GBTClassifier):
+    """``GBTClassifier`` on the counted cells of the training rows.
+
+    A regression tree sees bins, residuals and weights only, and rows of a cell, label and fold have one residual at
+    every iteration: a cell weighted by its rows is as good as the rows.
+    """
+
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+        features, label, weight, fold = (self.getOrDefault(p) if self.hasDefault(p) or self.isSet(p) else None for p in (
+            self.featuresCol, self.labelCol, self.weightCol, self.validationIndicatorCol))
+        cuts = C.edges(dataset, self.getMaxBins(), features)
+        found = TR.stored(C.counted(dataset, cuts, [c for c in (label, weight, fold) if c], features), "cells")
+        rows = found.select(C.as_vector().alias(features), label, (F.col("n") * (F.col(weight) if weight else F.lit(1.0))).alias("_rows"),
+                            *((F.col(fold) > 0).alias(c) for c in (fold,) if c))
+        model = super(Boosting, self.copy({self.weightCol: "_rows"}))._fit(dealt(rows))
+        return TR.unbinned(model, cuts, dataset.sparkSession)
+
+
 def build(family: str, label: str = "y", weight: str | None = None, n_rows: int = 1, seed: int = 42,
           n_trees: int = 400, validation_col: str | None = None):
     extra = {"weightCol": weight} if weight else {}
@@ -68,8 +87,8 @@ def build(family: str, label: str = "y", weight: str | None = None, n_rows: int
     if family == "gbt":
         if validation_col:
             extra["validationIndicatorCol"] = validation_col
-        return GBTClassifier(featuresCol="features", labelCol=label, stepSize=0.06, maxIter=n_trees,
-                             maxMemoryInMB=1024, seed=seed, **extra)
+        return Boosting(featuresCol="features", labelCol=label, stepSize=0.06, maxIter=n_trees,
+                        maxMemoryInMB=1024, seed=seed, **extra)
     raise ValueError(f"unknown family {family!r}")
 
 

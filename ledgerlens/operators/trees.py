@@ -25,7 +25,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +137,21 @@ class Forest(RandomForestClassifier):
         return grow(dataset, plain, self.getNumTrees(), BATCH)
 
 
+def unbinned(model: GBTClassificationModel, cuts: Sequence[Sequence[float]], spark: SparkSession) -> GBTClassificationModel:
+    """The model with the edges of bins as thresholds, by way of its stored form."""
+    binned, path = scratch_path(spark, "boosting"), scratch_path(spark, "boosting")
+    model.write().save(binned)
+    edge = F.create_map(*(v for i, values in enumerate(cuts) for v in (F.lit(i), F.array(*map(F.lit, values)).cast("array<double>"))))
+    split = F.col("nodeData.split")
+    at = F.floor(F.get(split["leftCategoriesOrThreshold"], F.lit(0))).cast("int")
+    raw = F.when(split["featureIndex"] >= 0, F.array(F.get(edge[split["featureIndex"]], at))).otherwise(split["leftCategoriesOrThreshold"])
+    data = spark.read.parquet(f"{binned}/data")
+    data.withColumn("nodeData", F.col("nodeData").withField("split.leftCategoriesOrThreshold", raw)).write.parquet(f"{path}/data")
+    spark.read.parquet(f"{binned}/treesMetadata").write.parquet(f"{path}/treesMetadata")
+    spark.read.text(f"{binned}/metadata").coalesce(1).write.text(f"{path}/metadata")
+    return GBTClassificationModel.load(path)
+
+
 def _grown(x: np.ndarray, y: np.ndarray, count: np.ndarray, w: np.ndarray, cuts: Sequence[Sequence[float]], choose: int, depth: int, least: int,
            rng: np.random.Generator) -> pd.DataFrame:
     """The nodes of one tree grown on a bootstrap of counted cells: bins x, class y, and the number and weight of a cell's rows."""

@@ -166,3 +166,27 @@ def test_tree_training_has_equal_parts_for_every_core(spark, family, monkeypatch
     with pytest.raises(InterruptedError):
         MD.fit(df, ["a"], family, weight="weight", n_trees=1)
     assert got[2] == [403]
+
+
+@pytest.mark.parametrize("early", [False, True])
+def test_boosting_on_counted_cells_equals_boosting_on_rows(spark, early, monkeypatch):
+    """Rows of one cell, label and fold share their residuals, so Spark's trees get each once with its weight; thresholds are values again."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 12, 900) / 4.0, rng.integers(-3, 4, 900) * 10.0
+    y = (np.sin(2 * a) + b / 20 + 0.5 * rng.normal(size=900) > 0.4).astype(int)
+    schema = "txn_id long, y int, a double, b double, weight double, _val boolean"
+    rows = spark.createDataFrame([(i, int(y[i]), float(a[i]), float(b[i]), 1.0 + float(y[i]), bool(early and i % 5 == 0)) for i in range(900)], schema)
+    rows = MD.TR.stored(rows, "boosting-rows")
+    got = []
+    fit = GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, df: (got.append(df.count()), fit(self, df))[1])
+    model = MD.fit(rows, ["a", "b"], "gbt", weight="weight", n_trees=15, validation_col="_val" if early else None)
+    assert got[0] <= 12 * 7 * 2 * (2 if early else 1) and got[0] < 300
+    extra = {"validationIndicatorCol": "_val"} if early else {}
+    plain = GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", stepSize=0.06, maxIter=15, seed=42, **extra).fit(MD.assemble(rows, ["a", "b"]))
+    want = {r[0]: r[1] for r in plain.transform(MD.assemble(rows, ["a", "b"])).select("txn_id", vector_to_array("probability")[1]).collect()}
+    have = {r["txn_id"]: r["p_hat"] for r in model.score(rows).collect()}
+    assert have == pytest.approx(want, abs=1e-9) and model.model.getNumTrees == plain.getNumTrees

@@ -89,14 +89,14 @@ def test_deep_forests_take_no_more_jobs_than_shallow_ones(rows, spark):
 
 def test_cells_count_equal_rows(rows, spark):
     from ledgerlens.operators import cells as C
-    data = [(i, i % 2, float(i % 40), float(i % 3), 1.0) for i in range(400)] + [(400, 1, None, 2.0, 1.0)]
+    data = [(i, i % 2, float(i % 40), float(i % 3), 1.0) for i in range(400)]
     train = MD.assemble(spark.createDataFrame(data, "txn_id long, y int, a double, b double, w double"), ["a", "b"])
     cuts = C.edges(train, 32)
     assert cuts[1] == [0.0, 1.0] and 16 <= len(cuts[0]) <= 31 and max(cuts[0]) < 39
     got = C.counted(train, cuts, ["y", "w"]).collect()
     want = {}
     for _, y, a, b, w in data:
-        key = (sum(c < a for c in cuts[0]) if a is not None else len(cuts[0]), sum(c < b for c in cuts[1]), y, w)
+        key = (sum(c < a for c in cuts[0]), sum(c < b for c in cuts[1]), y, w)
         want[key] = want.get(key, 0) + 1
     assert {(*r["cell"], r["y"], r["w"]): r["n"] for r in got} == want and len(got) == len(want)
 
@@ -161,3 +161,8 @@ def test_forests_refuse_labels_other_than_two(spark):
         df = MD.assemble(spark.createDataFrame([(0, 0.5), (1, 0.7), (bad, 0.9)], "y int, a double"), ["a"])
         with pytest.raises(ValueError, match="labels other than 0 and 1"):
             estimator(2, 0).fit(df)
+    for bad in (None, float("nan"), float("-inf")):  # Spark's own refuse them too
+        df = MD.assemble(spark.createDataFrame([(0, 0.5), (1, 0.7), (1, bad)], "y int, a double"), ["a"])
+        for one in (estimator(2, 0), MD.build("gbt", n_trees=2)):
+            with pytest.raises(Exception, match="NaN or [iI]nfinit"):
+                one.fit(df)
