@@ -102,6 +102,7 @@ class Fitted:
 
     def __init__(self, family: str, features: Sequence[str], model, id_col: str):
         self.family, self.features, self.model, self.id_col = family, list(features), model, id_col
+        self._packed: tuple | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         if self.family == "iforest":
@@ -124,7 +125,10 @@ class Fitted:
                 s = m.score(s).withColumn("_p_all", F.col("_p_all") + F.lit(share) * F.col("p_hat")).drop("p_hat")
             return s.withColumnRenamed("_p_all", "p_hat")
         if self.family in FORESTS:
-            return TR.scored(df, self.model, self.features)
+            if self._packed is None:  # once for all scored frames
+                self._packed = (TR.packed(self.model, len(self.features)),)
+            held = self._packed[0]
+            return TR.scored(df, held, self.features) if held else df.withColumn("p_hat", TR.probability(self.model, self.features))
         sc = self.model.transform(assemble(df, self.features))
         return sc.withColumn("p_hat", vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction")

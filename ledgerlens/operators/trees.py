@@ -11,7 +11,7 @@ every node, merged leaves) from counted cells (:mod:`ledgerlens.operators.cells`
 cells, at most ``MOST_CELLS``, and grows its trees level by level. More cells go to Spark's own forest, whose every open node is a
 histogram summed over all parts, in batches of ``BATCH`` trees as concurrent jobs with cached node ids.
 Node tables are written to the shared folder. A projection (``probability``) carries the trees to the rows, at most ``MAX_NODES`` nodes
-at a time. Beyond ``NEAR_NODES`` nodes ``scored`` leaves the trees where they are: the distinct cells of the rows meet packs of
+at a time. Beyond ``NEAR_NODES`` nodes ``packed`` and ``scored`` leave the trees where they are: the distinct cells of the rows meet packs of
 trees in pairs of bounded size, and the rows take the mean of their cell.
 """
 
@@ -113,8 +113,8 @@ class Forest(RandomForestClassifier):
 
     def _by_tree(self, found: DataFrame, n: int, cuts: list[list[float]], label: str, weight: str | None) -> DataFrame:
         spark, n_trees = found.sparkSession, self.getNumTrees()
-        rows = found.orderBy(*found.columns).toPandas()  # at most MOST_CELLS; in one order, so that a seed gives one forest
-        x = np.stack(rows["cell"].to_numpy()).astype(np.uint8 if self.getMaxBins() <= 256 else np.uint16)
+        rows = found.orderBy(*found.columns).toArrow()  # at most MOST_CELLS; in one order, so that a seed gives one forest
+        x = rows["cell"].combine_chunks().flatten().to_numpy().reshape(n, -1).astype(np.uint8 if self.getMaxBins() <= 256 else np.uint16)
         y, count = rows[label].to_numpy() > 0, rows["n"].to_numpy()
         w = rows[weight].to_numpy() if weight else np.ones(n)
         choose, depth, least, seed = math.ceil(math.sqrt(len(cuts))), self.getMaxDepth(), self.getMinInstancesPerNode(), self.getSeed()
@@ -320,16 +320,22 @@ def _mean(nodes: DataFrame, x: Column, most: int | None = None) -> Column:
     return total / F.lit(float(trees))
 
 
-def scored(df: DataFrame, nodes: DataFrame, features: Sequence[str], out: str = "p_hat") -> DataFrame:
-    """``df`` with the mean leaf probability of all trees of a node table for the ``features`` of each row."""
+def packed(nodes: DataFrame, n_features: int) -> tuple[list[list[float]], int, DataFrame] | None:
+    """(edges between the bins of every feature, trees, packs of trees) of a node table; None if it is small enough for a projection."""
     n, trees = nodes.agg(F.count(F.lit(1)), F.max("tree") + 1).first()
     if n <= NEAR_NODES:
-        return df.withColumn(out, probability(nodes, features))
-    cuts, found = [[] for _ in features], nodes.filter("left >= 0").groupBy("feature").agg(F.sort_array(F.collect_set("threshold")).alias("t")).collect()
-    for r in found:  # one row per feature, the edges between its bins
+        return None
+    cuts, found = [[] for _ in range(n_features)], nodes.filter("left >= 0").groupBy("feature").agg(F.sort_array(F.collect_set("threshold")).alias("t")).collect()
+    for r in found:  # one row per feature
         cuts[r["feature"]] = r["t"]
     if max(len(c) for c in cuts) >= np.iinfo(np.int16).max:
-        return df.withColumn(out, probability(nodes, features))
+        return None
+    return cuts, trees, _packs(nodes, cuts, max(1, int(PACK_NODES * trees / n)))
+
+
+def scored(df: DataFrame, held: tuple[list[list[float]], int, DataFrame], features: Sequence[str], out: str = "p_hat") -> DataFrame:
+    """``df`` with the mean leaf probability of all trees of ``packed`` for the ``features`` of each row."""
+    cuts, trees, packs = held
 
     @pandas_udf("array<smallint>")
     def cell(xs: pd.Series) -> pd.Series:
@@ -338,7 +344,6 @@ def scored(df: DataFrame, nodes: DataFrame, features: Sequence[str], out: str =
     x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features))
     df = df.withColumn("_cell", cell(x))
     blocks = _blocks(stored(df.select("_cell").distinct(), "cells"), len(cuts))
-    packs = _packs(nodes, cuts, max(1, int(PACK_NODES * trees / n)))
     means = stored(_block_means(packs.crossJoin(blocks), len(cuts), trees, out), "cell-scores")
     return df.join(means, "_cell").drop("_cell")
 
@@ -368,8 +373,14 @@ def _packs(nodes: DataFrame, cuts: Sequence[Sequence[float]], trees: int) -> Dat
     """(pack, roots, left, feature, cut, p): so many trees in arrays; a leaf leads to itself."""
     def pack(of: pd.DataFrame) -> pd.DataFrame:
         feature, threshold, left, right, p, roots = _arrays(of)
-        if not (right[left >= 0] == left[left >= 0] + 1).all():
-            raise ValueError("the children of a node must be neighbours")
+        inner, base = np.flatnonzero(left >= 0), np.repeat(roots, np.diff(np.append(roots, len(left))))
+        place = np.arange(len(left))  # the k-th inner node of a tree has its children side by side, at 1 + 2 k
+        rank = np.arange(len(inner)) - np.searchsorted(inner, base[inner])
+        place[left[inner]] = base[inner] + 1 + 2 * rank
+        place[right[inner]] = place[left[inner]] + 1
+        back = np.argsort(place)
+        left = np.where(left < 0, -1, place[left])[back]
+        feature, threshold, p = feature[back], threshold[back], p[back]
         cut = np.full(len(left), np.iinfo(np.int16).max, dtype=np.int16)
         for i, values in enumerate(cuts):
             mine = (left >= 0) & (feature == i)

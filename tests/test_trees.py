@@ -144,15 +144,18 @@ def test_more_cells_than_a_task_takes_go_to_sparks_forest(rows, monkeypatch):
     assert all(0 <= r["p_hat"] <= 1 for r in rows.withColumn("p_hat", TR.probability(nodes, ["a", "b"])).collect())
 
 
-def test_packs_of_trees_score_as_the_projection(rows, spark, monkeypatch):
-    """The rows meet the trees in blocks of cells; repeated rows and missing values keep their scores."""
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_packs_of_trees_score_as_the_projection(rows, spark, monkeypatch, most):
+    """The rows meet the trees (Spark's own, of other node numbers, too) in blocks of cells; repeated rows and missing values keep their scores."""
+    monkeypatch.setattr(TR, "MOST_CELLS", most)
     model = MD.fit(rows, ["a", "b"], "rf", n_trees=9)
     odd = rows.unionByName(rows.filter("txn_id < 20")).withColumn("a", F.when(F.col("txn_id") % 50 > 0, F.col("a")))
     want = sorted(map(tuple, model.score(odd).collect()), key=str)
     for name, value in (("NEAR_NODES", 0), ("PACK_NODES", 100), ("BLOCK_CELLS", 30)):
         monkeypatch.setattr(TR, name, value)
+    model = MD.Fitted("rf", ["a", "b"], model.model, "txn_id")
     got = sorted(map(tuple, model.score(odd).collect()), key=str)
-    assert len(got) == 520 and [g[:5] for g in got] == [w[:5] for w in want]
+    assert model._packed[0] and len(got) == 520 and [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], abs=1e-12)
 
 
