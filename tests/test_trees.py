@@ -169,3 +169,16 @@ def test_forests_refuse_labels_other_than_two(spark):
         for one in (estimator(2, 0), MD.build("gbt", n_trees=2)):
             with pytest.raises(Exception, match="NaN or [iI]nfinit"):
                 one.fit(df)
+
+
+def test_rounds_of_party_forests_score_by_packs(rows, spark, monkeypatch):
+    """The last united forest of two rounds, taken from its ledger, scores alike by projection and by packs of trees."""
+    from ledgerlens.operators import federated as FD
+    from ledgerlens.session import scratch_path
+    base = scratch_path(spark, "rounds")
+    model = FD.run_rounds(rows, ["a", "b"], "rf", 2, base, n_trees=4, diversify=True)
+    assert model.model.select("tree").distinct().count() == 12
+    want = by_id(model.score(rows))
+    monkeypatch.setattr(TR, "NEAR_NODES", 0)
+    again, _ = MD.load(spark, FD.latest_global(spark, base)[1])
+    assert by_id(again.score(rows)) == pytest.approx(want, abs=1e-12) and again._packed[0]
