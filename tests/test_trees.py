@@ -182,3 +182,20 @@ def test_rounds_of_party_forests_score_by_packs(rows, spark, monkeypatch):
     monkeypatch.setattr(TR, "NEAR_NODES", 0)
     again, _ = MD.load(spark, FD.latest_global(spark, base)[1])
     assert by_id(again.score(rows)) == pytest.approx(want, abs=1e-12) and again._packed[0]
+
+
+def test_shallow_forests_of_either_stored_form(rows, spark):
+    """A blend's forest is a node table; one that was stored as Spark's own is read as one."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from ledgerlens.session import scratch_path
+    path = scratch_path(spark, "shallow")
+    model = MD.fit(rows, ["a", "b"], "rf_shallow", n_trees=3)
+    assert model.model.agg(F.max("tree")).first()[0] == 2
+    model.save(spark, path)
+    assert by_id(MD.load(spark, path)[0].score(rows)) == by_id(model.score(rows))
+    train, path = MD.assemble(rows, ["a", "b"]), scratch_path(spark, "shallow")
+    old = RandomForestClassifier(labelCol="y", numTrees=3, maxDepth=8, seed=1).fit(train)
+    old.write().save(f"{path}/model")
+    spark.createDataFrame([("rf_shallow", ["a", "b"], "txn_id", None, [])], MD.META_SCHEMA).write.parquet(f"{path}/meta")
+    want = by_id(old.transform(train).withColumn("p_hat", vector_to_array("probability")[1]))
+    assert by_id(MD.load(spark, path)[0].score(rows)) == pytest.approx(want, abs=1e-12)
